@@ -33,7 +33,7 @@ def added_snippets(patch: Column) -> Column:
 
 def line_count(snippet: Column) -> Column:
     """Lines with something other than white space."""
-    return F.regexp_count(snippet, F.lit(rf"[^\n]*[^{SPACE}][^\n]*"))
+    return F.size(F.filter(F.split(snippet, "\n"), lambda line: line.rlike(f"[^{SPACE}]")))
 
 
 def char_count(snippet: Column) -> Column:
