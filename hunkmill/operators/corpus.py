@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from hunkmill.functions import pytext
+from hunkmill.functions.shape import row_array
 from hunkmill.operators.curves import areas
 from hunkmill.operators.joins import HOT_PARTS, spread_join
 
@@ -131,11 +132,10 @@ def score_texts(texts: DataFrame, model: WordPairModel, keys: Sequence[str]) ->
 
 def criteria_long(scored: DataFrame, kept: Sequence[str]) -> DataFrame:
     """(criterion, score): machine text is expected to score higher, so ranks change sign."""
-    rows = F.array(
-        F.struct(F.lit("likelihood").alias("criterion"), F.col("likelihood").alias("score")),
-        F.struct(F.lit("rank"), -F.col("rank")),
-        F.struct(F.lit("log_rank"), -F.col("log_rank")),
-        F.struct(F.lit("entropy"), F.col("entropy")),
+    rows = row_array(
+        ["criterion", "score"],
+        ["likelihood", F.col("likelihood")], ["rank", -F.col("rank")],
+        ["log_rank", -F.col("log_rank")], ["entropy", F.col("entropy")],
     )
     return scored.select(*kept, F.inline(rows))
 

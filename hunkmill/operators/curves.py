@@ -7,15 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hunkmill.functions.scoring import ratio
+from hunkmill.functions.shape import row_array
 from hunkmill.operators.ordered import exact_quantiles, running_totals
 
 
 def labelled_scores(pairs: DataFrame, real: str, sampled: str, kept: Sequence[str]) -> DataFrame:
     """Two rows per pair: (0, score of the real text) and (1, score of the sampled text)."""
-    sides = F.array(
-        F.struct(F.lit(0).alias("label"), F.col(real).alias("score")),
-        F.struct(F.lit(1).alias("label"), F.col(sampled).alias("score")),
-    )
+    sides = row_array(["label", "score"], [0, F.col(real)], [1, F.col(sampled)])
     return pairs.select(*kept, F.inline(sides))
 
 

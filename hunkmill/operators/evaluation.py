@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hunkmill.functions import fixed_values as fv
 from hunkmill.functions.scoring import ratio
+from hunkmill.functions.shape import row_array
 
 METRICS = [
     "accuracy", "balanced_accuracy", "precision", "recall", "false_positive_rate",
@@ -64,8 +65,7 @@ def threshold_sweep(
         F.count_if(F.col("label") == 1).alias("machine"),
         F.count_if(F.col("label") == 0).alias("human"),
     )
-    places = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(t).alias("threshold"))
-                       for i, t in enumerate(grid)])
+    places = row_array(["place", "threshold"], *enumerate(grid))
     flagged = F.col("reached") > F.col("place")
 
     def total(column: str, condition: Column) -> Column:
@@ -162,12 +162,12 @@ def frozen_config(strata: DataFrame, predictions: DataFrame, threshold: float) -
 
 
 def exclusion_table(config: DataFrame) -> DataFrame:
-    rows = F.array(
-        F.struct(F.lit("excluded_file_categories").alias("type"),
-                 F.array_join("excluded_file_categories", ",").alias("value")),
-        F.struct(F.lit("excluded_length_buckets"), F.array_join("excluded_length_buckets", ",")),
-        F.struct(F.lit("threshold"), F.col("threshold").cast("string")),
-        F.struct(F.lit("allowed_combinations"), F.size("allowed_combinations").cast("string")),
+    rows = row_array(
+        ["type", "value"],
+        ["excluded_file_categories", F.array_join("excluded_file_categories", ",")],
+        ["excluded_length_buckets", F.array_join("excluded_length_buckets", ",")],
+        ["threshold", F.col("threshold").cast("string")],
+        ["allowed_combinations", F.size("allowed_combinations").cast("string")],
     )
     return config.select(F.inline(rows))
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from hunkmill.functions import pytext
+from hunkmill.functions.shape import row_array
 from hunkmill.operators.sampling import shuffle_head
 
 
@@ -20,10 +21,9 @@ def unfold_pairs(documents: DataFrame, kept: Sequence[str] = ()) -> DataFrame:
 
 def pair_sides(pairs: DataFrame, key: str = "pair_id") -> DataFrame:
     """One row per text: (pair_id, side, label, text)."""
-    sides = F.array(
-        F.struct(F.lit("original").alias("side"), F.lit(0).alias("label"),
-                 F.col("original").alias("text")),
-        F.struct(F.lit("sampled"), F.lit(1), F.col("sampled")),
+    sides = row_array(
+        ["side", "label", "text"],
+        ["original", 0, F.col("original")], ["sampled", 1, F.col("sampled")],
     )
     return pairs.select(key, F.inline(sides))
 
@@ -140,15 +140,14 @@ def perturbation_stats(scored: DataFrame, counts: Sequence[int], keys: Sequence[
             F.stddev_pop(chosen).alias(f"_sd_{n}"),
         ]
     wide = scored.groupBy(*keys).agg(*columns)
-    per_count = F.array(
+    per_count = row_array(
+        ["n_perturbations", "perturbed_ll", "perturbed_ll_std"],
         *[
-            F.struct(
-                F.lit(n).alias("n_perturbations"), F.col(f"_mean_{n}").alias("perturbed_ll"),
-                F.when((F.col(f"_n_{n}") <= 1) | (F.col(f"_sd_{n}") == 0), 1.0)
-                .otherwise(F.col(f"_sd_{n}")).alias("perturbed_ll_std"),
-            )
+            [n, F.col(f"_mean_{n}"),
+             F.when((F.col(f"_n_{n}") <= 1) | (F.col(f"_sd_{n}") == 0), 1.0)
+             .otherwise(F.col(f"_sd_{n}"))]
             for n in counts
-        ]
+        ],
     )
     return wide.select(*keys, F.inline(per_count))
 
@@ -156,9 +155,8 @@ def perturbation_stats(scored: DataFrame, counts: Sequence[int], keys: Sequence[
 def curvature(base: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Both criteria per text: ``d`` (also the log-likelihood ratio) and ``z``."""
     gap = F.col("ll") - F.col("perturbed_ll")
-    criteria = F.array(
-        F.struct(F.lit("d").alias("criterion"), gap.alias("score")),
-        F.struct(F.lit("z"), gap / F.col("perturbed_ll_std")),
+    criteria = row_array(
+        ["criterion", "score"], ["d", gap], ["z", gap / F.col("perturbed_ll_std")]
     )
     return base.join(stats, list(keys)).select(
         *keys, "n_perturbations", "label", F.inline(criteria)

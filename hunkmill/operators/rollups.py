@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hunkmill.functions import fixed_values as fv
+from hunkmill.functions.shape import row_array
 from hunkmill.functions.scoring import (
     ai_flag, bands, calendar_month, length_bucket, period, plain_number, ratio, utc_moment,
     year_scaled,
@@ -118,15 +119,9 @@ def _month_sums(analysis: DataFrame) -> DataFrame:
 
 def _per_band(sums: DataFrame, kept: Sequence[str]) -> DataFrame:
     """Bands from columns to rows, on the already small monthly table."""
-    per_band = F.array(
-        *[
-            F.struct(
-                F.lit(band).alias("threshold_label"),
-                F.col(f"ai_{band}").alias("ai_like_commits"),
-                (F.col(f"sum_fraction_{band}") / F.col("commits")).alias("mean_ai_line_fraction"),
-            )
-            for band in BANDS
-        ]
+    per_band = row_array(
+        ["threshold_label", "ai_like_commits", "mean_ai_line_fraction"],
+        *[[b, F.col(f"ai_{b}"), F.col(f"sum_fraction_{b}") / F.col("commits")] for b in BANDS],
     )
     return sums.select(
         *kept, "commits", (F.col("sum_max") / F.col("commits")).alias("mean_max_hunk_score"),
