@@ -28,16 +28,16 @@ COMMIT_METRICS = _struct(
     ("repo", "string"), ("commit_hash", "string"), ("author_name", "string"),
     ("author_email", "string"), ("committer_name", "string"), ("committer_email", "string"),
     ("author_date", "string"), ("committer_date", "string"), ("message", "string"),
-    ("parents", "int"), ("files", "int"), ("insertions", "int"), ("deletions", "int"),
-    ("lines", "int"), ("hunk_count", "int"), ("added_hunk_lines", "int"),
-    ("source_file_count", "int"), ("test_file_count", "int"), ("docs_file_count", "int"),
-    ("config_file_count", "int"),
+    ("parents", "integer"), ("files", "integer"), ("insertions", "integer"), ("deletions", "integer"),
+    ("lines", "integer"), ("hunk_count", "integer"), ("added_hunk_lines", "integer"),
+    ("source_file_count", "integer"), ("test_file_count", "integer"), ("docs_file_count", "integer"),
+    ("config_file_count", "integer"),
 )
 HUNK_METRICS = _struct(
     ("repo", "string"), ("commit_hash", "string"), ("author_date", "string"),
     ("filename", "string"), ("file_category", "string"), ("language", "string"),
-    ("hunk_index", "int"), ("line_count", "int"), ("char_count", "int"), ("snippet", "string"),
-    ("commit_insertions", "int"), ("commit_deletions", "int"), ("commit_files", "int"),
+    ("hunk_index", "integer"), ("line_count", "integer"), ("char_count", "integer"), ("snippet", "string"),
+    ("commit_insertions", "integer"), ("commit_deletions", "integer"), ("commit_files", "integer"),
 )
 MONTHLY_SUMMARY = _struct(
     ("calendar_month", "string"), ("commits", "long"), ("commits_with_allowed_hunks", "long"),
@@ -74,26 +74,26 @@ REPO_SUMMARY = _struct(
 
 PERSON = _struct(("name", "string"), ("email", "string"))
 METHOD = _struct(
-    ("name", "string"), ("long_name", "string"), ("start_line", "int"), ("end_line", "int"),
-    ("complexity", "int"), ("nloc", "int"), ("params", T.ArrayType(T.StringType())),
+    ("name", "string"), ("long_name", "string"), ("start_line", "integer"), ("end_line", "integer"),
+    ("complexity", "integer"), ("nloc", "integer"), ("params", T.ArrayType(T.StringType())),
 )
 CHANGED_METHOD = _struct(
-    ("name", "string"), ("long_name", "string"), ("start_line", "int"), ("end_line", "int"),
+    ("name", "string"), ("long_name", "string"), ("start_line", "integer"), ("end_line", "integer"),
 )
 LINE_PAIRS = T.ArrayType(T.ArrayType(T.StringType()))
 MODIFIED_FILE = _struct(
     ("filename", "string"), ("old_path", "string"), ("new_path", "string"),
     ("change_type", "string"), ("diff", "string"),
     ("diff_parsed", _struct(("added", LINE_PAIRS), ("deleted", LINE_PAIRS))),
-    ("added_lines", "int"), ("deleted_lines", "int"), ("source_code", "string"),
-    ("source_code_before", "string"), ("nloc", "int"), ("complexity", "int"),
-    ("token_count", "int"), ("methods", T.ArrayType(METHOD)),
+    ("added_lines", "integer"), ("deleted_lines", "integer"), ("source_code", "string"),
+    ("source_code_before", "string"), ("nloc", "integer"), ("complexity", "integer"),
+    ("token_count", "integer"), ("methods", T.ArrayType(METHOD)),
     ("changed_methods", T.ArrayType(CHANGED_METHOD)),
 )
 COMMIT_DOCUMENT = _struct(
     ("msg", "string"), ("author", PERSON), ("co_authors", T.ArrayType(PERSON)),
-    ("committer", PERSON), ("author_date", "string"), ("deletions", "int"),
-    ("insertions", "int"), ("lines", "int"), ("files", "int"), ("hash", "string"),
+    ("committer", PERSON), ("author_date", "string"), ("deletions", "integer"),
+    ("insertions", "integer"), ("lines", "integer"), ("files", "integer"), ("hash", "string"),
     ("modified_files", T.ArrayType(MODIFIED_FILE)),
 )
 
@@ -104,8 +104,8 @@ DOUBLES = T.ArrayType(T.DoubleType())
 EXPERIMENT_RESULT = _struct(
     ("name", "string"),
     ("predictions", _struct(("real", DOUBLES), ("samples", DOUBLES))),
-    ("info", _struct(("pct_words_masked", "double"), ("span_length", "int"),
-                     ("n_perturbations", "int"), ("n_samples", "int"))),
+    ("info", _struct(("pct_words_masked", "double"), ("span_length", "integer"),
+                     ("n_perturbations", "integer"), ("n_samples", "integer"))),
     ("metrics", _struct(("roc_auc", "double"), ("fpr", DOUBLES), ("tpr", DOUBLES))),
     ("pr_metrics", _struct(("pr_auc", "double"), ("precision", DOUBLES), ("recall", DOUBLES))),
     ("loss", "double"),
