@@ -7,6 +7,7 @@ from hunkmill.catalog.metric_queries import areas_sql
 from hunkmill.catalog.registry import query, tidy
 from hunkmill.operators import corpus, curves, pairs, perturb
 from hunkmill.plans import contrast
+from hunkmill.session import landed
 
 K = corpus.SMOOTHING
 
@@ -54,7 +55,7 @@ text_scores AS (
 
 
 def _benchmark_model(spark, folder) -> corpus.WordPairModel:
-    return corpus.fit(t.table(spark, folder, "benchmark"))
+    return corpus.fit(t.table(spark, folder, "benchmark")).landed(spark)
 
 
 _MODEL = model_sql("benchmark", "item_id")
@@ -223,7 +224,11 @@ def _document_words(spark, folder):
     both = _texts(spark, folder).select(
         F.col("text").alias("original"), F.lit("").alias("sampled")
     )
-    return pairs.fill_dictionary(both)
+    return pairs.distinct_words(both)
+
+
+def _document_index(spark, folder):
+    return landed(perturb.dictionary_index(_document_words(spark, folder)), "fill-words")
 
 
 @query(
@@ -243,7 +248,7 @@ SELECT doc_id, md5(text) AS text_md5 FROM spliced""",
 )
 def random_fill(spark, folder):
     filled = perturb.random_fill(
-        _texts(spark, folder), _document_words(spark, folder), ["doc_id"]
+        _texts(spark, folder), _document_index(spark, folder), ["doc_id"]
     )
     return filled.select("doc_id", F.md5("text").alias("text_md5"))
 
@@ -264,7 +269,7 @@ SELECT doc_id, md5(text) AS text_md5 FROM spliced""",
 )
 def random_token_replace(spark, folder):
     replaced = perturb.random_replace(
-        _texts(spark, folder), _document_words(spark, folder), ["doc_id"]
+        _texts(spark, folder), _document_index(spark, folder), ["doc_id"]
     )
     return replaced.select("doc_id", F.md5("text").alias("text_md5"))
 
@@ -309,7 +314,7 @@ _CONTRAST = f"""{_COPIED}, {_MODEL},
 {scores_sql('spliced', 'pair_id, side, copy_id').replace('scored_pairs', 'copy_pairs').replace('token_scores', 'copy_tokens').replace('text_scores', 'copy_scores')},
 stats AS (
   SELECT pair_id, side, n AS n_perturbations, avg(likelihood) AS mean,
-         CASE WHEN count(likelihood) <= 1 OR stddev_pop(likelihood) = 0 THEN 1
+         CASE WHEN count(likelihood) <= 1 OR stddev_pop(likelihood) < 1e-9 THEN 1
               ELSE stddev_pop(likelihood) END AS sd
   FROM copy_scores, (VALUES (1), (10)) AS c(n) WHERE copy_id <= n GROUP BY ALL),
 criteria AS (

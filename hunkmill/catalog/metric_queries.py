@@ -359,7 +359,7 @@ copies AS (
   FROM lineitem),
 stats AS (
   SELECT pair_id, n AS n_perturbations, avg(ll) AS mean,
-         CASE WHEN count(*) <= 1 OR stddev_pop(ll) = 0 THEN 1 ELSE stddev_pop(ll) END AS sd
+         CASE WHEN count(*) <= 1 OR stddev_pop(ll) < 1e-9 THEN 1 ELSE stddev_pop(ll) END AS sd
   FROM copies, (VALUES (1), (3), (10)) AS c(n) WHERE copy_id <= n GROUP BY pair_id, n)"""
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -17,3 +17,12 @@ def row_array(names: Sequence[str], *rows: Sequence[object]) -> Column:
         ])
 
     return F.array(*[struct(values) for values in rows])
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    An expression used inside the lambda of an array function is otherwise computed again for every
+    element, because adjacent projections are merged.
+    """
+    return F.transform(F.array(value), body)[0]

@@ -5,16 +5,21 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from hunkmill.functions import pytext
 from hunkmill.functions.shape import row_array
 from hunkmill.operators.curves import areas
-from hunkmill.operators.joins import HOT_PARTS, spread_join
+from hunkmill.operators.joins import HOT_PARTS, at_most, spread_join
+from hunkmill.session import new_shared_path
 
 SMOOTHING = 0.1
 
 
+# Up to this many pairs the model is sent to all tasks (some 100 MB), beyond it is joined by key.
+BROADCAST_PAIRS = 1_000_000
+
+
 @dataclass(frozen=True)
 class WordPairModel:
     """Counts of a reference corpus.
@@ -45,15 +50,27 @@ class WordPairModel:
             vocabulary.select("words"), vocabulary.first()["smoothing"],
         )
 
+    def landed(self, spark: SparkSession) -> WordPairModel:
+        """The same model, counted now and read from the shared folder from here on."""
+        path = new_shared_path(spark, "word-pairs")
+        self.save(path)
+        return WordPairModel.load(spark, path)
+
+
+def word_pairs(
+    texts: DataFrame, keys: Sequence[str] = (), text: str = "text", keep_empty: bool = False
+) -> DataFrame:
+    """One row per token that has one before it: keys, ctx, tok.
 
-def word_pairs(texts: DataFrame, keys: Sequence[str] = (), text: str = "text") -> DataFrame:
-    """One row per token that has one before it: keys, ctx, tok."""
+    With ``keep_empty`` a text without such a token gives one row of nulls.
+    """
     listed = texts.select(*keys, pytext.tokens(F.col(text)).alias("_t"))
-    size = F.size("_t") - 1
+    size = F.greatest(F.size("_t") - 1, F.lit(0))
     followed = F.arrays_zip(
         F.slice("_t", F.lit(1), size).alias("ctx"), F.slice("_t", F.lit(2), size).alias("tok")
     )
-    return listed.where(F.size("_t") > 1).select(*keys, F.inline(followed).alias("ctx", "tok"))
+    unfold = F.inline_outer if keep_empty else F.inline
+    return listed.select(*keys, unfold(followed).alias("ctx", "tok"))
 
 
 def fit(texts: DataFrame, text: str = "text", smoothing: float = SMOOTHING) -> WordPairModel:
@@ -75,7 +92,9 @@ def fit(texts: DataFrame, text: str = "text", smoothing: float = SMOOTHING) -> W
     ranks = levels.select(
         "ctx", "n", (F.coalesce(F.sum("types").over(above), F.lit(0)) + 1).alias("rank")
     )
-    pairs = spread_join(counts, ranks, ["ctx", "n"], "inner", ["tok"]).select(
+    pairs = spread_join(
+        counts, ranks, ["ctx", "n"], "inner", ["tok"], broadcast_rows=0
+    ).select(
         "ctx", "tok", "n", "rank"
     )
     sums = levels.groupBy("ctx").agg(
@@ -97,36 +116,47 @@ def score_texts(texts: DataFrame, model: WordPairModel, keys: Sequence[str]) ->
     """Per text: scored tokens, mean log-probability, rank, log-rank and entropy.
 
     Followers never seen after a context share the rank behind the seen ones. Texts of fewer than
-    two tokens have null scores. Every distinct pair is scored once; the tokens then meet that
-    table in a single join, where frequent pairs are dealt out.
+    two tokens have null scores. With a small model the tokens are not shuffled at all.
     """
-    facts = word_pairs(texts, keys)
-    types = facts.groupBy("ctx", "tok").agg(F.count(F.lit(1)).alias("_uses"))
-    total_uses = types.agg(F.sum("_uses")).scalar()
-    hot = types.where(F.col("_uses") * HOT_PARTS > total_uses).select("ctx", "tok")
+    facts = word_pairs(texts, keys, keep_empty=True)
     words = model.vocabulary.select("words").scalar()
     k = model.smoothing
-    with_pairs = types.select("ctx", "tok").join(model.pairs, ["ctx", "tok"], "left")
-    known = spread_join(with_pairs, model.contexts, ["ctx"], "left", ["tok"])
     total, n = F.coalesce("total", F.lit(0)), F.coalesce("n", F.lit(0))
-    rank = F.coalesce("rank", F.coalesce("seen", F.lit(0)) + 1)
-    scored = known.select(
-        "ctx", "tok",
-        F.log((n + k) / (total + k * words)).alias("log_p"),
-        rank.alias("rank"),
+    values = {
+        "log_p": F.log((n + k) / (total + k * words)),
+        "rank": F.coalesce("rank", F.coalesce("seen", F.lit(0)) + 1),
         # Without any count all words are equally likely.
-        F.coalesce("entropy", F.log(words.cast("double"))).alias("entropy"),
-    )
-    per_token = spread_join(facts, scored, ["ctx", "tok"], "left", list(keys), hot=hot)
-    per_text = per_token.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("scored_tokens"),
+        "entropy": F.coalesce("entropy", F.log(words.cast("double"))),
+    }
+    values = {name: F.when(F.col("tok").isNotNull(), value) for name, value in values.items()}
+    if at_most(model.pairs, BROADCAST_PAIRS):  # there are fewer contexts than pairs
+        per_token = facts.join(F.broadcast(model.pairs), ["ctx", "tok"], "left").join(
+            F.broadcast(model.contexts), "ctx", "left"
+        ).withColumns(values)
+    else:
+        per_token = _score_tokens_by_key(facts, model, keys, values)
+    return per_token.groupBy(*keys).agg(
+        F.count("tok").alias("scored_tokens"),
         F.avg("log_p").alias("likelihood"),
         F.avg("rank").alias("rank"),
         F.avg(F.log(F.col("rank").cast("double"))).alias("log_rank"),
         F.avg("entropy").alias("entropy"),
     )
-    return texts.select(*keys).join(per_text, list(keys), "left").fillna(
-        0, subset=["scored_tokens"]
+
+
+def _score_tokens_by_key(
+    facts: DataFrame, model: WordPairModel, keys: Sequence[str], values: dict[str, Column]
+) -> DataFrame:
+    """Every distinct pair is scored once; the tokens then meet that table in a single join, where
+    frequent pairs are dealt out."""
+    types = facts.groupBy("ctx", "tok").agg(F.count(F.lit(1)).alias("_uses"))
+    total_uses = types.agg(F.sum("_uses")).scalar()
+    hot = types.where(F.col("_uses") * HOT_PARTS > total_uses).select("ctx", "tok")
+    with_pairs = types.select("ctx", "tok").join(model.pairs, ["ctx", "tok"], "left")
+    known = spread_join(with_pairs, model.contexts, ["ctx"], "left", ["tok"], broadcast_rows=0)
+    scored = known.withColumns(values).select("ctx", "tok", *values)
+    return spread_join(
+        facts, scored, ["ctx", "tok"], "left", list(keys), hot=hot, broadcast_rows=0
     )
 
 

@@ -11,6 +11,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 HOT_PARTS = 1000
 SALTS = 64
 
+# A dimension counted to have no more rows than this is sent to all tasks instead of shuffled.
+BROADCAST_ROWS = 200_000
+
+
+def at_most(rows: DataFrame, limit: int) -> bool:
+    """Whether a table has no more than ``limit`` rows; reads no further than that."""
+    return rows.limit(limit + 1).count() <= limit
+
 
 def hot_keys(facts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that each hold more than 1/1000 of the rows (so at most 999 rows)."""
@@ -34,9 +42,12 @@ def spread_join(
     spread_by: Sequence[str] = (),
     salts: int = SALTS,
     hot: DataFrame | None = None,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """``facts`` joined to ``dimension`` with the rows of hot keys dealt over ``salts`` tasks.
+    """``facts`` joined to ``dimension``, whatever share of the rows one key holds.
 
+    A dimension of at most ``broadcast_rows`` rows (it is counted, 0 skips that) is broadcast, and
+    the facts stay where they are. Beyond that the rows of hot keys are dealt over ``salts`` tasks.
     Only the dimension rows of hot keys are repeated. Null keys of ``facts`` are dealt out too
     (they match nothing, but would all meet in one task). ``spread_by`` names the columns that tell
     rows of one key apart; ``how`` is one of inner, left, left_semi, left_anti. Pass ``hot`` when
@@ -44,6 +55,8 @@ def spread_join(
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type: {how}")
+    if broadcast_rows and at_most(dimension, broadcast_rows):
+        return facts.join(F.broadcast(dimension), list(keys), how)
     hot = (hot_keys(facts, keys) if hot is None else hot).withColumn("_hot", F.lit(True))
     spread = list(spread_by) or [c for c in facts.columns if c not in keys]
     deal = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")

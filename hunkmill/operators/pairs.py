@@ -10,6 +10,9 @@ from hunkmill.functions import pytext
 from hunkmill.functions.shape import row_array
 from hunkmill.operators.sampling import shuffle_head
 
+# Equal texts score equally up to the order of summation.
+NO_SPREAD = 1e-9
+
 
 def unfold_pairs(documents: DataFrame, kept: Sequence[str] = ()) -> DataFrame:
     """(pair_id, original, sampled) from two lists of equal length."""
@@ -115,22 +118,26 @@ def corpus_stats(texts: DataFrame) -> DataFrame:
     )
 
 
-def fill_dictionary(pairs: DataFrame) -> DataFrame:
-    """Sorted distinct words of both sides."""
+def distinct_words(pairs: DataFrame) -> DataFrame:
+    """The words of both sides, once each."""
     both = F.array("original", "sampled")
     return (
         pairs.select(F.explode(both).alias("text"))
         .select(F.explode(pytext.words(F.col("text"))).alias("word"))
         .distinct()
-        .orderBy("word")
     )
 
 
+def fill_dictionary(pairs: DataFrame) -> DataFrame:
+    """Sorted distinct words of both sides."""
+    return distinct_words(pairs).orderBy("word")
+
+
 def perturbation_stats(scored: DataFrame, counts: Sequence[int], keys: Sequence[str]) -> DataFrame:
     """Mean and spread of the perturbed scores, for every number of copies at once.
 
     ``scored`` has ``copy_id`` (from 1) and ``ll``. The spread is that of the population; it is 1
-    for a single copy and where all copies score the same.
+    for a single copy and where all copies score the same (to within rounding).
     """
     columns = []
     for n in counts:
@@ -144,7 +151,7 @@ def perturbation_stats(scored: DataFrame, counts: Sequence[int], keys: Sequence[
         ["n_perturbations", "perturbed_ll", "perturbed_ll_std"],
         *[
             [n, F.col(f"_mean_{n}"),
-             F.when((F.col(f"_n_{n}") <= 1) | (F.col(f"_sd_{n}") == 0), 1.0)
+             F.when((F.col(f"_n_{n}") <= 1) | (F.col(f"_sd_{n}") < NO_SPREAD), 1.0)
              .otherwise(F.col(f"_sd_{n}"))]
             for n in counts
         ],

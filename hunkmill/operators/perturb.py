@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hunkmill.functions import fixed_values as fv, pytext
 from hunkmill.functions.draws import bucket_of, order_key, unit_draw
+from hunkmill.functions.shape import let
+from hunkmill.operators.joins import BROADCAST_ROWS
 
 
 def span_count(
@@ -35,36 +37,47 @@ def random_starts(digest: Column, pieces: Column, n: Column, span: int, buffer:
     """
     stretch = span + buffer - 1
     slots = pieces - span - (n - 1) * stretch
-    ordered = F.array_sort(
-        F.transform(
-            F.sequence(F.lit(0), slots - 1),
-            lambda s: F.struct(F.md5(F.concat_ws("|", digest, s.cast("string"))).alias("h"),
-                               s.alias("s")),
+
+    def ordered(prefix: Column) -> Column:
+        return F.array_sort(
+            F.transform(
+                F.sequence(F.lit(0), slots - 1),
+                lambda s: F.struct(
+                    F.md5(F.concat(prefix, s.cast("string"))).alias("h"), s.alias("s")
+                ),
+            )
         )
-    )
-    chosen = F.array_sort(F.transform(F.slice(ordered, F.lit(1), n), lambda x: x["s"]))
+
+    first = F.slice(let(F.concat(digest, F.lit("|")), ordered), F.lit(1), n)
+    chosen = F.array_sort(F.transform(first, lambda x: x["s"]))
     spread = F.transform(chosen, lambda slot, i: (slot + i * stretch).cast("int"))
     return F.when(n > 0, spread).otherwise(F.array().cast("array<int>"))
 
 
 def splice(pieces: Column, starts: Column, span: int, inserts: Column) -> Column:
-    """Text in which the i-th span of pieces is replaced by the i-th insert; linear in the pieces."""
-    n = F.size(starts)
-
-    def before(i: Column) -> Column:
-        begin = F.when(i == 0, 0).otherwise(F.try_element_at(starts, i) + span)
-        stop = F.try_element_at(starts, i + 1)
-        return F.concat(
-            F.slice(pieces, begin + 1, stop - begin),
-            F.array(F.coalesce(F.try_element_at(inserts, i + 1), F.lit(""))),
+    """Text in which the i-th span of pieces is replaced by the i-th insert.
+
+    Linear in the pieces: the text is cut into what lies between the spans, each part followed by
+    its insert.
+    """
+
+    def build(row: Column) -> Column:
+        begins = F.concat(F.array(F.lit(0)), F.transform(row["starts"], lambda s: s + span))
+        ends = F.concat(row["starts"], F.array(F.size(row["pieces"])))
+        parts = F.transform(
+            F.arrays_zip(begins.alias("begin"), ends.alias("end"), row["inserts"].alias("insert")),
+            lambda part: F.concat(
+                F.slice(row["pieces"], part["begin"] + 1, part["end"] - part["begin"]),
+                F.array_compact(F.array(part["insert"])),
+            ),
         )
+        return F.array_join(F.flatten(parts), " ")
 
-    body = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), before))
-    last = F.try_element_at(starts, F.lit(-1)) + span
-    tail = F.slice(pieces, last + 1, F.size(pieces) - last)
-    return F.when(n > 0, F.array_join(F.concat(body, tail), " ")).otherwise(
-        F.array_join(pieces, " ")
+    none = F.array().cast("array<string>")
+    row = F.struct(
+        pieces.alias("pieces"), starts.alias("starts"), F.coalesce(inserts, none).alias("inserts")
     )
+    return let(row, build)
 
 
 def choose_spans(
@@ -135,9 +148,12 @@ def _draw_words(
 ) -> DataFrame:
     """For each text the list of drawn words, ``span`` distinct ones for each of its places.
 
-    The dictionary is joined by number, evenly spread, as it grows with the corpus.
+    The dictionary grows with the corpus: a short one is broadcast, a long one is joined by number,
+    which spreads evenly.
     """
-    total = index.agg(F.count(F.lit(1))).scalar()
+    total = index.count()
+    if total <= BROADCAST_ROWS:
+        index = F.broadcast(index)
     draw = order_key(seed, *[F.col(k) for k in keys], F.col("_place"))
     first = F.floor(unit_draw(F.md5(F.concat(draw, F.lit("a")))) * total)
     wanted = places.select(
@@ -145,7 +161,7 @@ def _draw_words(
     ).withColumn("_first", first)
     if span > 1:
         # j steps never come back to the start, so the words of one place are distinct.
-        widest = F.greatest(F.floor((total - 1) / (span - 1)), F.lit(1))
+        widest = max((total - 1) // (span - 1), 1)
         step = 1 + F.floor(unit_draw(F.md5(F.concat(draw, F.lit("b")))) * widest)
     else:
         step = F.lit(0)
@@ -165,7 +181,7 @@ def _draw_words(
 
 def random_fill(
     texts: DataFrame,
-    words: DataFrame,
+    index: DataFrame,
     keys: Sequence[str],
     span: int = 2,
     buffer: int = 1,
@@ -173,10 +189,13 @@ def random_fill(
     round_up: bool = False,
     seed: int = 0,
 ) -> DataFrame:
-    """Texts with every chosen span replaced by ``span`` distinct random dictionary words."""
+    """Texts with every chosen span replaced by ``span`` distinct random dictionary words.
+
+    ``index`` is a ``dictionary_index``; land it first, it is counted and then joined.
+    """
     chosen = choose_spans(texts, keys, span, buffer, share, round_up, seed)
-    drawn = _draw_words(chosen, dictionary_index(words), keys, span, seed)
-    fills = F.transform(
+    drawn = _draw_words(chosen, index, keys, span, seed)
+    fills = F.transform(  # ``_words`` comes out of the join and is not computed again
         "starts",
         lambda _, i: F.array_join(F.slice("_words", i * span + 1, F.lit(span)), " "),
     )
@@ -188,7 +207,7 @@ def random_fill(
 
 def random_replace(
     texts: DataFrame,
-    words: DataFrame,
+    index: DataFrame,
     keys: Sequence[str],
     span: int = 2,
     buffer: int = 1,
@@ -198,17 +217,17 @@ def random_replace(
     """Every piece is replaced by a random word with probability share*span/(span+2*buffer)."""
     chance = share * span / (span + 2 * buffer)
     digest = order_key(seed, *[F.col(k) for k in keys])
-    hit = F.filter(
-        F.sequence(F.lit(0), F.size("pieces") - 1),
-        lambda i: unit_draw(F.md5(F.concat_ws("|", F.col("_digest"), i.cast("string")))) < chance,
-    )
-    chosen = (
-        texts.withColumn("pieces", pytext.space_pieces(F.col("text")))
-        .withColumn("_digest", digest)
-        .withColumn("starts", hit)
-        .drop("_digest")
+
+    def hits(prefix: Column) -> Column:
+        return F.filter(
+            F.sequence(F.lit(0), F.size("pieces") - 1),
+            lambda i: unit_draw(F.md5(F.concat(prefix, i.cast("string")))) < chance,
+        )
+
+    chosen = texts.withColumn("pieces", pytext.space_pieces(F.col("text"))).withColumn(
+        "starts", let(F.concat(digest, F.lit("|")), hits)
     )
-    drawn = _draw_words(chosen, dictionary_index(words), keys, 1, seed)
+    drawn = _draw_words(chosen, index, keys, 1, seed)
     return chosen.join(drawn, list(keys), "left").select(
         *[c for c in texts.columns if c != "text"],
         splice(F.col("pieces"), F.col("starts"), 1, F.col("_words")).alias("text"),
@@ -227,29 +246,33 @@ def extract_fills(generated: Column) -> Column:
 
 def put_fills(masked: Column, fills: Column) -> Column:
     """Masked text with its marks replaced; '' when there are too few fills."""
-    n = pytext.mask_count(masked)
 
-    def filled(piece: Column) -> Column:
-        number = F.regexp_extract(piece, r"^<extra_id_(\d+)>\z", 1).try_cast("int")
-        known = number.isNotNull() & (number < n)
-        return F.when(known, F.try_element_at(fills, number + 1)).otherwise(piece)
+    def build(row: Column) -> Column:
+        def filled(piece: Column) -> Column:
+            number = F.regexp_extract(piece, r"^<extra_id_(\d+)>\z", 1).try_cast("int")
+            fill = F.when(number < row["n"], F.try_element_at(row["fills"], number + 1))
+            return F.when(piece.startswith(fv.MASK_PREFIX), F.coalesce(fill, piece)).otherwise(
+                piece
+            )
 
-    text = F.array_join(F.transform(pytext.space_pieces(masked), filled), " ")
-    return F.when(F.size(fills) < n, "").otherwise(text)
+        text = F.array_join(F.transform(pytext.space_pieces(masked), filled), " ")
+        return F.when(F.size(row["fills"]) < row["n"], "").otherwise(text)
+
+    return let(F.struct(pytext.mask_count(masked).alias("n"), fills.alias("fills")), build)
 
 
 def apply_fills(generated: DataFrame) -> DataFrame:
     """(masked, generated) to ``text``; ``accepted`` is 0 where the filler must run again."""
-    fills = extract_fills(F.col("generated"))
-    return generated.withColumn("_fills", fills).withColumn(
-        "text", put_fills(F.col("masked"), F.col("_fills"))
-    ).withColumn("accepted", (F.col("text") != "").cast("int")).drop("_fills")
+    text = put_fills(F.col("masked"), extract_fills(F.col("generated")))
+    return generated.withColumn("text", text).withColumn(
+        "accepted", (F.col("text") != "").cast("int")
+    )
 
 
 def perturb_rounds(
-    texts: DataFrame, words: DataFrame, keys: Sequence[str], rounds: int = 1, seed: int = 0, **how
+    texts: DataFrame, index: DataFrame, keys: Sequence[str], rounds: int = 1, seed: int = 0, **how
 ) -> DataFrame:
     """``random_fill`` applied ``rounds`` times, each time with fresh draws."""
     for turn in range(rounds):
-        texts = random_fill(texts, words, keys, seed=seed + turn, **how)
+        texts = random_fill(texts, index, keys, seed=seed + turn, **how)
     return texts

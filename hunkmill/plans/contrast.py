@@ -8,16 +8,22 @@ from pyspark.sql import DataFrame, functions as F
 
 from hunkmill.operators import corpus, curves, pairs, perturb
 from hunkmill.operators.corpus import WordPairModel
+from hunkmill.session import landed
 
 KEYS = ["pair_id", "side"]
 
 
+def fill_index(text_pairs: DataFrame) -> DataFrame:
+    """The numbered words of the texts, landed."""
+    return landed(perturb.dictionary_index(pairs.distinct_words(text_pairs)), "fill-words")
+
+
 def pre_perturb(text_pairs: DataFrame, share: float, span: int = 5, seed: int = 0) -> DataFrame:
     """Only the generated side is perturbed, with the number of spans rounded up."""
     sampled = text_pairs.select("pair_id", F.col("sampled").alias("text"))
-    words = pairs.fill_dictionary(text_pairs)
+    index = fill_index(text_pairs)
     changed = perturb.random_fill(
-        sampled, words, ["pair_id"], span=span, share=share, round_up=True, seed=seed
+        sampled, index, ["pair_id"], span=span, share=share, round_up=True, seed=seed
     )
     return text_pairs.select("pair_id", "original").join(
         changed.withColumnRenamed("text", "sampled"), "pair_id"
@@ -43,10 +49,11 @@ def curvature_scores(
     base = corpus.score_texts(sides, model, KEYS).select(*KEYS, F.col("likelihood").alias("ll"))
     copied = pairs.copies(sides.drop("label"), max(counts))
     changed = perturb.perturb_rounds(
-        copied, pairs.fill_dictionary(text_pairs), [*KEYS, "copy_id"], rounds, seed,
+        copied, fill_index(text_pairs), [*KEYS, "copy_id"], rounds, seed,
         span=span, buffer=buffer, share=share,
     )
-    perturbed = corpus.score_texts(changed, model, [*KEYS, "copy_id"]).select(
+    # The copies are read more than once with a large model, and are costly to make.
+    perturbed = corpus.score_texts(landed(changed, "perturbed"), model, [*KEYS, "copy_id"]).select(
         *KEYS, "copy_id", F.col("likelihood").alias("ll")
     )
     stats = pairs.perturbation_stats(perturbed, counts, KEYS)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -57,3 +57,15 @@ def shared_folder(spark: SparkSession) -> str:
 def new_shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def landed(rows: DataFrame, name: str) -> DataFrame:
+    """The rows, written to the shared folder now and read back from there.
+
+    For tables that several steps read: they are computed once, survive lost executors, and their
+    size is known.
+    """
+    spark = rows.sparkSession
+    path = new_shared_path(spark, name)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
