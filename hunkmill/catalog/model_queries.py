@@ -1 +1,159 @@
+from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from hunkmill.catalog import tables as t
+from hunkmill.catalog.registry import query, tidy
+from hunkmill.operators import curves, models, sampling
+from hunkmill.plans import calibration, messages, trends
+from hunkmill.session import new_shared_path
+
+
+def _vectors(spark, folder):
+    """Embeddings with a class, and strata by vector number."""
+    key = F.col("vec_id")
+    return t.table(spark, folder, "embeddings").select(
+        "vec_id", "embedding", (F.col("label") < 5).cast("int").alias("label"),
+        F.when(key % 2 == 0, "Python").otherwise("Java").alias("language"),
+        F.when(key % 3 == 0, "test").otherwise("source").alias("file_category"),
+        F.when(key % 5 == 0, "very_short").otherwise("short").alias("length_bucket"),
+    )
+
+
+def _fitted(spark, folder):
+    split = sampling.split_exact(_vectors(spark, folder), ["vec_id"])
+    model = models.fit_embedding_detector(split.where("is_test = 0"))
+    return model, split
+
+
+@query(
+    "balanced_weights",
+    """WITH v AS (SELECT vec_id, CAST(label < 5 AS BIGINT) AS label FROM embeddings)
+SELECT vec_id, label, round((SELECT count(*) FROM v) / (2 * count(*) OVER (PARTITION BY label)), 9)
+  AS weight FROM v""",
+)
+def balanced_weights(spark, folder):
+    rows = models.balanced_weights(_vectors(spark, folder))
+    return tidy(rows.select("vec_id", "label", "weight"))
+
+
+@query("embedding_logreg")
+def embedding_logreg(spark, folder):
+    """Probabilities of the held-out vectors."""
+    model, split = _fitted(spark, folder)
+    test = models.embedding_features(split.where("is_test = 1"))
+    return tidy(models.score(model, test).select("vec_id", "label", "prob_ai"), 4)
+
+
+@query("score_hunks")
+def score_hunks(spark, folder):
+    """All vectors scored by a detector that is called on Arrow batches."""
+    model, split = _fitted(spark, folder)
+    weights = model.stages[-1].coefficients.toArray()
+    offset = model.stages[-1].intercept
+
+    def predict(batch):
+        import numpy as np
+        import pandas as pd
+
+        margin = np.stack(batch.to_numpy()) @ weights + offset
+        return pd.Series(1.0 / (1.0 + np.exp(-margin)))
+
+    scored = models.score_with(split, predict, column="embedding")
+    return tidy(scored.select("vec_id", "label", "is_test", "prob_ai"), 4)
+
+
+@query("detector_store")
+def detector_store(spark, folder):
+    """Scores of a detector that was saved and loaded again."""
+    model, split = _fitted(spark, folder)
+    path = new_shared_path(spark, "detector")
+    models.save(model, path)
+    again = models.load(path)
+    rows = models.embedding_features(split)
+    return tidy(models.score(again, rows).select("vec_id", "label", "prob_ai"), 4)
+
+
+def _calibrated(spark, folder):
+    return calibration.calibrate(_vectors(spark, folder), ["vec_id"], max_rows=None)
+
+
+@query("calibration_overall")
+def calibration_overall(spark, folder):
+    return tidy(_calibrated(spark, folder).overall, 6)
+
+
+@query("calibration_strata")
+def calibration_strata(spark, folder):
+    return tidy(_calibrated(spark, folder).strata, 6)
+
+
+@query("scored_trend")
+def scored_trend(spark, folder):
+    """The whole trend job: sampled commits, their hunks scored by a fitted detector, months."""
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = t.hunks(spark, folder)
+    assemble = VectorAssembler(
+        inputCols=["line_count", "file_index", "score"], outputCol="features"
+    )
+    train = assemble.transform(rows.where(F.col("label").isNotNull()))
+    detector = models.LogisticRegression(maxIter=20, regParam=0.01).fit(train)
+
+    def score(hunk_rows):
+        return models.score(detector, assemble.transform(hunk_rows.drop("prob_ai")))
+
+    found = trends.analyse(
+        t.commits(spark, folder), rows, score, 0.33, keys=["commit_hash"], per_month=60
+    )
+    return tidy(found.monthly, 4)
+
+
+@query("tfidf_models")
+def tfidf_models(spark, folder):
+    """The four text classifiers on user and assistant turns."""
+    turns = t.table(spark, folder, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("key"), "role", "text"
+    )
+    human = turns.where(F.col("role") == "user")
+    machine = turns.where(F.col("role") == "assistant")
+    texts = messages.training_texts(human, machine, one_line=True, max_characters=None)
+    return tidy(messages.compare_detectors(texts), 4)
+
+
+@query("detector_eval")
+def detector_eval(spark, folder):
+    """Areas of a text detector fitted on labelled documents, on all of them."""
+    texts = t.labelled_texts(spark, folder)
+    tfidf = models.fit_tfidf(texts)
+    features = tfidf.transform(texts).select("doc_id", "label", "features")
+    detector = models.LogisticRegression(maxIter=50, regParam=0.01).fit(features)
+    scored = models.score(detector, features, "score")
+    return tidy(models.detector_areas(scored.select("label", "score")), 4)
+
+
+@query("usage_trend")
+def usage_trend(spark, folder):
+    """Yearly share of flagged messages out of a fitted detector."""
+    from pyspark.ml.feature import VectorAssembler
+
+    orders = t.table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("key"), (F.year("o_orderdate") + 22).alias("year"),
+        (F.col("o_totalprice") % 1000).alias("a"), F.month("o_orderdate").alias("b"),
+        (F.col("o_orderstatus") == "F").cast("int").alias("label"),
+    )
+    assemble = VectorAssembler(inputCols=["a", "b"], outputCol="features")
+    detector = models.LogisticRegression(maxIter=20).fit(assemble.transform(orders))
+
+    def score(rows):
+        return models.score(detector, assemble.transform(rows), "raw_ai_probability")
+
+    return tidy(messages.usage_trend(orders, score), 4)
+
+
+@query("score_distribution")
+def score_distribution(spark, folder):
+    """Histogram of the detector's probabilities on all vectors."""
+    model, split = _fitted(spark, folder)
+    scored = models.score(model, models.embedding_features(split))
+    return tidy(curves.histogram(scored, "prob_ai", 10), 4)
