@@ -1 +1,412 @@
+"""Sources and sinks: tables written in the shared folder and read back."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from hunkmill import schemas
+from hunkmill.catalog import tables as t
+from hunkmill.catalog.registry import query, tidy
+from hunkmill.catalog.rollup_queries import ANALYSIS, WITH_HUNKS, analysis, summary_sql
+from hunkmill.operators import curves, hunks, rollups
+from hunkmill.plans import trends
+from hunkmill.session import new_shared_path
+from hunkmill.sources import corpora, readers, writers
+
+
+def _pull_file(spark, folder, columns):
+    path = new_shared_path(spark, "pulls")
+    customers = t.table(spark, folder, "customer")
+    rows = customers.select(
+        F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("agent"),
+        F.lit("2025-02-03").alias("created_at"),
+        F.concat(F.lit("https://api.github.com/repos/org/n"),
+                 F.col("c_nationkey").cast("string"), F.lit(".git")).alias("repo_url"),
+        F.lit("h").alias("html_url"), F.col("c_name").alias("title"),
+        (F.col("c_custkey") + 1).alias("number"), F.col("c_acctbal").alias("unread"),
+    )
+    writers.parquet(rows.select(*columns, "unread"), path)
+    return path
+
+
+def _pull_sql(label: int, number: str = "") -> str:
+    return f"""SELECT c_custkey AS id, c_mktsegment AS agent, c_name AS title, {label} AS label,
+       {number} 'https://github.com/org/n' || c_nationkey AS repo_url,
+       'org/n' || c_nationkey AS repo_full_name FROM customer"""
+
+
+@query("ai_pull_requests", _pull_sql(1))
+def ai_pull_requests(spark, folder):
+    path = _pull_file(spark, folder, readers.PULL_COLUMNS)
+    rows = readers.ai_pull_requests(spark, path)
+    return tidy(rows.select("id", "agent", "title", "label", "repo_url", "repo_full_name"))
+
+
+@query("human_pull_requests", _pull_sql(0, "c_custkey + 1 AS number,"))
+def human_pull_requests(spark, folder):
+    path = _pull_file(spark, folder, [*readers.PULL_COLUMNS, "number"])
+    rows = readers.human_pull_requests(spark, path)
+    return tidy(rows.select("id", "agent", "title", "label", "number", "repo_url", "repo_full_name"))
+
+
+@query(
+    "repository_languages",
+    f"WITH {t.PULLS} SELECT repo_url, language, stars FROM repositories",
+)
+def repository_languages(spark, folder):
+    path = new_shared_path(spark, "repositories")
+    rows = t.repositories(spark, folder).select(
+        F.concat("repo_url", F.lit(".git")).alias("url"), F.lit("n").alias("full_name"),
+        "language", "stars",
+    )
+    writers.parquet(rows, path)
+    return readers.repositories(spark, path)
+
+
+@query(
+    "calibration_sample",
+    "SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE lang <> 'fr'",
+)
+def calibration_sample(spark, folder):
+    path = new_shared_path(spark, "sample")
+    text = F.when(F.col("lang") == "fr", "").otherwise(F.col("text"))
+    writers.parquet(
+        t.table(spark, folder, "documents").select("doc_id", text.alias("snippet")), path
+    )
+    rows = readers.calibration_sample(spark, path)
+    return rows.select("doc_id", F.md5("snippet").alias("text_md5"))
+
+
+@query(
+    "commit_details",
+    f"""WITH {t.PATCH_LINES}, joined AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS patch FROM patch_lines GROUP BY doc_id)
+SELECT doc_id AS pr_id, 'added' AS status, md5(patch) AS patch_md5 FROM joined""",
+)
+def commit_details(spark, folder):
+    path = new_shared_path(spark, "details")
+    rows = t.patches(spark, folder).select(
+        F.col("doc_id").alias("pr_id"), F.lit("s").alias("sha"), F.lit("a").alias("author"),
+        F.lit("c").alias("committer"), F.lit("m").alias("message"),
+        F.lit("f.py").alias("filename"), F.lit("added").alias("status"), "patch",
+    )
+    writers.parquet(rows, path)
+    return readers.commit_details(spark, path).select(
+        "pr_id", "status", F.md5("patch").alias("patch_md5")
+    )
+
+
+@query(
+    "repo_partitions",
+    """SELECT o_orderstatus AS repo, strftime(o_orderdate, '%Y-%m') AS calendar_month,
+       count(*) AS commits FROM orders WHERE o_orderstatus IN ('F', 'P') GROUP BY ALL""",
+)
+def repo_partitions(spark, folder):
+    """Commits written by repository; two of the repositories are read."""
+    path = new_shared_path(spark, "commits")
+    rows = t.commits(spark, folder).select(
+        "repo", F.col("commit_hash").cast("string").alias("commit_hash"),
+        F.date_format("author_date", "yyyy-MM-dd'T'HH:mm:ssXXX").alias("author_date"),
+    )
+    writers.parquet_by_repo(rows, path, ["commit_hash"], files_per_repo=4)
+    read = readers.mined_commits(spark, path, ["F", "P"])
+    return read.groupBy("repo", "calendar_month").agg(F.count(F.lit(1)).alias("commits"))
+
+
+@query(
+    "csv_columns",
+    """SELECT 'd' || doc_id AS hash, text AS message, CAST(n_chars AS VARCHAR) AS insertions
+FROM documents""",
+)
+def csv_columns(spark, folder):
+    """Whole texts with quotes, commas and line breaks through CSV files."""
+    path = new_shared_path(spark, "csv")
+    rows = t.table(spark, folder, "documents").select(
+        F.concat(F.lit("d"), F.col("doc_id")).alias("hash"), F.col("text").alias("message"),
+        F.col("n_chars").cast("string").alias("insertions"), F.col("lang").alias("unread"),
+    )
+    writers.csv(rows, path)
+    return readers.csv_columns(
+        spark, path, ["hash", "message", "insertions", "unread"],
+        ["hash", "message", "insertions"],
+    )
+
+
+@query(
+    "dated_messages",
+    """SELECT event_type AS message, CAST(year(ts) AS BIGINT) AS year, count(*) AS n
+FROM events WHERE event_type NOT IN ('error', 'view') GROUP BY ALL""",
+)
+def dated_messages(spark, folder):
+    """Messages with a year out of a CSV file; undated and unreadable dates go."""
+    path = new_shared_path(spark, "csv")
+    date = (
+        F.when(F.col("event_type") == "error", "not a date")
+        .when(F.col("event_type") != "view", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    )
+    writers.csv(
+        t.table(spark, folder, "events").select("event_id", "event_type", date.alias("author_date")),
+        path,
+    )
+    read = readers.csv_columns(
+        spark, readers.existing(spark, [path, path + "-missing"]),
+        ["event_id", "event_type", "author_date"], ["event_type", "author_date"],
+    )
+    messages = readers.dated_messages(read, "event_type", "author_date")
+    return tidy(messages.groupBy("message", "year").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query(
+    "summary_csv",
+    f"""WITH {ANALYSIS}, monthly AS (
+{summary_sql('repo, calendar_month', WITH_HUNKS)} GROUP BY ALL)
+SELECT repo, threshold_label, round(avg(commit_ai_fraction), 7) AS mean_commit_ai_fraction
+FROM monthly GROUP BY ALL""",
+)
+def summary_csv(spark, folder):
+    """The monthly table through CSV, then the robustness table."""
+    path = new_shared_path(spark, "monthly")
+    monthly = rollups.monthly_summary(analysis(spark, folder))
+    writers.csv(monthly.select(*schemas.MONTHLY_SUMMARY.names), path)
+    read = readers.summary_csv(spark, path, schemas.MONTHLY_SUMMARY)
+    return tidy(rollups.threshold_robustness(read).drop("weighted_commit_ai_fraction"), 7)
+
+
+# --- nested commits ---------------------------------------------------------------------------
+def _commit_documents(spark, folder):
+    """Orders with their lines as modified files, one method each, and parsed diff lines."""
+    lines = t.table(spark, folder, "lineitem").groupBy("l_orderkey").agg(
+        F.array_sort(F.collect_list(F.struct(
+            "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag",
+            "l_extendedprice",
+        ))).alias("lines")
+    )
+
+    def file(line):
+        number = line["l_linenumber"].cast("string")
+        nothing = F.lit(None).cast("string")
+        span = [line["l_linenumber"].alias("start_line"),
+                (line["l_linenumber"] + 3).alias("end_line")]
+        long_name = F.concat(F.lit("m"), number, F.lit("(x)")).alias("long_name")
+        name = F.concat(F.lit("m"), number).alias("name")
+        method = F.struct(
+            name, long_name, *span, line["l_quantity"].cast("int").alias("complexity"),
+            F.lit(2).alias("nloc"), F.array(F.lit("x")).alias("params"),
+        )
+        changed = F.struct(name, long_name, *span)
+        pair = F.array(F.array(number, F.concat(F.lit("a"), line["l_partkey"].cast("string"))))
+        return F.struct(
+            F.concat(F.lit("f"), line["l_partkey"].cast("string"), F.lit(".py")).alias("filename"),
+            nothing.alias("old_path"), nothing.alias("new_path"),
+            line["l_returnflag"].alias("change_type"), nothing.alias("diff"),
+            F.struct(pair.alias("added"), F.when(line["l_returnflag"] == "R", pair).alias("deleted"))
+            .alias("diff_parsed"),
+            line["l_quantity"].cast("int").alias("added_lines"), F.lit(0).alias("deleted_lines"),
+            nothing.alias("source_code"), nothing.alias("source_code_before"),
+            F.lit(1).alias("nloc"), F.lit(1).alias("complexity"), F.lit(1).alias("token_count"),
+            F.array(method).alias("methods"),
+            F.when(line["l_returnflag"] == "A", F.array(changed)).alias("changed_methods"),
+        )
+
+    orders = t.table(spark, folder, "orders")
+    person = F.struct(
+        F.concat(F.lit("c"), F.col("o_custkey")).alias("name"), F.lit("e").alias("email")
+    )
+    return orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
+        F.concat(F.lit("order "), F.col("o_orderkey"), F.lit("\n\nbody")).alias("msg"),
+        person.alias("author"), F.array(person).alias("co_authors"), person.alias("committer"),
+        F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ssXXX").alias("author_date"),
+        F.lit(1).alias("deletions"), F.lit(2).alias("insertions"), F.lit(3).alias("lines"),
+        F.coalesce(F.size("lines"), F.lit(0)).alias("files"),
+        F.concat(F.lit("h"), F.col("o_orderkey")).alias("hash"),
+        F.transform("lines", file).alias("modified_files"),
+    )
+
+
+def _landed_commits(spark, folder):
+    path = new_shared_path(spark, "commits-json")
+    writers.json_documents(_commit_documents(spark, folder), path)
+    return writers.land_commits(spark, path, new_shared_path(spark, "commits-landed"), lines=True)
+
+
+@query(
+    "commit_messages",
+    "SELECT 'h' || o_orderkey AS hash, 'order ' || o_orderkey || chr(10) || chr(10) || 'body' AS text FROM orders",
+)
+def commit_messages(spark, folder):
+    return readers.messages_of(_landed_commits(spark, folder))
+
+
+@query(
+    "commit_flatten",
+    """SELECT 'h' || o_orderkey AS hash, 'c' || o_custkey AS author_name,
+       'f' || l_partkey || '.py' AS filename, l_returnflag AS change_type,
+       CAST(l_quantity AS BIGINT) AS added_lines
+FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey""",
+)
+def commit_flatten(spark, folder):
+    rows = hunks.flatten_files(_landed_commits(spark, folder))
+    return tidy(rows.select("hash", "author_name", "filename", "change_type", "added_lines"))
+
+
+@query(
+    "method_flatten",
+    """SELECT 'h' || l_orderkey AS hash, 'm' || l_linenumber || '(x)' AS long_name,
+       l_linenumber + 3 AS end_line, CAST(l_quantity AS BIGINT) AS complexity, 1 AS param_count,
+       CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END AS changed
+FROM orders JOIN lineitem ON o_orderkey = l_orderkey""",
+)
+def method_flatten(spark, folder):
+    rows = hunks.flatten_methods(_landed_commits(spark, folder))
+    changed = F.coalesce(F.col("is_changed").cast("long"), F.lit(0)).alias("changed")
+    return tidy(rows.select("hash", "long_name", "end_line", "complexity", "param_count", changed))
+
+
+@query(
+    "changed_line_flatten",
+    """WITH l AS (SELECT 'h' || l_orderkey AS hash, l_linenumber AS line, 'a' || l_partkey AS text,
+                         l_returnflag FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
+SELECT hash, 'added' AS side, line, text FROM l
+UNION ALL SELECT hash, 'deleted', line, text FROM l WHERE l_returnflag = 'R'""",
+)
+def changed_line_flatten(spark, folder):
+    rows = hunks.flatten_changed_lines(_landed_commits(spark, folder))
+    return tidy(rows.select("hash", "side", "line", "text"))
+
+
+@query(
+    "co_author_flatten",
+    "SELECT 'h' || o_orderkey AS hash, 'c' || o_custkey AS name FROM orders",
+)
+def co_author_flatten(spark, folder):
+    return hunks.flatten_co_authors(_landed_commits(spark, folder)).select("hash", "name")
+
+
+# --- result documents -------------------------------------------------------------------------
+@query(
+    "generated_texts",
+    """SELECT 'run' || (conv_id % 3) AS run, count(*) AS texts, CAST(sum(length(text)) AS BIGINT) AS chars
+FROM conversations WHERE role = 'assistant' AND length(trim(text, ' ' || chr(10))) > 5
+GROUP BY ALL""",
+)
+def generated_texts(spark, folder):
+    """Result documents found by a pattern; one folder holds no generated texts, one is broken."""
+    base = new_shared_path(spark, "results")
+    turns = t.table(spark, folder, "conversations").where(F.col("role") == "assistant")
+    documents = turns.groupBy("conv_id").agg(
+        F.collect_list("text").alias("original"), F.collect_list("text").alias("sampled")
+    )
+    for i in range(3):
+        writers.json_documents(
+            documents.where(F.col("conv_id") % 3 == i).drop("conv_id"), f"{base}/model/run{i}"
+        )
+    writers.json_documents(documents.select("original").limit(1), f"{base}/model/empty")
+    writers.text_lines(documents.select(F.lit("{broken").alias("value")).limit(1), f"{base}/model/bad")
+    read = readers.raw_pair_documents(spark, f"{base}/model/*", lines=True)
+    run = F.regexp_extract("path", r"/(run\d)/", 1)
+    return tidy(readers.generated_texts(read).groupBy(run.alias("run")).agg(
+        F.count(F.lit(1)).alias("texts"), F.sum(F.length("text")).alias("chars")
+    ))
+
+
+@query(
+    "result_scores",
+    """SELECT 'detector' || (vec_id % 4) AS name, CAST(label < 5 AS BIGINT) AS label,
+       count(*) AS n, round(sum(embedding[1]::DOUBLE), 5) AS total FROM embeddings GROUP BY ALL""",
+)
+def result_scores(spark, folder):
+    """Score lists per side, written as result documents, read and unfolded."""
+    path = new_shared_path(spark, "experiments")
+    score = F.col("embedding")[0].cast("double")
+    rows = t.table(spark, folder, "embeddings").groupBy(
+        F.concat(F.lit("detector"), (F.col("vec_id") % 4).cast("string")).alias("name")
+    ).agg(F.struct(
+        F.collect_list(F.when(F.col("label") >= 5, score)).alias("real"),
+        F.collect_list(F.when(F.col("label") < 5, score)).alias("samples"),
+    ).alias("predictions"))
+    writers.json_documents(rows, path)
+    read = spark.read.schema(schemas.EXPERIMENT_RESULT).json(path)
+    return tidy(curves.predictions_long(read).groupBy("name", "label").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("score").alias("total")
+    ), 5)
+
+
+# --- aligned text files -----------------------------------------------------------------------
+_LINE = "replace(replace(text, chr(10), ' '), chr(13), ' ')"
+
+
+@query(
+    "aligned_lines",
+    f"""SELECT row_number() OVER (ORDER BY doc_id) - 1 AS line, lang AS left_text,
+       md5({_LINE}) AS right_md5 FROM documents""",
+)
+def aligned_lines(spark, folder):
+    left, right = _aligned_files(spark, folder)
+    rows = readers.aligned_lines(spark, left, right)
+    return tidy(rows.select("line", F.col("left").alias("left_text"), F.md5("right").alias("right_md5")))
+
+
+def _aligned_files(spark, folder):
+    """Two single files with one line per document, in document order."""
+    base = new_shared_path(spark, "aligned")
+    one_line = F.replace(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("\r"), F.lit(" "))
+    documents = t.table(spark, folder, "documents").select("doc_id", "lang", one_line.alias("text"))
+    # The format asks for single files, so this test data is written by one task.
+    for name, column in (("left", "lang"), ("right", "text")):
+        ordered = documents.orderBy("doc_id").select(F.col(column).alias("value")).coalesce(1)
+        writers.text_lines(ordered, f"{base}/{name}")
+    return f"{base}/left", f"{base}/right"
+
+
+@query(
+    "writing_corpus",
+    f"""WITH joined AS (SELECT doc_id, lang || ' ' || {_LINE} AS x FROM documents)
+SELECT row_number() OVER (ORDER BY doc_id) - 1 AS key, md5(trim(x, ' ')) AS text_md5 FROM joined""",
+)
+def writing_corpus(spark, folder):
+    left, right = _aligned_files(spark, folder)
+    texts = corpora.stories(readers.aligned_lines(spark, left, right))
+    return tidy(texts.select("key", F.md5("text").alias("text_md5")))
+
+
+# --- summaries --------------------------------------------------------------------------------
+@query(
+    "run_summary",
+    f"""WITH {t.COMMITS}, {t.HUNKS}
+SELECT repo, count(DISTINCT c.commit_hash) AS commit_rows, count(h.commit_hash) AS hunk_rows
+FROM commits c LEFT JOIN hunks h USING (commit_hash) GROUP BY repo""",
+)
+def run_summary(spark, folder):
+    """Per-repository sizes written as JSON documents and read back."""
+    path = new_shared_path(spark, "summaries")
+    commits = t.commits(spark, folder)
+    rows = t.hunks(spark, folder).join(commits.select("repo", "commit_hash"), "commit_hash")
+    writers.json_documents(trends.repo_summaries(commits, rows), path)
+    read = spark.read.schema(schemas.REPO_SUMMARY).json(path)
+    return read.select("repo", "commit_rows", "hunk_rows")
+
+
+@query(
+    "frozen_config_file",
+    """SELECT 0.44999999999999996::DOUBLE AS threshold, 'source,test' AS main_file_categories,
+       (SELECT count(DISTINCT (l_returnflag, l_linestatus)) FROM lineitem) AS allowed""",
+)
+def frozen_config_file(spark, folder):
+    """A configuration written and read as one JSON document."""
+    path = new_shared_path(spark, "config")
+    strata = t.table(spark, folder, "lineitem").select(
+        F.col("l_returnflag").alias("language"), F.col("l_linestatus").alias("file_category"),
+        F.lit("short").alias("length_bucket"),
+    ).distinct()
+    config = strata.agg(
+        F.lit(0.44999999999999996).alias("threshold"),
+        F.collect_list(F.struct("language", "file_category", "length_bucket"))
+        .alias("allowed_combinations"),
+        F.array(F.lit("source"), F.lit("test")).alias("main_file_categories"),
+    )
+    writers.run_summary(config, path)
+    read = readers.frozen_config(spark, path)
+    return read.select(
+        "threshold", F.array_join("main_file_categories", ",").alias("main_file_categories"),
+        F.size("allowed_combinations").cast("long").alias("allowed"),
+    )

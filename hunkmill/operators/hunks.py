@@ -253,16 +253,16 @@ def flatten_co_authors(commits: DataFrame) -> DataFrame:
 def flatten_changed_lines(commits: DataFrame) -> DataFrame:
     """Added and deleted lines from the parsed diff, as (side, line, text)."""
     files_ = commits.select("hash", F.posexplode("modified_files").alias("file_index", "file"))
-    lines = F.concat(
-        *[
-            F.transform(
-                f"file.diff_parsed.{side}",
-                lambda pair, side=side: F.struct(
-                    F.lit(side).alias("side"), pair[0].try_cast("int").alias("line"),
-                    pair[1].alias("text"),
-                ),
-            )
-            for side in ("added", "deleted")
-        ]
-    )
+
+    def side(name: str) -> Column:
+        pairs = F.coalesce(f"file.diff_parsed.{name}", F.array().cast("array<array<string>>"))
+        return F.transform(
+            pairs,
+            lambda pair: F.struct(
+                F.lit(name).alias("side"), pair[0].try_cast("int").alias("line"),
+                pair[1].alias("text"),
+            ),
+        )
+
+    lines = F.concat(side("added"), side("deleted"))
     return files_.select("hash", "file_index", F.inline(lines))

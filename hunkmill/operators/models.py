@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from hunkmill.functions.draws import order_key, unit_draw
 from hunkmill.operators.curves import areas
 from hunkmill.operators.evaluation import probability_metrics
+from hunkmill.session import landed
 
 VOCABULARY = 5000
 # Words of two or more word characters.
@@ -122,7 +123,10 @@ def fit_linear_svm(
     features: DataFrame, key: str, label: str = "label", folds: int = 5, seed: int = 42
 ) -> PipelineModel:
     """Linear SVM whose margins become probabilities by a logistic fit on held-out folds."""
-    machine = LinearSVC(labelCol=label, maxIter=100, regParam=1.0 / max(features.count(), 1))
+    machine = LinearSVC(
+        labelCol=label, maxIter=30, tol=1e-3, standardization=False,
+        regParam=1.0 / max(features.count(), 1),
+    )
     fold = F.floor(unit_draw(order_key(seed, F.col(key))) * folds)
     numbered = features.withColumn("_fold", fold)
     margin = VectorSlicer(inputCol="rawPrediction", outputCol="_margin", indices=[1])
@@ -134,7 +138,7 @@ def fit_linear_svm(
     sigmoid = LogisticRegression(
         featuresCol="_margin", labelCol=label, maxIter=100, standardization=False,
         rawPredictionCol="_sigmoid_raw", predictionCol="_sigmoid_prediction",
-    ).fit(margin.transform(margins.select(label, "rawPrediction")))
+    ).fit(landed(margin.transform(margins.select(label, "rawPrediction")), "svm-margins"))
     return PipelineModel(stages=[machine.fit(features), margin, sigmoid])
 
 
@@ -157,20 +161,21 @@ def compare_text_models(
     trees: int = 100,
 ) -> DataFrame:
     """Metrics per model on the rows with ``is_test`` = 1, fitted on the others."""
-    train, test = rows.where(F.col("is_test") == 0), rows.where(F.col("is_test") == 1)
-    tfidf = fit_tfidf(train, text, vocabulary)
-    kept = [key, label, "features"]
-    train_features = tfidf.transform(train).select(*kept).persist()
-    test_features = tfidf.transform(test).select(*kept)
+    rows = landed(rows.select(key, label, text, "is_test"), "labelled-texts")
+    tfidf = fit_tfidf(rows.where("is_test = 0"), text, vocabulary)
+    # Read by every iteration of every model.
+    features = landed(tfidf.transform(rows).select(key, label, "is_test", "features"), "features")
+    train, test_features = features.where("is_test = 0").persist(), features.where("is_test = 1")
+    size = train.count()
     fitted = {}
     for name, estimator in text_models(label).items():
         if isinstance(estimator, LogisticRegression):
-            estimator.setRegParam(1.0 / max(train_features.count(), 1))
+            estimator.setRegParam(1.0 / size)
         if isinstance(estimator, RandomForestClassifier):
             estimator.setNumTrees(trees)
-        fitted[name] = estimator.fit(train_features)
-    fitted["SVM (Linear)"] = fit_linear_svm(train_features, key, label)
-    train_features.unpersist()
+        fitted[name] = estimator.fit(train)
+    fitted["SVM (Linear)"] = fit_linear_svm(train, key, label)
+    train.unpersist()
     parts = [
         model.transform(test_features).select(
             F.lit(name).alias("Model"), F.col(label).alias("label"),

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from hunkmill import schemas
 from hunkmill.functions import identity
+from hunkmill.functions.pytext import strip
 from hunkmill.functions.scoring import calendar_month, not_nan, utc_moment
 
 PULL_COLUMNS = ["id", "agent", "created_at", "repo_url", "html_url", "title"]
@@ -104,24 +105,29 @@ def existing(spark: SparkSession, paths: Sequence[str]) -> list[str]:
     return found
 
 
-def commit_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Nested commits out of JSON arrays.
+def commit_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Nested commits out of JSON arrays, or with ``lines`` out of one document per line.
 
     One array file is read by one task: write large exports once as Parquet (``land_commits``).
+    Files with a document per line are split.
     """
-    return spark.read.schema(schemas.COMMIT_DOCUMENT).option("multiLine", True).json(path)
+    reader = spark.read.schema(schemas.COMMIT_DOCUMENT).option("multiLine", not lines)
+    return reader.json(path)
 
 
 def messages_of(documents: DataFrame) -> DataFrame:
     return documents.select("hash", F.col("msg").alias("text"))
 
 
-def raw_pair_documents(spark: SparkSession, pattern: str) -> DataFrame:
-    """Result documents matching a glob that parse and have generated texts, with their path."""
+def raw_pair_documents(spark: SparkSession, pattern: str, lines: bool = False) -> DataFrame:
+    """Result documents matching a glob that parse and have generated texts, with their path.
+
+    ``lines``: one document per line instead of one per file.
+    """
     schema = T.StructType([*schemas.RAW_PAIRS.fields,
                            T.StructField("_corrupt_record", T.StringType())])
     rows = (
-        spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE")
+        spark.read.schema(schema).option("multiLine", not lines).option("mode", "PERMISSIVE")
         .json(pattern)
         .withColumn("path", F.col("_metadata.file_path"))
     )
@@ -132,8 +138,6 @@ def raw_pair_documents(spark: SparkSession, pattern: str) -> DataFrame:
 
 def generated_texts(documents: DataFrame, min_length: int = 5) -> DataFrame:
     """Generated texts longer than ``min_length`` characters once trimmed."""
-    from hunkmill.functions.pytext import strip
-
     return documents.select(
         "path", F.posexplode("sampled").alias("position", "text")
     ).where(F.length(strip(F.col("text"))) > min_length)

@@ -43,7 +43,7 @@ def text_lines(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").text(path)
 
 
-def land_commits(spark: SparkSession, source: str, path: str) -> DataFrame:
-    """JSON commit arrays to Parquet, once; later jobs read the splittable copy."""
-    readers.commit_documents(spark, source).write.mode("overwrite").parquet(path)
+def land_commits(spark: SparkSession, source: str, path: str, lines: bool = False) -> DataFrame:
+    """JSON commits to Parquet, once; later jobs read the splittable copy."""
+    readers.commit_documents(spark, source, lines).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
