@@ -6,6 +6,7 @@ from hunkmill.catalog import tables as t
 from hunkmill.catalog.registry import query, tidy
 from hunkmill.operators import rollups
 from hunkmill.operators.hunks import commit_file_rollup
+from hunkmill.operators.sampling import sample_by_strata
 
 THRESHOLD = 0.44999999999999996
 BANDS = rollups.bands(THRESHOLD)
@@ -149,7 +150,10 @@ def strata_counts(spark, folder):
 
 @query(
     "label_counts",
-    f"""WITH {t.HUNKS}, main AS (SELECT * FROM hunks WHERE language <> 'Go')
+    f"""WITH {t.HUNKS}, main AS (
+  SELECT * FROM (SELECT *, row_number() OVER (
+    PARTITION BY label, language, file_category, length_bucket ORDER BY {t.HUNK_DIGEST}) AS place
+    FROM hunks) WHERE place <= 100)
 SELECT (SELECT count(*) FROM hunks) AS full_rows,
        (SELECT count(*) FROM hunks WHERE label = 0) AS full_human,
        (SELECT count(*) FROM hunks WHERE label = 1) AS full_machine,
@@ -162,7 +166,7 @@ SELECT (SELECT count(*) FROM hunks) AS full_rows,
 )
 def label_counts(spark, folder):
     rows = t.hunks(spark, folder)
-    counts = rollups.label_counts(rows, rows.where(F.col("language") != "Go"))
+    counts = rollups.label_counts(rows, sample_by_strata(rows, t.HUNK_KEY, 100))
     return tidy(counts.withColumns({
         c: F.array_join(c, ",") for c in ("languages", "file_categories")
     }))

@@ -10,8 +10,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from hunkmill.functions.scoring import calendar_month, length_bucket
 
 
+# Long texts are costly per row. One small file is one task, so its rows are dealt out by key.
+SPREAD_KEYS = {"documents": "doc_id", "conversations": "conv_id"}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    tasks = spark.sparkContext.defaultParallelism
+    if name in SPREAD_KEYS and len(rows.inputFiles()) < tasks:
+        return rows.repartition(tasks, SPREAD_KEYS[name])
+    return rows  # as many files as tasks need no shuffle
 
 
 # --- commits: orders --------------------------------------------------------------------------

@@ -176,7 +176,7 @@ _WORDS = t.words_sql("text")
 @query(
     "story_cleanup",
     """WITH raw AS (
-  SELECT doc_id, '[ WP ]' || replace(replace(replace(text, ',', ' ,'), '. ', ' . '), chr(10),
+  SELECT doc_id, '[ WP ] ' || replace(replace(replace(text, ',', ' ,'), '. ', ' . '), chr(10),
                                      '<newline> ') || ' ( i''m `` it '' was ''''n''t ' AS text
   FROM documents),
 tagged AS (SELECT doc_id, replace(replace(text, '[ WP ]', ''), '[ OT ]', '') AS x FROM raw),
@@ -196,11 +196,13 @@ def story_cleanup(spark, folder):
     spaced = F.replace(F.col("text"), F.lit(","), F.lit(" ,"))
     spaced = F.replace(spaced, F.lit(". "), F.lit(" . "))
     spaced = F.replace(spaced, F.lit("\n"), F.lit("<newline> "))
-    raw = F.concat(F.lit("[ WP ]"), spaced, F.lit(" ( i'm `` it ' was ''n't "))
-    cleaned = pytext.clean_story(pytext.clean_prompt(raw))
-    rows = _documents(spark, folder).select("doc_id", cleaned.alias("x"))
-    return tidy(rows.where(~pytext.has_rejected_word(F.col("x"))).select(
-        "doc_id", F.md5("x").alias("text_md5"), F.length("x").alias("n_chars")
+    raw = F.concat(spaced, F.lit(" ( i'm `` it ' was ''n't "))
+    rows = _documents(spark, folder).select(
+        F.col("doc_id").alias("line"), F.lit("[ WP ]").alias("left"), raw.alias("right")
+    )
+    return tidy(corpora.stories(rows).select(
+        F.col("key").alias("doc_id"), F.md5("text").alias("text_md5"),
+        F.length("text").alias("n_chars"),
     ))
 
 

@@ -118,7 +118,7 @@ def areas(
 
 
 def histogram(
-    rows: DataFrame, value: str, bins: int | Column, log: bool = False
+    rows: DataFrame, value: str, bins: int, log: bool = False
 ) -> DataFrame:
     """Equal-width histogram over the value range: (bin, low, high, count), empty bins included.
 
@@ -130,13 +130,12 @@ def histogram(
         values = rows.where(number > 0).select(F.log10(number).alias("x"))
     else:
         values = rows.where(number.isNotNull() & ~F.isnan(number)).select(number.alias("x"))
-    wanted = F.lit(bins) if isinstance(bins, int) else bins
     flat = F.min("x") == F.max("x")
     span = values.agg(
         F.struct(
             F.when(flat, F.min("x") - 0.5).otherwise(F.min("x")).alias("low"),
             F.when(flat, F.max("x") + 0.5).otherwise(F.max("x")).alias("high"),
-            wanted.cast("int").alias("bins"),
+            F.lit(bins).alias("bins"),
         ).alias("range")
     )
     bounds = span.scalar()
@@ -179,4 +178,6 @@ def automatic_bins(rows: DataFrame, value: str) -> DataFrame:
 
 
 def automatic_histogram(rows: DataFrame, value: str) -> DataFrame:
-    return histogram(rows, value, automatic_bins(rows, value).select("bins").scalar())
+    """The histogram with that number of bins (one number, read first)."""
+    bins = automatic_bins(rows, value).first()["bins"]
+    return histogram(rows, value, bins or 1)
