@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from hunkmill.functions import pytext
 from hunkmill.functions.shape import row_array
 from hunkmill.operators.sampling import shuffle_head
+from hunkmill.session import landed
 
 # Equal texts score equally up to the order of summation.
 NO_SPREAD = 1e-9
@@ -104,8 +105,8 @@ def prepare_corpus(
         is_long = pytext.word_count(F.col("text")) > 250
         some = cleaned.agg(F.coalesce(F.max(is_long.cast("int")), F.lit(0))).scalar()
         cleaned = cleaned.where(is_long | (some == 0))
-    if head is not None:
-        cleaned = shuffle_head(cleaned, head, [key], seed)
+    if head is not None:  # read three times from here on
+        cleaned = shuffle_head(landed(cleaned, "clean-texts"), head, [key], seed)
     if max_tokens is not None:
         cleaned = cleaned.where(pytext.token_count(F.col("text")) <= max_tokens)
     return cleaned
