@@ -360,7 +360,7 @@ def _aligned_files(spark, folder):
 
 @query(
     "writing_corpus",
-    f"""WITH joined AS (SELECT doc_id, lang || ' ' || {_LINE} AS x FROM documents)
+    f"""WITH joined AS (SELECT doc_id, lang || chr(10) || {_LINE} AS x FROM documents)
 SELECT row_number() OVER (ORDER BY doc_id) - 1 AS key, md5(trim(x, ' ')) AS text_md5 FROM joined""",
 )
 def writing_corpus(spark, folder):

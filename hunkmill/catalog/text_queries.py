@@ -176,7 +176,7 @@ _WORDS = t.words_sql("text")
 @query(
     "story_cleanup",
     """WITH raw AS (
-  SELECT doc_id, '[ WP ] ' || replace(replace(replace(text, ',', ' ,'), '. ', ' . '), chr(10),
+  SELECT doc_id, '[ WP ]' || chr(10) || ' ' || replace(replace(replace(text, ',', ' ,'), '. ', ' . '), chr(10),
                                      '<newline> ') || ' ( i''m `` it '' was ''''n''t ' AS text
   FROM documents),
 tagged AS (SELECT doc_id, replace(replace(text, '[ WP ]', ''), '[ OT ]', '') AS x FROM raw),

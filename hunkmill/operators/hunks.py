@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hunkmill.functions import files, fixed_values as fv, identity, patch as diff, pytext
-from hunkmill.functions.scoring import length_bucket
+from hunkmill.functions.scoring import length_bucket, utc_moment
 from hunkmill.operators.joins import spread_join
 from hunkmill.operators.sampling import sample_per_language
 
@@ -120,10 +120,11 @@ def minable_commits(
 ) -> DataFrame:
     """No merges, no bots; with bounds only commits dated within them."""
     rows = commits.where(F.size("parents") <= 1)
+    committed = utc_moment(F.col("committer_date").cast("string"))
     if since is not None:
-        rows = rows.where(F.col("committer_date") >= F.lit(since).cast("timestamp"))
+        rows = rows.where(committed >= F.lit(since).cast("timestamp"))
     if until is not None:
-        rows = rows.where(F.col("committer_date") <= F.lit(until).cast("timestamp"))
+        rows = rows.where(committed <= F.lit(until).cast("timestamp"))
     return rows.where(
         ~identity.is_bot(
             F.col("author.name"), F.col("author.email"),
@@ -166,7 +167,8 @@ def commit_metrics(commits: DataFrame, hunks: DataFrame) -> DataFrame:
             F.col("author.name").alias("author_name"), F.col("author.email").alias("author_email"),
             F.col("committer.name").alias("committer_name"),
             F.col("committer.email").alias("committer_email"),
-            "author_date", "committer_date",
+            F.col("author_date").cast("string").alias("author_date"),
+            F.col("committer_date").cast("string").alias("committer_date"),
             pytext.escape_newlines(F.col("msg")).alias("message"),
             F.size("parents").alias("parents"), "files", "insertions", "deletions", "lines",
         )

@@ -29,9 +29,9 @@ COMMIT_METRICS = _struct(
     ("author_email", "string"), ("committer_name", "string"), ("committer_email", "string"),
     ("author_date", "string"), ("committer_date", "string"), ("message", "string"),
     ("parents", "integer"), ("files", "integer"), ("insertions", "integer"), ("deletions", "integer"),
-    ("lines", "integer"), ("hunk_count", "integer"), ("added_hunk_lines", "integer"),
-    ("source_file_count", "integer"), ("test_file_count", "integer"), ("docs_file_count", "integer"),
-    ("config_file_count", "integer"),
+    ("lines", "integer"), ("hunk_count", "long"), ("added_hunk_lines", "long"),
+    ("source_file_count", "long"), ("test_file_count", "long"), ("docs_file_count", "long"),
+    ("config_file_count", "long"),
 )
 HUNK_METRICS = _struct(
     ("repo", "string"), ("commit_hash", "string"), ("author_date", "string"),

@@ -11,9 +11,11 @@ from hunkmill.sources import readers
 def stories(prompts: DataFrame) -> DataFrame:
     """(line, left = prompt, right = story) to cleaned texts without rejected words.
 
+    Prompt and story stand on lines of their own.
+
     Cleaning neither makes nor breaks a rejected word, so those texts go before the costly part.
     """
-    joined = F.concat(pytext.clean_prompt(F.col("left")), F.lit(" "), F.col("right"))
+    joined = F.concat(pytext.clean_prompt(F.col("left")), F.lit("\n "), F.col("right"))
     kept = prompts.where(~pytext.has_rejected_word(joined))
     return kept.select(F.col("line").alias("key"), pytext.clean_story(joined).alias("text"))
 
