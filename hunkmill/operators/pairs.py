@@ -101,15 +101,19 @@ def prepare_corpus(
     cleaned = distinct_texts(texts, key).withColumn("text", pytext.one_space(F.col("text")))
     if dedup_after_cleaning:
         cleaned = distinct_texts(cleaned, key)
+    columns = cleaned.columns
+    if long_only or head is not None:  # read several times from here on, mostly without the texts
+        counted = cleaned.withColumn("_words", pytext.word_count(F.col("text")))
+        cleaned = landed(counted, "clean-texts")
     if long_only:
-        is_long = pytext.word_count(F.col("text")) > 250
+        is_long = F.col("_words") > 250
         some = cleaned.agg(F.coalesce(F.max(is_long.cast("int")), F.lit(0))).scalar()
         cleaned = cleaned.where(is_long | (some == 0))
-    if head is not None:  # read three times from here on
-        cleaned = shuffle_head(landed(cleaned, "clean-texts"), head, [key], seed)
+    if head is not None:
+        cleaned = shuffle_head(cleaned, head, [key], seed)
     if max_tokens is not None:
         cleaned = cleaned.where(pytext.token_count(F.col("text")) <= max_tokens)
-    return cleaned
+    return cleaned.select(columns)
 
 
 def corpus_stats(texts: DataFrame) -> DataFrame:

@@ -156,9 +156,10 @@ def _draw_words(
         index = F.broadcast(index)
     draw = order_key(seed, *[F.col(k) for k in keys], F.col("_place"))
     first = F.floor(unit_draw(F.md5(F.concat(draw, F.lit("a")))) * total)
-    wanted = places.select(
-        *keys, F.posexplode("starts").alias("_place", "_start")
-    ).withColumn("_first", first)
+    # The outer form, as the plain one would add a filter on ``starts`` below, and so draw the
+    # places several times over.
+    unfolded = places.select(*keys, F.posexplode_outer("starts").alias("_place", "_start"))
+    wanted = unfolded.where(F.col("_start").isNotNull()).withColumn("_first", first)
     if span > 1:
         # j steps never come back to the start, so the words of one place are distinct.
         widest = max((total - 1) // (span - 1), 1)
