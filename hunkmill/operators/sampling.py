@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hunkmill.functions.draws import bucket_of, order_key, unit_draw
+from hunkmill.operators.joins import BROADCAST_ROWS, at_most
+from hunkmill.session import landed
 
 STRATA = ("label", "language", "file_category", "length_bucket")
 
@@ -87,6 +89,13 @@ def _cutoffs(
     return last.unionByName(none)
 
 
+def _small(cuts: DataFrame) -> DataFrame:
+    """The cut-offs, found now. Up to 200,000 of them are broadcast, so that the rows themselves are
+    only filtered and not shuffled by group."""
+    found = landed(cuts, "cut-offs")
+    return F.broadcast(found) if at_most(found, BROADCAST_ROWS) else found
+
+
 def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     other = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
     same = F.lit(True)
@@ -113,7 +122,7 @@ def smallest_n(
     if not by:
         cut = cuts.select("_cut").scalar()
         return rows.where(F.coalesce(order <= cut, F.lit(True)))
-    joined = _null_safe(rows, cuts, by, "left")
+    joined = _null_safe(rows, _small(cuts), by, "left")
     return joined.where(F.col("_cut").isNull() | (order <= F.col("_cut"))).drop("_cut")
 
 
@@ -224,7 +233,7 @@ def split_exact(
     order = order_key(seed, *[F.col(k) for k in key])
     # Without a cut the whole group is taken.
     taken = F.coalesce(order <= F.col("_cut"), F.lit(True)).cast("int")
-    return _null_safe(rows, cuts, by, "left").withColumn("is_test", taken).drop("_cut")
+    return _null_safe(rows, _small(cuts), by, "left").withColumn("is_test", taken).drop("_cut")
 
 
 def shuffle_head(
