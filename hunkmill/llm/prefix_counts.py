@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import struct
 import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -60,13 +61,18 @@ class PrefixCounter:
         self.agree: dict[tuple[str, str], bool] = {}
         special = {t["content"] for t in spec["added_tokens"]}
         entries = [t for t in model["vocab"] if t not in special]
-        self.inner = {t for t in entries if not t.endswith(self.end)}
-        self.final = {t[: -len(self.end)] for t in entries if t.endswith(self.end)}
-        self.longest = max(map(len, self.inner | self.final))
+        self.longest = max(len(t.removesuffix(self.end)) for t in entries)
         self.known: dict[str, bool] = {}
         self.edges: dict[tuple[str, int], list[tuple[str, float]]] = {}
         self.words: dict[str, list[int]] = {}
+        self.steps = Memo(lambda piece: _steps(self.piece(piece)))
         self.memo = Memo(self._word)
+        #: Which entries encodings can hold: 1 inside a word, 2 at its end, 3 both.
+        self.usable: dict[str, int] = {}
+        for entry in entries:
+            if self._reached(entry):
+                text = entry.removesuffix(self.end)
+                self.usable[text] = self.usable.get(text, 0) | (2 if entry != text else 1)
 
     def _edge(self, token: str, side: int) -> list[tuple[str, float]]:
         """The entries that stood at this side of a token while it was built, first to last, each with
@@ -127,18 +133,6 @@ class PrefixCounter:
                 j += 1
         return True
 
-    def _fits(self, before: str, token: str, final: bool) -> bool:
-        """Whether ``token`` can follow ``before`` ("" at the start) in an encoding."""
-        mark = token + self.end if final else token
-        if not before:
-            return self._reached(mark)
-        known = self.agree.get((before, mark))
-        if known is None:
-            if len(self.agree) >= PAIRS_KEPT:
-                self.agree.clear()
-            known = self.agree[before, mark] = self._reached(mark) and self._apart(before, mark)
-        return known
-
     def piece(self, text: str) -> list[int]:
         """Counts at the end of each byte of a piece, if the piece ended there."""
         ended = self.words.get(text)
@@ -151,21 +145,34 @@ class PrefixCounter:
         return ended
 
     def _piece(self, text: str) -> list[int]:
-        size, inner, final, longest, fits = len(text), self.inner, self.final, self.longest, self._fits
+        size, longest, usable, agree, end_mark = len(text), self.longest, self.usable.get, self.agree, self.end
+        if len(agree) >= PAIRS_KEPT:
+            agree.clear()
         last, count, ended = [""] * (size + 1), [0] * (size + 1), []
         for end in range(1, size + 1):
-            low = max(0, end - longest)
-            for start in range(low, end):
+            open_kinds = 3 if end < size else 2
+            for start in range(end - longest if end > longest else 0, end):
                 token = text[start:end]
-                if token in final and fits(last[start], token, True):
-                    ended.append(count[start] + 1)
+                kinds = usable(token)
+                if not kinds or not kinds & open_kinds:
+                    continue
+                before = last[start]
+                for kind in (1, 2):
+                    if kinds & open_kinds & kind:
+                        mark = token if kind == 1 else token + end_mark
+                        if before:
+                            fits = agree.get((before, mark))
+                            if fits is None:
+                                fits = agree[before, mark] = self._apart(before, mark)
+                            if not fits:
+                                continue
+                        open_kinds ^= kind
+                        if kind == 1:
+                            last[end], count[end] = token, count[start] + 1
+                        else:
+                            ended.append(count[start] + 1)
+                if not open_kinds:
                     break
-            if end < size:
-                for start in range(low, end):
-                    token = text[start:end]
-                    if token in inner and fits(last[start], token, False):
-                        last[end], count[end] = token, count[start] + 1
-                        break
         return ended
 
     def _plain(self, text: str) -> list[int]:
@@ -248,7 +255,11 @@ class PrefixCounter:
         return counts
 
     def _word(self, word: bytes) -> bytes:
-        return np.diff(np.array(self.counts(word.decode("utf-8", "replace")), np.int64)).astype("<i4").tobytes()
+        text = word.decode("utf-8", "replace")
+        if text.isascii() and text.isprintable() and "'" not in text and not any(mark in text for mark in self.special_marks):
+            return b"".join(map(self.steps.__getitem__, self.pieces.findall(text.lower())))
+        counts = self.counts(text)
+        return _steps(counts[1:])
 
     def deltas(self, text: bytes) -> np.ndarray:
         """Change of the count at each code point of a whole text."""
@@ -260,6 +271,11 @@ class PrefixCounter:
         return out
 
 
+def _steps(counts: list[int]) -> bytes:
+    """Changes from count to count, beginning at 0."""
+    return array("i", map(int.__sub__, counts, [0, *counts[:-1]])).tobytes()
+
+
 _joining: set[str] = set()
 
 
