@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -22,9 +23,18 @@ def apply_settings(spark: SparkSession) -> SparkSession:
     """Set the run-time settings the jobs rely on (results depend only on the UTC time zone)."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    importable_by_workers(spark)
     return spark
 
 
+def importable_by_workers(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver did (a cluster installs it)."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession:
     """A single-JVM session for tests and the bench; clusters bring their own."""
     builder = (
