@@ -29,7 +29,7 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
 def writing(path: str):
     system, name = _open(path)
     system.create_dir(name.rsplit("/", 1)[0], recursive=True)
-    return system.open_output_stream(name)
+    return system.open_output_stream(name, compression=None)
 
 
 def reading(path: str):
