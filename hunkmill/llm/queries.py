@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hunkmill.llm import chat, personal_data, prefix_counts, quality, token_files
+from hunkmill.llm import chat, personal_data, prefix_counts, quality, token_files, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -64,3 +64,14 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     """Token counts of all documents, and how much of each fits into 2048 tokens."""
     counted = prefix_counts.count_prefixes(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return prefix_counts.within_budget(counted, 2048).drop("prefixes")
+
+
+@query("op8_warc_chunks")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages written to archives and read back as chunks; the last chunk of a record has its whole
+    length and digest."""
+    records = warc.with_record_types(table(spark, folder, "pages"))
+    read = warc.read_archives(warc.write_archives(records), with_data=False)
+    return read.where("last").select(
+        F.col("key").alias("page_id"), F.col("bytes_so_far").alias("payload_bytes"), F.col("digest_so_far").alias("payload_digest"), "record_type", "refers_to",
+    )
