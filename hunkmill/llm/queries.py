@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hunkmill.llm import chat, personal_data, prefix_counts, quality, token_files, warc
+from hunkmill.llm import chat, jaccard, personal_data, prefix_counts, quality, token_files, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,6 +52,12 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return personal_data.find_personal_data(table(spark, folder, "documents"))
 
 
+@query("op4_jaccard_classes")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """Classes of documents linked by a Jaccard similarity of 0.75 of their five-word shingles."""
+    return jaccard.jaccard_classes(table(spark, folder, "documents"))
+
+
 @query("op6_token_files")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     """Writes the ids of all documents in document order, each ended by id 1, and reads them back."""
