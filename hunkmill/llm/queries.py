@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hunkmill.llm import chat, jaccard, personal_data, prefix_counts, quality, token_files, warc
+from hunkmill.llm import (
+    chat, decontamination, jaccard, line_templates, mixing, personal_data, prefix_counts, quality, token_files, warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -58,6 +60,15 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_classes(table(spark, folder, "documents"))
 
 
+@query("op5_mixing_rates")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Posteriors and rates of all documents for 90 % clean, 7 % toxic and 3 % low-quality tokens."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    rated, classifier = mixing.with_rates(docs.select("doc_id", "text"), mixing.label_domains(labels), {"clean": 0.90, "toxic": 0.07, "low": 0.03})
+    shares = [F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(classifier.domains)]
+    return rated.select(F.col("row.doc_id").alias("doc_id"), "n_tokens", *shares, "rate")
+
+
 @query("op6_token_files")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     """Writes the ids of all documents in document order, each ended by id 1, and reads them back."""
@@ -81,3 +92,15 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return read.where("last").select(
         F.col("key").alias("page_id"), F.col("bytes_so_far").alias("payload_bytes"), F.col("digest_so_far").alias("payload_digest"), "record_type", "refers_to",
     )
+
+
+@query("op9_line_templates")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents without the lines whose template recurs in three or more documents."""
+    return line_templates.drop_recurring_lines(table(spark, folder, "documents"))
+
+
+@query("op10_decontamination")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """Windows of documents that are similar to a benchmark item."""
+    return decontamination.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
