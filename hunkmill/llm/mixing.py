@@ -12,7 +12,7 @@ Bounds: the classifier is fitted on at most ``SAMPLE_ROWS`` labelled documents a
 words; counts, posteriors and sums cover all documents.
 
 Edge cases: a null or empty text has no tokens and does not matter to the sums, its posterior is
-that of a text without any of the words; labels with null id or domain are ignored, of several labels the smallest domain
+the share of the domains; labels with null id or domain are ignored, of several labels the smallest domain
 counts; without labels there are no domains and every rate is 1; repeated and null ids are rows like
 others; an empty table gives an empty table; extra columns are kept by ``with_rates``.
 """
@@ -55,7 +55,7 @@ def _told(rows: DataFrame, text: str) -> DataFrame:
 
 
 class Classifier:
-    """Domains with log odds: ``base`` without any word, ``words`` added for each that is there."""
+    """Domains with log scores: ``base``, their shares, and ``words``, added for each word that is there."""
 
     def __init__(self, domains: list[str], base: list[float], words: dict[str, list[float]]):
         self.domains, self.base, self.words = domains, base, words
@@ -84,19 +84,18 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return Classifier([], [], {})
     per_domain = [F.count_if(F.col("domain") == d).alias(f"d{i}") for i, d in enumerate(domains)]
     counts = told.select("domain", F.explode("seen").alias("word")).groupBy("word").agg(*per_domain)
-    # Mutual information of word and domain: which words tell the domains apart.
+    # The part of the mutual information that a word's presence has on the domain.
+    # Only what is there counts, so short texts are not judged by what they lack.
     gain, all_docs = F.lit(0.0), sum((F.col(f"d{i}") for i in range(len(domains))), F.lit(0))
     for i, d in enumerate(domains):
-        for there, words in ((F.col(f"d{i}"), all_docs), (F.lit(sizes[d]) - F.col(f"d{i}"), F.lit(total) - all_docs)):
-            part = there * F.log(there * float(total) / (words * float(sizes[d])))
-            gain = gain + F.when(there > 0, part).otherwise(0.0)
+        there = F.col(f"d{i}")
+        gain = gain + F.when(there > 0, there * F.log(there * float(total) / (all_docs * float(sizes[d])))).otherwise(0.0)
     best = counts.withColumn("gain", gain).orderBy(F.desc("gain"), "word").limit(vocabulary).collect()
     base = [math.log(sizes[d] / total) for d in domains]
     words = {}
     for row in best:
         share = [(row[f"d{i}"] + 0.5) / (sizes[d] + 1.0) for i, d in enumerate(domains)]
-        words[row.word] = [math.log(p / (1 - p)) for p in share]
-        base = [b + math.log(1 - p) for b, p in zip(base, share)]
+        words[row.word] = [math.log(p) - math.log(sum(share) / len(share)) for p in share]
     return Classifier(domains, base, words)
 
 
