@@ -1,6 +1,6 @@
 """Soft-membership mixing of domains to target weights, with DataFrame functions only.
 
-A labelled table says for some documents which domain they belong to. A naive Bayes classifier over the
+A labelled table says for some documents which domain they belong to. A logistic classifier over the
 words (and three text marks) that tell the domains apart gives every document a posterior per domain.
 Nonnegative rates per document are then fitted so that the expected tokens of each domain, the sum of
 rate x posterior x tokens, meet the targets: projected gradient on the least squares of what is
@@ -12,7 +12,7 @@ Bounds: the classifier is fitted on at most ``SAMPLE_ROWS`` labelled documents a
 words; counts, posteriors and sums cover all documents.
 
 Edge cases: a null or empty text has no tokens and does not matter to the sums, its posterior is
-the share of the domains; labels with null id or domain are ignored, of several labels the smallest domain
+that of a text without any of the words; labels with null id or domain are ignored, of several labels the smallest domain
 counts; without labels there are no domains and every rate is 1; repeated and null ids are rows like
 others; an empty table gives an empty table; extra columns are kept by ``with_rates``.
 """
@@ -21,6 +21,8 @@ from __future__ import annotations
 
 import math
 
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hunkmill.llm.sized import sent_if_small
@@ -28,6 +30,7 @@ from hunkmill.session import landed
 
 SAMPLE_ROWS = 50_000
 VOCABULARY = 48
+PENALTY = 1e-4
 STEPS, CLOSE = 40, 1e-6
 
 
@@ -55,7 +58,7 @@ def _told(rows: DataFrame, text: str) -> DataFrame:
 
 
 class Classifier:
-    """Domains with log scores: ``base``, their shares, and ``words``, added for each word that is there."""
+    """Domains with log scores: ``base``, and ``words``, added for each word that is there."""
 
     def __init__(self, domains: list[str], base: list[float], words: dict[str, list[float]]):
         self.domains, self.base, self.words = domains, base, words
@@ -73,7 +76,7 @@ class Classifier:
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", domain: str = "domain", sample_rows: int = SAMPLE_ROWS, vocabulary: int = VOCABULARY) -> Classifier:
-    """Naive Bayes on the labelled documents whose hashed ids come first."""
+    """Logistic regression on the labelled documents whose hashed ids come first."""
     known = labels.where(F.col(key).isNotNull() & F.col(domain).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.min(F.col(domain).cast("string")).alias("domain"))
     chosen = landed(known.orderBy(F.xxhash64("key"), "key").limit(sample_rows), "labelled")
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key")
@@ -85,17 +88,20 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     per_domain = [F.count_if(F.col("domain") == d).alias(f"d{i}") for i, d in enumerate(domains)]
     counts = told.select("domain", F.explode("seen").alias("word")).groupBy("word").agg(*per_domain)
     # The part of the mutual information that a word's presence has on the domain.
-    # Only what is there counts, so short texts are not judged by what they lack.
     gain, all_docs = F.lit(0.0), sum((F.col(f"d{i}") for i in range(len(domains))), F.lit(0))
     for i, d in enumerate(domains):
         there = F.col(f"d{i}")
         gain = gain + F.when(there > 0, there * F.log(there * float(total) / (all_docs * float(sizes[d])))).otherwise(0.0)
     best = counts.withColumn("gain", gain).orderBy(F.desc("gain"), "word").limit(vocabulary).collect()
-    base = [math.log(sizes[d] / total) for d in domains]
-    words = {}
-    for row in best:
-        share = [(row[f"d{i}"] + 0.5) / (sizes[d] + 1.0) for i, d in enumerate(domains)]
-        words[row.word] = [math.log(p) - math.log(sum(share) / len(share)) for p in share]
+    chosen_words = [row.word for row in best]
+    place = F.create_map(*[F.lit(x) for i, d in enumerate(domains) for x in (d, float(i))])
+    there = F.transform(F.array(*[F.lit(w) for w in chosen_words]), lambda w: F.array_contains("seen", w).cast("double"))
+    rows = told.select(F.element_at(place, F.col("domain")).alias("label"), array_to_vector(there).alias("features"))
+    if len(domains) < 2 or not chosen_words:
+        return Classifier(domains, [math.log(sizes[d] / total) for d in domains], {})
+    model = LogisticRegression(family="multinomial", regParam=PENALTY, maxIter=100, standardization=False).fit(rows)
+    base = [float(x) for x in model.interceptVector]
+    words = {w: [float(model.coefficientMatrix[d, i]) for d in range(len(domains))] for i, w in enumerate(chosen_words)}
     return Classifier(domains, base, words)
 
 
