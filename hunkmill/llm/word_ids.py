@@ -43,14 +43,32 @@ class WordIds:
         self.library = Tokenizer.from_file(path)
         #: Bytes of an id in files.
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.memo = Memo(self._ids)
+        self.memo: dict[bytes, bytes] = {}
 
-    def _ids(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        texts = [word.decode("utf-8", "replace") for word in words]
+        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
+        return {word: np.array(one.ids, self.kind).tobytes() for word, one in zip(words, found)}
 
     def encode(self, text: bytes) -> bytes:
-        return b"".join(map(self.memo.__getitem__, text.split()))
+        """The ids; words that are new to this worker go through the library together."""
+        if b"<|" not in text:  # the vocabulary is lower case; only its special strings tell cases apart
+            text = text.lower()
+        words = text.split()
+        new = set(words).difference(self.memo)
+        if len(self.memo) + len(new) > KEPT_WORDS:
+            self.memo.clear()
+            new = set(words)
+        long = {word for word in new if len(word) > KEPT_BYTES}
+        if new:
+            self.memo.update(self._learn(list(new - long)))
+        if not long and len(self.memo) <= KEPT_WORDS:
+            return b"".join(map(self.memo.__getitem__, words))
+        once_only = self._learn(list(long))
+        out = b"".join(once_only[w] if len(w) > KEPT_BYTES else self.memo[w] for w in words)
+        if len(self.memo) > KEPT_WORDS:
+            self.memo.clear()
+        return out
 
 
 _loaded: dict[tuple, object] = {}
