@@ -108,7 +108,7 @@ def plain_components(count, edges):
 
 def test_parts_of_a_graph(spark):
     draw = random.Random(5)
-    names = draw.sample(range(-(1 << 62), 1 << 62), 60)
+    names = [draw.randrange(-(1 << 62), 1 << 62) for _ in range(60)]
     edges = [(i, i + 1) for i in range(30)] + [(40, 41), (41, 42), (50, 50)]
     frame = spark.createDataFrame([(names[a], names[b]) for a, b in edges], "a long, b long")
     got = {r.node: r.part for r in graphs.connected(frame).collect()}
@@ -175,7 +175,7 @@ def plain_lines(rows):
 
 def test_recurring_templates_are_dropped_and_others_kept(spark):
     notices = [f"Copyright {1990 + i} held by the author number {i}" for i in range(5)]
-    rows = [(i, "\n".join([f"own line of text {chr(97 + i)} {chr(99 + i)}{chr(98 + i)} unlike", notices[i % 5], "two words", "Cookies are used on this page"])) for i in range(8)]
+    rows = [(i, "\n".join([f"{chr(97 + i)} line of its own, unlike others", notices[i % 5], "two words", "Cookies are used on this page"])) for i in range(8)]
     rows += [(8, "Cookies are used on that page\n\nalone here in this text"), (None, None), (9, ""), (10, "alone here in this text")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"line": F.lit(1), "leaf": F.lit("clash")})
     got = {r.doc_id: r for r in line_templates.drop_recurring_lines(docs).collect()}
