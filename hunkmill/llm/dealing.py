@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 BLOBS = "kind int, bucket long, data binary"
 #: Numbers gathered by a task before it deals them.
@@ -37,7 +37,8 @@ def dealt(rows: np.ndarray, by: str, buckets: int, kind: int = 0) -> pa.RecordBa
 
 
 def in_buckets(rows: DataFrame, partitions: int) -> DataFrame:
-    return rows.repartition(partitions, "bucket").sortWithinPartitions("bucket")
+    """Each bucket in the partition of its number: as many buckets as partitions, evenly filled."""
+    return rows.repartitionById(partitions, F.col("bucket").cast("int")).sortWithinPartitions("bucket")
 
 
 def bucket_runs(batches: Iterator[pa.RecordBatch], dtype: np.dtype) -> Iterator[tuple[int, np.ndarray | pa.RecordBatch]]:

@@ -100,7 +100,7 @@ def _first_by_hash(tokens: np.ndarray) -> np.ndarray:
 
 def _repeated_counts(docs: DataFrame, text: str, partitions: int) -> DataFrame:
     """(key, n): how many of a set's first tokens by hash occur in another set; at least that many."""
-    buckets = 4 * partitions
+    buckets = partitions
 
     def post(batches):
         held, size, seen = [], 0, set()
@@ -189,9 +189,10 @@ def _common_tokens(sets: DataFrame, total: int) -> np.ndarray:
 
 def _ranked(sets: DataFrame, common: np.ndarray, partitions: int) -> DataFrame:
     """key, size, tokens of the sets that have enough repeated tokens: these, rarest first."""
-    buckets = 4 * partitions
+    buckets = partitions
 
     def post(batches):
+        held, gathered = [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -205,10 +206,20 @@ def _ranked(sets: DataFrame, common: np.ndarray, partitions: int) -> DataFrame:
             passed["k"] = np.concatenate([keys, rows["k"][often]])
             passed["t"] = np.concatenate([np.full(len(keys), SIZE_MARK), rows["t"][often]])
             passed["df"] = np.concatenate([sizes.astype(np.uint32), np.full(int(often.sum()), COMMON_DF)])
-            yield dealt(passed, "k", buckets, kind=1)
-            yield dealt(rows[~often], "t", buckets)
+            held.append((passed, rows[~often]))
+            gathered += len(rows)
+            if gathered >= GATHERED:
+                yield from send(held)
+                held, gathered = [], 0
+        if held:
+            yield from send(held)
+
+    def send(held):
+        yield dealt(np.concatenate([passed for passed, _ in held]), "k", buckets, kind=1)
+        yield dealt(np.concatenate([rows for _, rows in held]), "t", buckets)
 
     def rank(batches):
+        held, gathered = [], 0
         for kind, run in bucket_runs(batches, POST):
             if kind:
                 yield run
@@ -218,7 +229,13 @@ def _ranked(sets: DataFrame, common: np.ndarray, partitions: int) -> DataFrame:
             more = df[place] > 1
             out = np.empty(int(more.sum()), RANKED)
             out["t"], out["k"], out["df"] = run["t"][more], run["k"][more], df[place][more]
-            yield dealt(out, "k", buckets, kind=1)
+            held.append(out)
+            gathered += len(out)
+            if gathered >= GATHERED:
+                yield dealt(np.concatenate(held), "k", buckets, kind=1)
+                held, gathered = [], 0
+        if held:
+            yield dealt(np.concatenate(held), "k", buckets, kind=1)
 
     def gather(batches):
         for _, run in bucket_runs((_as_kind(b, 0) for b in batches), RANKED):
