@@ -108,7 +108,7 @@ def repo_partitions(spark, folder):
         "repo", F.col("commit_hash").cast("string").alias("commit_hash"),
         F.date_format("author_date", "yyyy-MM-dd'T'HH:mm:ssXXX").alias("author_date"),
     )
-    writers.parquet_by_repo(rows, path, ["commit_hash"], files_per_repo=4)
+    writers.parquet_by_repo(rows, path)
     read = readers.mined_commits(spark, path, ["F", "P"])
     return read.groupBy("repo", "calendar_month").agg(F.count(F.lit(1)).alias("commits"))
 

@@ -104,7 +104,7 @@ def scored_trend(spark, folder):
         return models.score(detector, assemble.transform(hunk_rows.drop("prob_ai")))
 
     found = trends.analyse(
-        t.commits(spark, folder), rows, score, 0.33, keys=["commit_hash"], per_month=60
+        t.commits(spark, folder), rows, score, 0.33, keys=["commit_hash"]
     )
     return tidy(found.monthly, 4)
 

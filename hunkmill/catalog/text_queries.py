@@ -235,7 +235,7 @@ chosen AS (SELECT * FROM lengthy
            UNION ALL SELECT * FROM cleaned WHERE NOT EXISTS (SELECT 1 FROM lengthy)),
 shuffled AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', '0', doc_id))) AS place
              FROM chosen),
-prepared AS (SELECT * FROM shuffled WHERE place <= 5000 AND len({t.tokens_sql('text')}) <= 512)"""
+prepared AS (SELECT * FROM shuffled)"""
 
 
 @query(

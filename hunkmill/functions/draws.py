@@ -11,8 +11,17 @@ SPAN = 4294967296.0
 
 
 def order_key(seed: int, *key: Column) -> Column:
-    """Text whose order is a repeatable shuffle of the keys (keys: integers or text)."""
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in key]))
+    """Text whose order is a repeatable shuffle of the keys (keys: integers or text).
+
+    Different keys are digested from different texts: nulls are written as a sign of their own, and
+    separators inside a key are escaped. Whole numbers are written plainly.
+    """
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[_plain(k.cast("string")) for k in key]))
+
+
+def _plain(part: Column) -> Column:
+    escaped = F.replace(F.replace(part, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\p"))
+    return F.coalesce(escaped, F.lit("\\n"))
 
 
 def unit_draw(digest: Column) -> Column:

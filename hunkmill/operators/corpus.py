@@ -10,14 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from hunkmill.functions import pytext
 from hunkmill.functions.shape import row_array
 from hunkmill.operators.curves import areas
-from hunkmill.operators.joins import HOT_PARTS, at_most, spread_join
+from hunkmill.operators.joins import BROADCAST_BYTES, fits, hot_keys, spread_join
 from hunkmill.session import new_shared_path
 
 SMOOTHING = 0.1
 
 
 # Up to this many pairs the model is sent to all tasks (some 100 MB), beyond it is joined by key.
-BROADCAST_PAIRS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -93,7 +92,7 @@ def fit(texts: DataFrame, text: str = "text", smoothing: float = SMOOTHING) -> W
         "ctx", "n", (F.coalesce(F.sum("types").over(above), F.lit(0)) + 1).alias("rank")
     )
     pairs = spread_join(
-        counts, ranks, ["ctx", "n"], "inner", ["tok"], broadcast_rows=0
+        counts, ranks, ["ctx", "n"], "inner", ["tok"], broadcast_bytes=0
     ).select(
         "ctx", "tok", "n", "rank"
     )
@@ -129,7 +128,7 @@ def score_texts(texts: DataFrame, model: WordPairModel, keys: Sequence[str]) ->
         "entropy": F.coalesce("entropy", F.log(words.cast("double"))),
     }
     values = {name: F.when(F.col("tok").isNotNull(), value) for name, value in values.items()}
-    if at_most(model.pairs, BROADCAST_PAIRS):  # there are fewer contexts than pairs
+    if fits(model.pairs, BROADCAST_BYTES):  # there are fewer contexts than pairs
         per_token = facts.join(F.broadcast(model.pairs), ["ctx", "tok"], "left").join(
             F.broadcast(model.contexts), "ctx", "left"
         ).withColumns(values)
@@ -150,13 +149,12 @@ def _score_tokens_by_key(
     """Every distinct pair is scored once; the tokens then meet that table in a single join, where
     frequent pairs are dealt out."""
     types = facts.groupBy("ctx", "tok").agg(F.count(F.lit(1)).alias("_uses"))
-    total_uses = types.agg(F.sum("_uses")).scalar()
-    hot = types.where(F.col("_uses") * HOT_PARTS > total_uses).select("ctx", "tok")
+    hot = hot_keys(types, ["ctx", "tok"], "_uses")
     with_pairs = types.select("ctx", "tok").join(model.pairs, ["ctx", "tok"], "left")
-    known = spread_join(with_pairs, model.contexts, ["ctx"], "left", ["tok"], broadcast_rows=0)
+    known = spread_join(with_pairs, model.contexts, ["ctx"], "left", ["tok"], broadcast_bytes=0)
     scored = known.withColumns(values).select("ctx", "tok", *values)
     return spread_join(
-        facts, scored, ["ctx", "tok"], "left", list(keys), hot=hot, broadcast_rows=0
+        facts, scored, ["ctx", "tok"], "left", list(keys), hot=hot, broadcast_bytes=0
     )
 
 

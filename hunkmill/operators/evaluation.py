@@ -21,7 +21,7 @@ STRATUM = ["language", "file_category", "length_bucket"]
 def confusion_counts(
     threshold: Column, label: str = "label", score: str = "prob_ai"
 ) -> list[Column]:
-    machine, flagged = F.col(label) == 1, F.col(score) >= threshold
+    machine, flagged = F.col(label) == 1, (F.col(score) >= threshold) & ~F.isnan(score)
     return [
         F.count_if(flagged & machine).alias("tp"), F.count_if(~flagged & ~machine).alias("tn"),
         F.count_if(flagged & ~machine).alias("fp"), F.count_if(~flagged & machine).alias("fn"),
@@ -60,7 +60,7 @@ def threshold_sweep(
     most ``len(thresholds) + 1`` rows, and the sweep is done on that table.
     """
     grid = sorted(thresholds)
-    reached = sum(((F.col("prob_ai") >= t).cast("int") for t in grid), F.lit(0))
+    reached = sum((((F.col("prob_ai") >= t) & ~F.isnan("prob_ai")).cast("int") for t in grid), F.lit(0))
     levels = predictions.groupBy(reached.alias("reached")).agg(
         F.count_if(F.col("label") == 1).alias("machine"),
         F.count_if(F.col("label") == 0).alias("human"),

@@ -4,34 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-# A key is hot when it holds more than 1/HOT_PARTS of all rows, so there are fewer than HOT_PARTS
-# hot keys, however large the table: that bounds what is broadcast.
-HOT_PARTS = 1000
-SALTS = 64
+from hunkmill.session import landed
 
-# A dimension counted to have no more rows than this is sent to all tasks instead of shuffled.
-BROADCAST_ROWS = 200_000
+# A table of no more bytes than this is sent to all tasks instead of shuffled.
+BROADCAST_BYTES = 32 << 20
 
 
-def at_most(rows: DataFrame, limit: int) -> bool:
-    """Whether a table has no more than ``limit`` rows; reads no further than that."""
-    return rows.limit(limit + 1).count() <= limit
+def measured_bytes(rows: DataFrame) -> int:
+    """Bytes of a table's values: 16 per column, and the length of texts."""
+    size = F.lit(16 * len(rows.columns))
+    for name, kind in rows.dtypes:
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0))
+    return rows.agg(F.sum(size.cast("long"))).first()[0] or 0
 
 
-def hot_keys(facts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys that each hold more than 1/1000 of the rows (so at most 999 rows)."""
-    counts = facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    total = counts.agg(F.sum("_rows")).scalar()
-    return counts.where(F.col("_rows") * HOT_PARTS > total).select(*keys)
+def fits(rows: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether a table may be broadcast."""
+    return measured_bytes(rows) <= limit
 
 
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & left[key].eqNullSafe(right[key])
-    return condition
+def hot_keys(counts: DataFrame, keys: Sequence[str], rows: str = "_rows") -> DataFrame:
+    """Out of rows per key, the keys with more rows than a task's even share, and ``_salts``, the
+    number of shares they make. There are fewer of them than tasks, which bounds what is broadcast."""
+    tasks = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = counts.agg(F.sum(rows)).first()[0] or 0
+    share = F.col(rows) * tasks / F.lit(float(max(total, 1)))
+    return counts.where(share > 1).select(*keys, F.ceil(share).cast("int").alias("_salts"))
 
 
 def spread_join(
@@ -40,40 +41,41 @@ def spread_join(
     keys: Sequence[str],
     how: str = "inner",
     spread_by: Sequence[str] = (),
-    salts: int = SALTS,
     hot: DataFrame | None = None,
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """``facts`` joined to ``dimension``, whatever share of the rows one key holds.
 
-    A dimension of at most ``broadcast_rows`` rows (it is counted, 0 skips that) is broadcast, and
-    the facts stay where they are. Beyond that the rows of hot keys are dealt over ``salts`` tasks.
-    Only the dimension rows of hot keys are repeated. Null keys of ``facts`` are dealt out too
+    The dimension is written once and measured (``broadcast_bytes`` 0 skips that); within the limit it
+    is broadcast, and the facts stay where they are. Beyond that the rows of a hot key are dealt over
+    as many tasks as it has even shares of the rows. Only the dimension rows of hot keys are repeated.
+    Null keys of ``facts`` are dealt out too
     (they match nothing, but would all meet in one task). ``spread_by`` names the columns that tell
-    rows of one key apart; ``how`` is one of inner, left, left_semi, left_anti. Pass ``hot`` when
-    the hot keys are already known, else the keys of ``facts`` are counted first.
+    rows of one key apart; ``how`` is one of inner, left, left_semi, left_anti. Pass ``hot`` (of
+    ``hot_keys``) when the keys are counted already, else the keys of ``facts`` are counted first.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type: {how}")
-    if broadcast_rows and at_most(dimension, broadcast_rows):
-        return facts.join(F.broadcast(dimension), list(keys), how)
-    hot = (hot_keys(facts, keys) if hot is None else hot).withColumn("_hot", F.lit(True))
+    if broadcast_bytes:
+        dimension = landed(dimension, "dimension")
+        if fits(dimension, broadcast_bytes):
+            return facts.join(F.broadcast(dimension), list(keys), how)
+    if hot is None:
+        hot = hot_keys(facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")), keys)
     spread = list(spread_by) or [c for c in facts.columns if c not in keys]
-    deal = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
+    deal = F.pmod(F.xxhash64(*spread), F.col("_salts")).cast("int")
     left_hot = F.broadcast(hot.withColumnsRenamed({key: f"_hot_{key}" for key in keys}))
     match = F.lit(True)
     for key in keys:
         match = match & facts[key].eqNullSafe(left_hot[f"_hot_{key}"])
     dealt = facts.join(left_hot, match, "left").select(
         *[facts[c] for c in facts.columns],
-        F.when(F.col("_hot"), deal).otherwise(F.lit(0)).alias("_salt"),
+        F.coalesce(deal, F.lit(0)).alias("_salt"),
     )
     repeated = dimension.join(F.broadcast(hot), list(keys), "left").select(
         *dimension.columns,
         F.explode(
-            F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-                F.array(F.lit(0))
-            )
+            F.coalesce(F.sequence(F.lit(0), F.col("_salts") - 1), F.array(F.lit(0)))
         ).alias("_salt"),
     )
     return dealt.join(repeated, [*keys, "_salt"], how).drop("_salt")

@@ -88,8 +88,8 @@ def prepare_corpus(
     texts: DataFrame,
     key: str,
     long_only: bool = False,
-    max_tokens: int | None = 512,
-    head: int | None = 5000,
+    max_tokens: int | None = None,
+    head: int | None = None,
     seed: int = 0,
     dedup_after_cleaning: bool = False,
 ) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from hunkmill.functions import fixed_values as fv, pytext
 from hunkmill.functions.draws import bucket_of, order_key, unit_draw
 from hunkmill.functions.shape import let
-from hunkmill.operators.joins import BROADCAST_ROWS
+from hunkmill.operators.joins import BROADCAST_BYTES, fits
 
 
 def span_count(
@@ -152,7 +152,7 @@ def _draw_words(
     which spreads evenly.
     """
     total = index.count()
-    if total <= BROADCAST_ROWS:
+    if fits(index, BROADCAST_BYTES):
         index = F.broadcast(index)
     draw = order_key(seed, *[F.col(k) for k in keys], F.col("_place"))
     first = F.floor(unit_draw(F.md5(F.concat(draw, F.lit("a")))) * total)

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from hunkmill.functions import fixed_values as fv
 from hunkmill.functions.shape import row_array
 from hunkmill.functions.scoring import (
-    ai_flag, bands, calendar_month, length_bucket, period, plain_number, ratio, utc_moment,
-    year_scaled,
+    ai_flag, bands, calendar_month, length_bucket, not_nan, period, plain_number, ratio,
+    utc_moment, year_scaled,
 )
 
 STRATA = ["label", "language", "file_category", "length_bucket"]
@@ -33,12 +33,13 @@ def label_counts(full: DataFrame, sampled: DataFrame) -> DataFrame:
             F.count_if(F.col("label") == 1).alias(f"{name}_machine"),
             F.array_sort(F.collect_set("language")).alias(f"{name}_languages"),
             F.array_sort(F.collect_set("file_category")).alias(f"{name}_file_categories"),
-        ).withColumn("_one", F.lit(1))
+        )
 
-    small = labels(sampled, "sampled").drop("sampled_languages", "sampled_file_categories")
-    return labels(full, "full").join(small, "_one").drop("_one").withColumnsRenamed(
+    small = labels(sampled, "sampled").first()
+    kept = {c: F.lit(small[c]) for c in ("sampled_rows", "sampled_human", "sampled_machine")}
+    return labels(full, "full").withColumnsRenamed(
         {"full_languages": "languages", "full_file_categories": "file_categories"}
-    )
+    ).withColumns(kept)
 
 
 def passes_main_filter(
@@ -67,7 +68,7 @@ def commit_scores(
 
     One aggregation for all bands; partial sums keep a commit with very many hunks cheap.
     """
-    score, lines = F.col("prob_ai"), F.col("line_count")
+    score, lines = not_nan(F.col("prob_ai")), F.col("line_count")
     columns = [
         F.count(F.lit(1)).alias("allowed_hunks"),
         F.sum(lines).alias("allowed_hunk_lines"),
@@ -249,16 +250,21 @@ def usage_by_year(scored: DataFrame) -> DataFrame:
     })
 
 
-def clean_commit_rows(rows: DataFrame, first_year: int = 2015, last_year: int = 2025) -> DataFrame:
-    """Text columns of a commit export to numbers and moments; undated rows and far years go."""
-    return (
+def clean_commit_rows(
+    rows: DataFrame, first_year: int | None = None, last_year: int | None = None
+) -> DataFrame:
+    """Text columns of a commit export to numbers and moments; undated rows go, and years outside the
+    bounds if any are given."""
+    dated = (
         rows.withColumns({
             "author_date": utc_moment(F.col("author_date").cast("string")),
             **{c: plain_number(F.col(c)) for c in ("insertions", "deletions", "files_count")},
         })
         .where(F.col("author_date").isNotNull())
-        .where(F.year("author_date").between(first_year, last_year))
     )
+    if first_year is not None:
+        dated = dated.where(F.year("author_date") >= first_year)
+    return dated if last_year is None else dated.where(F.year("author_date") <= last_year)
 
 
 def commit_churn(rows: DataFrame, order: str | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hunkmill.functions.draws import bucket_of, order_key, unit_draw
-from hunkmill.operators.joins import BROADCAST_ROWS, at_most
+from hunkmill.operators.joins import fits
 from hunkmill.session import landed
 
 STRATA = ("label", "language", "file_category", "length_bucket")
@@ -34,7 +34,7 @@ def capped_sample(
     present = rows.dropna(subset=list(strata))
     if cap > GROUP_LIMIT:
         return smallest_n(present, cap, key, seed, by=strata)
-    order = ["_order", *key]
+    order = ["_order", F.xxhash64(*rows.columns)]
     slotted = _with_order(present, key, seed).withColumn(
         "_slot", F.pmod(F.spark_partition_id(), F.lit(SALTS))
     )
@@ -56,7 +56,8 @@ def _cutoffs(
     seed: int,
     by: Sequence[str],
 ) -> DataFrame:
-    """The digest of the last row to take, per group: columns ``by`` and ``_cut``.
+    """The digest of the last row to take, per group: columns ``by``, ``_cut`` and ``_ties``, how many
+    rows with that digest are taken.
 
     Groups taken whole have no row. Only ``by`` and ``key`` are read. Rows fall into 65,536 even
     buckets by their digest; the bucket counts show in which bucket the last row lies, and only
@@ -77,23 +78,27 @@ def _cutoffs(
         & (F.col("_before") + F.col("_rows") >= F.col("_wanted"))
     )
     in_edge = Window.partitionBy(*by, "_bucket").orderBy("_order")
+    # The edges are one row per group, bounded by the check on their use below.
     last = (
         _null_safe(keyed, edges, [*by, "_bucket"], "inner")
-        .withColumn("_place", F.col("_before") + F.row_number().over(in_edge))
+        .withColumns({
+            "_place": F.col("_before") + F.row_number().over(in_edge),
+            "_first": F.col("_before") + F.rank().over(in_edge),
+        })
         .where(F.col("_place") == F.col("_wanted"))
-        .select(*by, F.col("_order").alias("_cut"))
+        .select(*by, F.col("_order").alias("_cut"), (F.col("_place") - F.col("_first") + 1).alias("_ties"))
     )
     none = places.where((F.col("_wanted") <= 0) & (F.col("_before") == 0)).select(
-        *by, F.lit("").alias("_cut")
+        *by, F.lit("").alias("_cut"), F.lit(0).alias("_ties")
     )
     return last.unionByName(none)
 
 
 def _small(cuts: DataFrame) -> DataFrame:
-    """The cut-offs, found now. Up to 200,000 of them are broadcast, so that the rows themselves are
+    """The cut-offs, found now. If they are small they are broadcast, so that the rows themselves are
     only filtered and not shuffled by group."""
     found = landed(cuts, "cut-offs")
-    return F.broadcast(found) if at_most(found, BROADCAST_ROWS) else found
+    return F.broadcast(found) if fits(found) else found
 
 
 def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
@@ -104,6 +109,26 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str)
     return left.join(other, same, how).drop(*[f"_right_{k}" for k in keys])
 
 
+def _taken(rows: DataFrame, cuts: DataFrame, key: Sequence[str], seed: int, by: Sequence[str]) -> DataFrame:
+    """All rows with ``_taken``: digests below the cut-off, and of those equal to it exactly so many.
+
+    Rows that share the last digest share the key; which of them are taken follows from all their
+    columns. Only these rows are ordered.
+    """
+    columns = rows.columns
+    if by:
+        joined = _null_safe(rows, _small(cuts), by, "left")
+    else:
+        found = cuts.first()
+        joined = rows.withColumns({"_cut": F.lit(found["_cut"] if found else None).cast("string"), "_ties": F.lit(found["_ties"] if found else None).cast("long")})
+    joined = joined.withColumn("_order", order_key(seed, *[F.col(k) for k in key]))
+    tied = F.coalesce(F.col("_order") == F.col("_cut"), F.lit(False))
+    clear = joined.where(~tied).withColumn("_taken", F.coalesce(F.col("_order") < F.col("_cut"), F.lit(True)))
+    last = Window.partitionBy(*by, "_order").orderBy(F.xxhash64(*columns))
+    ties = joined.where(tied).withColumn("_taken", F.row_number().over(last) <= F.col("_ties"))
+    return clear.select(*columns, "_taken").unionByName(ties.select(*columns, "_taken"))
+
+
 def smallest_n(
     rows: DataFrame,
     n: int | Column,
@@ -114,16 +139,11 @@ def smallest_n(
     """Exactly ``n`` random rows (of each ``by`` group), for any ``n``, without a global sort.
 
     The rows themselves are only filtered: against one value without ``by``, else against one value
-    per group. ``key`` must tell all rows apart.
+    per group. Rows may share a key; then as many of them are taken as are wanted.
     """
     wanted = F.lit(n) if isinstance(n, int) else n
     cuts = _cutoffs(rows, lambda _: wanted, key, seed, by)
-    order = order_key(seed, *[F.col(k) for k in key])
-    if not by:
-        cut = cuts.select("_cut").scalar()
-        return rows.where(F.coalesce(order <= cut, F.lit(True)))
-    joined = _null_safe(rows, _small(cuts), by, "left")
-    return joined.where(F.col("_cut").isNull() | (order <= F.col("_cut"))).drop("_cut")
+    return _taken(rows, cuts, key, seed, by).where("_taken").drop("_taken")
 
 
 def sample_by_strata(
@@ -142,24 +162,19 @@ def capped_stratified(
 ) -> DataFrame:
     """All rows when there are at most ``max_rows``; else an even cap per stratum, then ``max_rows``.
 
-    The cap is ``max(max_rows // strata, floor)``. Everything hangs on two counts, read as one
-    scalar row, so the choice is made when the job runs.
+    The cap is ``max(max_rows // strata, floor)``. Everything hangs on two counts, read first as one
+    row.
     """
     sizes = hunks.groupBy(*strata).agg(F.count(F.lit(1)).alias("_rows"))
     complete = F.lit(True)
     for column in strata:
         complete = complete & F.col(column).isNotNull()
-    cap = sizes.agg(
-        F.when(F.sum("_rows") > max_rows,
-               F.greatest(
-                   F.floor(F.lit(max_rows) / F.greatest(F.count_if(complete), F.lit(1))),
-                   F.lit(floor),
-               ))
-    ).scalar()
-    everything = F.lit(max_rows)  # without a cap no stratum is larger than this
-    capped = smallest_n(hunks, F.coalesce(cap, everything), key, seed, by=strata)
+    found = sizes.agg(F.sum("_rows").alias("rows"), F.count_if(complete).alias("strata")).first()
+    if (found["rows"] or 0) <= max_rows:
+        return hunks
+    capped = capped_sample(hunks, strata, max(max_rows // max(found["strata"], 1), floor), key, seed)
     order = order_key(seed, *[F.col(k) for k in key])
-    return capped.where(cap.isNull() | complete).orderBy(order).limit(max_rows)
+    return capped.orderBy(order, F.xxhash64(*hunks.columns)).limit(max_rows)
 
 
 def sample_per_language(
@@ -201,14 +216,9 @@ def balance_classes(
 
     With fewer human than machine rows all of them stay, or, with ``require_enough``, the job fails.
     """
-    wanted = machine.agg(F.count(F.lit(1))).scalar()
-    if require_enough:
-        short = human.agg(F.count(F.lit(1))).scalar() < wanted
-        human = human.where(
-            F.when(short, F.raise_error("fewer human than machine texts").cast("boolean")).otherwise(
-                F.lit(True)
-            )
-        )
+    wanted = machine.count()
+    if require_enough and human.limit(wanted).count() < wanted:
+        raise ValueError("fewer human than machine texts")
     picked = smallest_n(human, wanted, key, seed)
     return picked.withColumn("label", F.lit(0)).unionByName(machine.withColumn("label", F.lit(1)))
 
@@ -230,10 +240,8 @@ def split_exact(
 ) -> DataFrame:
     """Adds ``is_test`` with exactly ``ceil(share * n)`` test rows in each group."""
     cuts = _cutoffs(rows, lambda size: F.ceil(size * F.lit(test_share)), key, seed, by)
-    order = order_key(seed, *[F.col(k) for k in key])
     # Without a cut the whole group is taken.
-    taken = F.coalesce(order <= F.col("_cut"), F.lit(True)).cast("int")
-    return _null_safe(rows, _small(cuts), by, "left").withColumn("is_test", taken).drop("_cut")
+    return _taken(rows, cuts, key, seed, by).withColumn("is_test", F.col("_taken").cast("int")).drop("_taken")
 
 
 def shuffle_head(
@@ -241,7 +249,6 @@ def shuffle_head(
 ) -> DataFrame:
     """The first ``n`` rows of a repeatable shuffle; with ``batch`` only whole batches are kept."""
     if batch:
-        total = rows.agg(F.count(F.lit(1))).scalar()
-        kept = F.least(total, F.lit(n))
+        kept = rows.limit(n).count()
         return smallest_n(rows, kept - kept % batch, key, seed)
     return smallest_n(rows, n, key, seed)

@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame, functions as F
 from hunkmill.functions import pytext
 from hunkmill.operators import models, pairs, rollups, sampling
 
-MAX_CHARACTERS = 512
-
 
 def training_texts(
     human: DataFrame,
@@ -18,7 +16,7 @@ def training_texts(
     key: Sequence[str] = ("key",),
     require_enough: bool = False,
     one_line: bool = False,
-    max_characters: int | None = MAX_CHARACTERS,
+    max_characters: int | None = None,
     seed: int = 42,
 ) -> DataFrame:
     """Balanced (key, text, label) rows with ``is_test``.
@@ -47,7 +45,7 @@ def usage_trend(
     messages: DataFrame,
     score: Callable[[DataFrame], DataFrame],
     key: Sequence[str] = ("key",),
-    per_year: int | None = 400,
+    per_year: int | None = None,
     seed: int = 42,
 ) -> DataFrame:
     """Yearly share of flagged messages, from (key, message, year) rows.

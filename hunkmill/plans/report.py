@@ -10,6 +10,9 @@ from hunkmill.functions import fixed_values as fv
 from hunkmill.operators import evaluation, rollups
 from hunkmill.sources import writers
 
+# Repositories that the text of a report names.
+NAMED = 50
+
 
 @dataclass(frozen=True)
 class Report:
@@ -38,9 +41,10 @@ class Report:
         row.update(ends.asDict())
         for period in self.periods.select("period", "weighted_commit_ai_fraction").collect():
             row[period["period"]] = period["weighted_commit_ai_fraction"]
-        # Any list of repositories is cut here: names, not data.
-        names = self.repos.agg(F.array_sort(F.collect_set("repo"))).first()[0]
-        row["repositories"] = names
+        # A report names few repositories and counts all.
+        names = self.repos.select("repo").distinct()
+        row["repositories"] = [r.repo for r in names.orderBy("repo").limit(NAMED).collect()]
+        row["repository_count"] = names.count()
         return row
 
     def text(self) -> str:
@@ -54,7 +58,8 @@ class Report:
             f"- Threshold: {n['threshold']:.2f}", "", "## Trend",
             f"- Earliest pooled monthly fraction: {n['first_fraction'] or 0:.3f}",
             f"- Latest pooled monthly fraction: {n['last_fraction'] or 0:.3f}",
-            f"- Repositories: {', '.join(n['repositories']) or 'n/a'}",
+            f"- Repositories: {', '.join(n['repositories']) or 'n/a'}"
+            + (f" and {n['repository_count'] - NAMED} more" if n["repository_count"] > NAMED else ""),
         ]
         if all(share is not None for share in shares):
             lines.append(f"- 2021-2022: {shares[0]:.3f}, 2023-2025: {shares[1]:.3f}")

@@ -84,14 +84,20 @@ def summary_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
     return spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
 
 
-def dated_messages(rows: DataFrame, message: str, date: str) -> DataFrame:
-    """(message, year) of rows that have both; the year must lie in 2014..2026."""
-    return (
+def dated_messages(
+    rows: DataFrame, message: str, date: str, first_year: int | None = None,
+    last_year: int | None = None,
+) -> DataFrame:
+    """(message, year) of rows that have both, within the years if any are given."""
+    dated = (
         rows.select(F.col(message).alias("message"), F.col(date).alias("_date"))
         .dropna()
         .select("message", F.year(utc_moment(F.col("_date"))).alias("year"))
-        .where(F.col("year").between(2014, 2026))
     )
+    for bound, inside in ((first_year, F.col("year") >= first_year if first_year else None),
+                          (last_year, F.col("year") <= last_year if last_year else None)):
+        dated = dated.where(inside) if bound else dated
+    return dated
 
 
 def existing(spark: SparkSession, paths: Sequence[str]) -> list[str]:
@@ -156,23 +162,25 @@ def repo_summaries(spark: SparkSession, pattern: str) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of one text file with their number from 0.
+    """Lines of text files, in order of path, with their number from 0.
 
-    Lines are counted per file block; a block's first number is the sum of the blocks before it.
+    Lines are counted per file block; a block's first number is the sum of the blocks before it, those
+    of earlier files included.
     Only that short table (one row per block) is ordered.
     """
     lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_block_start").alias("block"),
+        "value", F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("id"),
     )
-    blocks = lines.groupBy("block").agg(
+    blocks = lines.groupBy("file", "block").agg(
         F.count(F.lit(1)).alias("lines"), F.min("id").alias("first_id")
     )
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.select(
-        "block", "first_id", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("start")
+        "file", "block", "first_id", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("start")
     )
-    return lines.join(starts, "block").select(
+    return lines.join(starts, ["file", "block"]).select(
         (F.col("start") + F.col("id") - F.col("first_id")).alias("line"), "value"
     )
 

@@ -14,16 +14,14 @@ def parquet(rows: DataFrame, path: str, partition_by: Sequence[str] = ()) -> Non
 
 
 def parquet_by_repo(
-    rows: DataFrame, path: str, spread_by: Sequence[str], files_per_repo: int = 64
+    rows: DataFrame, path: str
 ) -> None:
-    """One directory per repository, at most ``files_per_repo`` files each.
+    """One directory per repository, with as many files as its size asks for.
 
-    Rows are dealt by repository and key, so a repository with most of the rows has many writers
-    and small ones do not leave one file per task.
+    Rows are brought together by repository and evened out by size at run time, so a repository with
+    most of the rows has many writers and small ones do not leave one file per task.
     """
-    deal = F.pmod(F.xxhash64(*spread_by), F.lit(files_per_repo))
-    spread = rows.withColumn("_deal", deal).repartition("repo", "_deal").drop("_deal")
-    spread.write.mode("overwrite").partitionBy("repo").parquet(path)
+    rows.hint("rebalance", "repo").write.mode("overwrite").partitionBy("repo").parquet(path)
 
 
 def csv(rows: DataFrame, path: str) -> None:

@@ -31,10 +31,10 @@ def expected(text, k=corpus.SMOOTHING):
     return [sum(column) / len(out) for column in zip(*out)] if out else [None] * 4
 
 
-@pytest.mark.parametrize("limit", [corpus.BROADCAST_PAIRS, 0])
+@pytest.mark.parametrize("limit", [corpus.BROADCAST_BYTES, -1])
 def test_scores(spark, monkeypatch, limit):
     """Both ways to join the model, the broadcast one and the one by key."""
-    monkeypatch.setattr(corpus, "BROADCAST_PAIRS", limit)
+    monkeypatch.setattr(corpus, "BROADCAST_BYTES", limit)
     reference = spark.createDataFrame([(x,) for x in REFERENCE], "text string")
     texts = spark.createDataFrame(list(enumerate(SCORED)), "id int, text string")
     got = corpus.score_texts(texts, corpus.fit(reference).landed(spark), ["id"]).collect()
@@ -80,9 +80,9 @@ def test_mask_places_are_even(spark):
     assert max(counts.values()) - min(counts.values()) < 250
 
 
-@pytest.mark.parametrize("limit", [200_000, 0])
+@pytest.mark.parametrize("limit", [1 << 20, -1])
 def test_random_fill(spark, texts, monkeypatch, limit):
-    monkeypatch.setattr(perturb, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(perturb, "BROADCAST_BYTES", limit)
     rows, frame = texts
     words = spark.createDataFrame([(f"fill{i}",) for i in range(50)], "word string")
     index = perturb.dictionary_index(words)

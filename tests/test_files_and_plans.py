@@ -5,7 +5,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from hunkmill import schemas
-from hunkmill.operators import hunks, models, rollups
+from hunkmill.operators import evaluation, hunks, models, rollups
 from hunkmill.plans import calibration, contrast, messages, report, trends
 from hunkmill.sources import corpora, readers, writers
 
@@ -211,3 +211,27 @@ def test_contrast(spark):
                         "entropy_threshold", "perturbation_1_d", "perturbation_1_z",
                         "perturbation_3_d", "perturbation_3_z"}
     assert got["likelihood_threshold"].roc_auc == 1.0 and got["perturbation_3_d"].roc_auc > 0.95
+
+
+def test_lines_of_several_files_are_numbered_on(spark, tmp_path):
+    for name, lines in (("a.txt", "x y z"), ("b.txt", "u v w")):
+        (tmp_path / name).write_text("\n".join(lines.split()) + "\n")
+    rows = readers.numbered_lines(spark, str(tmp_path)).collect()
+    assert sorted((r.line, r.value) for r in rows) == list(enumerate("x y z u v w".split()))
+
+
+def test_scores_that_are_not_numbers_flag_nothing(spark):
+    rows = spark.createDataFrame([("r", "c", float("nan"), 3, 1), ("r", "c", 0.1, 2, 0)], "repo string, commit_hash string, prob_ai double, line_count int, label int")
+    found = rollups.commit_scores(rows, 0.5).first()
+    assert (found.ai_hunk_count_low, found.ai_hunk_count_high, found.max_hunk_score, found.mean_hunk_score) == (0, 0, 0.1, 0.1)
+    metrics = evaluation.confusion_metrics(rows, 0.5).first()
+    assert (metrics.tp, metrics.fp, metrics.tn, metrics.fn) == (0, 0, 1, 1)
+    assert all(r.tp == 0 for r in evaluation.threshold_sweep(rows).collect())
+
+
+def test_a_frozen_configuration_drives_the_trend(spark):
+    config = spark.createDataFrame([(0.4, ["Go"], ["source"], ["very_short"])], "threshold double, main_languages array<string>, main_file_categories array<string>, excluded_length_buckets array<string>")
+    hunk_rows = spark.createDataFrame([("r", "c", "Go", "source", 8, 0.9), ("r", "c", "Go", "test", 8, 0.9), ("r", "c", "Java", "source", 8, 0.9)], "repo string, commit_hash string, language string, file_category string, line_count int, prob_ai double")
+    commits = spark.createDataFrame([("r", "c", "2024-01")], "repo string, commit_hash string, calendar_month string")
+    found = trends.analyse(commits, hunk_rows, lambda rows: rows, **trends.configured(config))
+    assert found.scored.count() == 1

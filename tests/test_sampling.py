@@ -4,6 +4,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from hunkmill.functions import draws
 from hunkmill.operators import joins, sampling
 
 
@@ -91,13 +92,13 @@ def test_published_caps(spark):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-@pytest.mark.parametrize("limit", [0, 10])
+@pytest.mark.parametrize("limit", [0, 10, 1 << 20])
 def test_spread_join(spark, how, limit):
     facts = spark.range(3000).select(
         "id", F.when(F.col("id") % 3 == 0, 1).when(F.col("id") % 7 != 0, F.col("id") % 50)
         .alias("k"))
     dimension = spark.range(30).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    got = joins.spread_join(facts, dimension, ["k"], how, ["id"], broadcast_rows=limit)
+    got = joins.spread_join(facts, dimension, ["k"], how, ["id"], broadcast_bytes=limit)
     want = facts.join(dimension, "k", how)
     assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
 
@@ -106,3 +107,40 @@ def test_plan_limits_groups_before_the_shuffle(skewed):
     _, frame = skewed
     plan = sampling.capped_sample(frame, ["g"], 50, ["id"])._jdf.queryExecution().toString()
     assert plan.count("WindowGroupLimit") >= 4 and "CartesianProduct" not in plan
+
+
+@pytest.mark.parametrize("cap", [1, 3, 999, 1000, 1001, 1500])
+def test_caps_are_exact_with_repeated_and_null_keys(spark, cap):
+    rows = spark.range(4000).select(
+        (F.col("id") % 2).alias("g"),
+        F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("k"), (F.col("id") % 5).alias("v"))
+    counts = {r.g: r["count"] for r in sampling.capped_sample(rows, ["g"], cap, ["k"]).groupBy("g").count().collect()}
+    assert counts == {0: cap, 1: cap}
+    assert sampling.smallest_n(rows, cap, ["k"]).count() == cap
+    grouped = sampling.smallest_n(rows, cap, ["k"], by=["g"]).groupBy("g").count().collect()
+    assert {r["count"] for r in grouped} == {cap}
+    assert sampling.shuffle_head(rows, cap, ["k"]).count() == cap
+
+
+def test_splits_are_exact_with_repeated_keys(spark):
+    rows = spark.range(1000).select((F.col("id") % 2).alias("label"), (F.col("id") % 3).alias("k"))
+    split = sampling.split_exact(rows, ["k"], 0.25)
+    assert {(r.label, r["count"]) for r in split.where("is_test = 1").groupBy("label").count().collect()} == {(0, 125), (1, 125)}
+    assert split.count() == 1000
+
+
+def test_different_keys_have_different_digests(spark):
+    rows = spark.createDataFrame([("a", None, "b"), ("a", "b", None), ("a|b", None, None), ("a\\pb", None, None), ("\\n", "", None), (None, "", "\\n")], "a string, b string, c string")
+    digests = rows.select(draws.order_key(1, F.col("a"), F.col("b"), F.col("c")).alias("d")).distinct()
+    assert digests.count() == 6
+
+
+@pytest.mark.parametrize("parts", [4, 16])
+def test_a_hot_key_is_dealt_over_many_tasks(spark, parts):
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        facts = spark.range(20000).select("id", F.when(F.col("id") % 10 < 6, 7).otherwise(F.col("id")).alias("k"))
+        hot = joins.hot_keys(facts.groupBy("k").agg(F.count(F.lit(1)).alias("_rows")), ["k"]).collect()
+        assert [(r.k, r._salts) for r in hot] == [(7, -(-6 * parts // 10))]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
