@@ -318,12 +318,14 @@ def result_scores(spark, folder):
     """Score lists per side, written as result documents, read and unfolded."""
     path = new_shared_path(spark, "experiments")
     score = F.col("embedding")[0].cast("double")
+    # A document holds the scores of a thousand numbers at most; a detector has many documents.
     rows = t.table(spark, folder, "embeddings").groupBy(
-        F.concat(F.lit("detector"), (F.col("vec_id") % 4).cast("string")).alias("name")
+        F.concat(F.lit("detector"), (F.col("vec_id") % 4).cast("string")).alias("name"),
+        F.floor(F.col("vec_id") / 1000).alias("part"),
     ).agg(F.struct(
         F.collect_list(F.when(F.col("label") >= 5, score)).alias("real"),
         F.collect_list(F.when(F.col("label") < 5, score)).alias("samples"),
-    ).alias("predictions"))
+    ).alias("predictions")).drop("part")
     writers.json_documents(rows, path)
     read = spark.read.schema(schemas.EXPERIMENT_RESULT).json(path)
     return tidy(curves.predictions_long(read).groupBy("name", "label").agg(
@@ -347,13 +349,12 @@ def aligned_lines(spark, folder):
 
 
 def _aligned_files(spark, folder):
-    """Two single files with one line per document, in document order."""
+    """Two folders with one line per document; files in order of path are in document order."""
     base = new_shared_path(spark, "aligned")
     one_line = F.replace(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("\r"), F.lit(" "))
     documents = t.table(spark, folder, "documents").select("doc_id", "lang", one_line.alias("text"))
-    # The format asks for single files, so this test data is written by one task.
     for name, column in (("left", "lang"), ("right", "text")):
-        ordered = documents.orderBy("doc_id").select(F.col(column).alias("value")).coalesce(1)
+        ordered = documents.orderBy("doc_id").select(F.col(column).alias("value"))
         writers.text_lines(ordered, f"{base}/{name}")
     return f"{base}/left", f"{base}/right"
 

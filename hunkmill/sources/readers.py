@@ -93,6 +93,7 @@ def dated_messages(
         rows.select(F.col(message).alias("message"), F.col(date).alias("_date"))
         .dropna()
         .select("message", F.year(utc_moment(F.col("_date"))).alias("year"))
+        .dropna(subset=["year"])
     )
     for bound, inside in ((first_year, F.col("year") >= first_year if first_year else None),
                           (last_year, F.col("year") <= last_year if last_year else None)):
