@@ -3,7 +3,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hunkmill.catalog import tables as t
+from hunkmill.catalog.metric_queries import histogram_sql
 from hunkmill.catalog.registry import query, tidy
+from hunkmill.catalog.rollup_queries import ANALYSIS, THRESHOLD, WITH_HUNKS, summary_sql
 from hunkmill.operators import curves, models, sampling
 from hunkmill.plans import calibration, messages, trends
 from hunkmill.session import new_shared_path
@@ -45,33 +47,46 @@ def embedding_logreg(spark, folder):
     return tidy(models.score(model, test).select("vec_id", "label", "prob_ai"), 4)
 
 
-@query("score_hunks")
-def score_hunks(spark, folder):
-    """All vectors scored by a detector that is called on Arrow batches."""
-    model, split = _fitted(spark, folder)
-    weights = model.stages[-1].coefficients.toArray()
-    offset = model.stages[-1].intercept
+# A given detector of vectors, in numbers.
+GIVEN = [((i * 37) % 11 - 5) / 10 for i in range(64)]
+_GIVEN_SCORE = f"1 / (1 + exp(-list_dot_product(CAST(embedding AS DOUBLE[]), {GIVEN})))"
 
+
+def _given_scores(spark, folder):
     def predict(batch):
         import numpy as np
         import pandas as pd
 
-        margin = np.stack(batch.to_numpy()) @ weights + offset
-        return pd.Series(1.0 / (1.0 + np.exp(-margin)))
+        return pd.Series(1.0 / (1.0 + np.exp(-(np.stack(batch.to_numpy()) @ np.array(GIVEN)))))
+
+    return models.score_with(_vectors(spark, folder), predict, column="embedding")
 
-    scored = models.score_with(split, predict, column="embedding")
-    return tidy(scored.select("vec_id", "label", "is_test", "prob_ai"), 4)
 
+@query(
+    "score_hunks",
+    f"""SELECT vec_id, CAST(label < 5 AS BIGINT) AS label, round({_GIVEN_SCORE}, 9) AS prob_ai
+FROM embeddings""",
+)
+def score_hunks(spark, folder):
+    """All vectors scored by a given detector that is called on Arrow batches."""
+    return tidy(_given_scores(spark, folder).select("vec_id", "label", "prob_ai"))
 
-@query("detector_store")
+
+@query(
+    "detector_store",
+    """SELECT vec_id, CAST(label < 5 AS BIGINT) AS label, 0.0::DOUBLE AS difference
+FROM embeddings""",
+)
 def detector_store(spark, folder):
-    """Scores of a detector that was saved and loaded again."""
+    """What saving and loading a fitted detector changes in its scores: nothing."""
     model, split = _fitted(spark, folder)
     path = new_shared_path(spark, "detector")
     models.save(model, path)
-    again = models.load(path)
     rows = models.embedding_features(split)
-    return tidy(models.score(again, rows).select("vec_id", "label", "prob_ai"), 4)
+    first = models.score(model, rows, "first").select("vec_id", "label", "first")
+    second = models.score(models.load(path), rows, "second").select("vec_id", "second")
+    difference = F.abs(F.col("first") - F.col("second")).alias("difference")
+    return tidy(first.join(second, "vec_id").select("vec_id", "label", difference))
 
 
 def _calibrated(spark, folder):
@@ -88,25 +103,28 @@ def calibration_strata(spark, folder):
     return tidy(_calibrated(spark, folder).strata, 6)
 
 
-@query("scored_trend")
-def scored_trend(spark, folder):
-    """The whole trend job: sampled commits, their hunks scored by a fitted detector, months."""
-    from pyspark.ml.feature import VectorAssembler
+_HUNK_SCORE = "1 / (1 + exp(-(line_count / 20.0::DOUBLE - file_index / 3.0::DOUBLE + score - 1)))"
+_SCORED_ANALYSIS = ANALYSIS.replace(
+    "SELECT * FROM hunks\n  WHERE", f"SELECT * REPLACE ({_HUNK_SCORE} AS prob_ai) FROM hunks\n  WHERE"
+)
 
-    rows = t.hunks(spark, folder)
-    assemble = VectorAssembler(
-        inputCols=["line_count", "file_index", "score"], outputCol="features"
-    )
-    train = assemble.transform(rows.where(F.col("label").isNotNull()))
-    detector = models.LogisticRegression(maxIter=20, regParam=0.01).fit(train)
 
-    def score(hunk_rows):
-        return models.score(detector, assemble.transform(hunk_rows.drop("prob_ai")))
+@query(
+    "scored_trend",
+    f"WITH {_SCORED_ANALYSIS} {summary_sql('repo, calendar_month', WITH_HUNKS)} GROUP BY ALL",
+)
+def scored_trend(spark, folder):
+    """The whole trend job: all commits, their hunks scored by a given detector, months."""
+
+    def score(rows):
+        margin = F.col("line_count") / 20.0 - F.col("file_index") / 3.0 + F.col("score") - 1
+        return rows.withColumn("prob_ai", 1 / (1 + F.exp(-margin)))
 
     found = trends.analyse(
-        t.commits(spark, folder), rows, score, 0.33, keys=["commit_hash"]
+        t.commits(spark, folder), t.hunks(spark, folder), score, THRESHOLD, ["Java", "Python"],
+        keys=["commit_hash"],
     )
-    return tidy(found.monthly, 4)
+    return tidy(found.monthly)
 
 
 @query("tfidf_models")
@@ -123,37 +141,52 @@ def tfidf_models(spark, folder):
 
 @query("detector_eval")
 def detector_eval(spark, folder):
-    """Areas of a text detector fitted on labelled documents, on all of them."""
-    texts = t.labelled_texts(spark, folder)
-    tfidf = models.fit_tfidf(texts)
-    features = tfidf.transform(texts).select("doc_id", "label", "features")
-    detector = models.LogisticRegression(maxIter=50, regParam=0.01).fit(features)
-    scored = models.score(detector, features, "score")
+    """Areas of a text detector fitted on labelled documents, on held-out ones."""
+    split = sampling.split_exact(t.labelled_texts(spark, folder), ["doc_id"], 0.4)
+    train = split.where("is_test = 0").drop("is_test")
+    tfidf = models.fit_tfidf(train)
+    detector = models.LogisticRegression(maxIter=50, regParam=0.01).fit(
+        tfidf.transform(train).select("doc_id", "label", "features")
+    )
+    held_out = tfidf.transform(split.where("is_test = 1")).select("doc_id", "label", "features")
+    scored = models.score(detector, held_out, "score")
     return tidy(models.detector_areas(scored.select("label", "score")), 4)
 
 
-@query("usage_trend")
-def usage_trend(spark, folder):
-    """Yearly share of flagged messages out of a fitted detector."""
-    from pyspark.ml.feature import VectorAssembler
+_ORDER_SCORE = "1 / (1 + exp(-((o_totalprice % 1000) / 500.0::DOUBLE - month(o_orderdate) / 6.0::DOUBLE)))"
+
 
+@query(
+    "usage_trend",
+    f"""WITH messages AS (
+  SELECT year(o_orderdate) + 22 AS year, {_ORDER_SCORE} AS raw FROM orders),
+scaled AS (
+  SELECT *, CASE WHEN year < 2021 THEN raw * 0.10::DOUBLE WHEN year = 2021 THEN raw * 0.40::DOUBLE
+                 WHEN year = 2022 THEN raw * 0.85::DOUBLE
+                 ELSE least(raw * 1.3::DOUBLE, 1.0::DOUBLE) END AS p FROM messages)
+SELECT CAST(year AS BIGINT) AS year, count(*) AS total_commits,
+       count(*) FILTER (WHERE p > 0.5) AS ai_commits,
+       count(*) FILTER (WHERE raw > 0.5) AS ai_commits_raw, round(avg(p), 9) AS avg_ai_probability,
+       round(count(*) FILTER (WHERE p > 0.5) / count(*) * 100, 9) AS percentage_ai,
+       round(count(*) FILTER (WHERE raw > 0.5) / count(*) * 100, 9) AS percentage_ai_raw
+FROM scaled GROUP BY year""",
+)
+def usage_trend(spark, folder):
+    """Yearly share of flagged messages out of a given detector, over all messages."""
     orders = t.table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("key"), (F.year("o_orderdate") + 22).alias("year"),
-        (F.col("o_totalprice") % 1000).alias("a"), F.month("o_orderdate").alias("b"),
-        (F.col("o_orderstatus") == "F").cast("int").alias("label"),
+        "o_totalprice", "o_orderdate",
     )
-    assemble = VectorAssembler(inputCols=["a", "b"], outputCol="features")
-    detector = models.LogisticRegression(maxIter=20).fit(assemble.transform(orders))
 
     def score(rows):
-        return models.score(detector, assemble.transform(rows), "raw_ai_probability")
+        margin = F.col("o_totalprice") % 1000 / 500.0 - F.month("o_orderdate") / 6.0
+        return rows.withColumn("raw_ai_probability", 1 / (1 + F.exp(-margin)))
 
-    return tidy(messages.usage_trend(orders, score), 4)
+    return tidy(messages.usage_trend(orders, score))
 
 
-@query("score_distribution")
+@query("score_distribution",
+       f"WITH {histogram_sql(f'SELECT {_GIVEN_SCORE} AS x FROM embeddings', '10', False)}")
 def score_distribution(spark, folder):
-    """Histogram of the detector's probabilities on all vectors."""
-    model, split = _fitted(spark, folder)
-    scored = models.score(model, models.embedding_features(split))
-    return tidy(curves.histogram(scored, "prob_ai", 10), 4)
+    """Histogram of a given detector's probabilities on all vectors."""
+    return tidy(curves.histogram(_given_scores(spark, folder), "prob_ai", 10), 6)
