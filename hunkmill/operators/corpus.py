@@ -11,7 +11,7 @@ from hunkmill.functions import pytext
 from hunkmill.functions.shape import row_array
 from hunkmill.operators.curves import areas
 from hunkmill.operators.joins import BROADCAST_BYTES, fits, hot_keys, spread_join
-from hunkmill.session import new_shared_path
+from hunkmill.session import landed, new_shared_path
 
 SMOOTHING = 0.1
 
@@ -64,24 +64,36 @@ def word_pairs(
     With ``keep_empty`` a text without such a token gives one row of nulls.
     """
     listed = texts.select(*keys, pytext.tokens(F.col(text)).alias("_t"))
+    unfold = F.inline_outer if keep_empty else F.inline
+    return listed.select(*keys, unfold(_followed()).alias("ctx", "tok"))
+
+
+def _followed() -> Column:
+    """(ctx, tok) of the tokens ``_t`` that have one before them."""
     size = F.greatest(F.size("_t") - 1, F.lit(0))
-    followed = F.arrays_zip(
+    return F.arrays_zip(
         F.slice("_t", F.lit(1), size).alias("ctx"), F.slice("_t", F.lit(2), size).alias("tok")
     )
-    unfold = F.inline_outer if keep_empty else F.inline
-    return listed.select(*keys, unfold(followed).alias("ctx", "tok"))
 
 
 def fit(texts: DataFrame, text: str = "text", smoothing: float = SMOOTHING) -> WordPairModel:
-    counts = word_pairs(texts, text=text).groupBy("ctx", "tok").agg(
-        F.count(F.lit(1)).alias("n")
+    """Counts from one pass over the texts; everything else follows from the written counts."""
+    listed = texts.select(pytext.tokens(F.col(text)).alias("_t"))
+    # A text of one token has no pair, but its token belongs to the vocabulary.
+    lone = F.array(F.struct(F.col("_t")[0].alias("ctx"), F.lit(None).cast("string").alias("tok")))
+    unfolded = listed.select(
+        F.inline(F.when(F.size("_t") == 1, lone).otherwise(_followed())).alias("ctx", "tok")
+    )
+    counted = landed(
+        unfolded.groupBy("ctx", "tok").agg(F.count(F.lit(1)).alias("n")), "word-pair-counts"
     )
-    vocabulary = (
-        texts.select(F.explode(pytext.tokens(F.col(text))).alias("tok"))
-        .distinct()
-        .agg((F.count(F.lit(1)) + 1).alias("words"))
+    counts = counted.where(F.col("tok").isNotNull())
+    seen = counted.select(F.explode(F.array("ctx", "tok")).alias("tok"))
+    vocabulary = landed(
+        seen.where(F.col("tok").isNotNull()).distinct().agg((F.count(F.lit(1)) + 1).alias("words")),
+        "vocabulary-size",
     )
-    words = vocabulary.scalar()
+    words = F.lit(vocabulary.first()["words"])
     # Ranks come from the numbers of followers with the same count: per context that is a short
     # list even where a context has millions of followers.
     levels = counts.groupBy("ctx", "n").agg(F.count(F.lit(1)).alias("types"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from hunkmill.functions.scoring import ratio
 from hunkmill.functions.shape import row_array
 from hunkmill.operators.ordered import exact_quantiles, running_totals
+from hunkmill.session import landed
 
 
 def labelled_scores(pairs: DataFrame, real: str, sampled: str, kept: Sequence[str]) -> DataFrame:
@@ -138,8 +139,10 @@ def histogram(
             F.lit(bins).alias("bins"),
         ).alias("range")
     )
-    bounds = span.scalar()
-    low, high, n = bounds["low"], bounds["high"], bounds["bins"]
+    # Three numbers, read once; as a subquery they would stand in every expression below.
+    bounds = landed(span.select("range.*"), "histogram-range")
+    found = bounds.first()
+    low, high, n = (F.lit(found[name]) for name in ("low", "high", "bins"))
     x = F.col("x")
 
     def edge(place: Column, low: Column, high: Column, n: Column) -> Column:
@@ -152,7 +155,7 @@ def histogram(
         .otherwise(guess)
     )
     counts = values.groupBy(place.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-    grid = span.select("range.*").where(F.col("low").isNotNull()).select(
+    grid = bounds.where(F.col("low").isNotNull()).select(
         "*", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin")
     )
     at = [edge(F.col("bin") + i, F.col("low"), F.col("high"), F.col("bins")) for i in (0, 1)]

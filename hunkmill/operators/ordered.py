@@ -8,13 +8,15 @@ from collections.abc import Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from hunkmill.session import landed
+
 MAX_SLICES = 4096
 
 
 def slice_edges(rows: DataFrame, value: str) -> list[float]:
     """Approximate quantiles of ``value``: a bounded list, whatever the data size.
 
-    Slices hold about equally many rows, so values that crowd in a narrow range are still split.
+    Slices hold about equally many of the rows given (distinct values), so values that crowd in a narrow range are still split.
     """
     slices = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slices = min(max(slices, 8), MAX_SLICES)
@@ -38,8 +40,11 @@ def running_totals(
     before it are added from a table with one row per slice.
     """
     present = rows.where(F.col(value).isNotNull() & ~F.isnan(value))
-    edges = slice_edges(present, value)
-    distinct = present.groupBy(*by, value).agg(*[m.alias(name) for name, m in measures.items()])
+    # Written, as the edges and the sums both read it: the rows themselves are read once.
+    distinct = landed(
+        present.groupBy(*by, value).agg(*[m.alias(name) for name, m in measures.items()]), "values"
+    )
+    edges = slice_edges(distinct, value)
     if len(edges) > 2:
         cut = Bucketizer(splits=edges, inputCol=value, outputCol="_slice")
         sliced = cut.transform(distinct).withColumn("_slice", F.col("_slice").cast("int"))
