@@ -164,12 +164,13 @@ def fit_rates(told: DataFrame, classifier: Classifier, weights: dict[str, float]
     return rate, dict(zip(classifier.domains, targets)), dict(zip(classifier.domains, reached))
 
 
-def with_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], key: str = "doc_id", text: str = "text", budget=None) -> tuple[DataFrame, Classifier]:
-    """All rows as ``row``, with n_tokens, posterior and rate, and the classifier."""
+def with_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], key: str = "doc_id", text: str = "text", keep: list[str] | None = None, budget=None) -> tuple[DataFrame, Classifier]:
+    """All rows, their columns ``keep`` (all) as ``row``, with n_tokens, posterior and rate, and the
+    classifier. The texts are read once for the posteriors, which are written with what is kept."""
     classifier = fit(docs, labels, key, text)
-    told = with_posteriors(docs, classifier, text)
-    narrow = landed(told.select("n_tokens", "posterior"), "posteriors")
-    rate, _, _ = fit_rates(narrow, classifier, weights, budget)
+    kept = F.struct(*[F.col("row")[c].alias(c) for c in (docs.columns if keep is None else keep)])
+    told = landed(with_posteriors(docs, classifier, text).withColumn("row", kept), "posteriors")
+    rate, _, _ = fit_rates(told.select("n_tokens", "posterior"), classifier, weights, budget)
     return told.withColumn("rate", rate), classifier
 
 

@@ -64,7 +64,7 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     """Posteriors and rates of all documents for 90 % clean, 7 % toxic and 3 % low-quality tokens."""
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
-    rated, classifier = mixing.with_rates(docs.select("doc_id", "text"), mixing.label_domains(labels), {"clean": 0.90, "toxic": 0.07, "low": 0.03})
+    rated, classifier = mixing.with_rates(docs.select("doc_id", "text"), mixing.label_domains(labels), {"clean": 0.90, "toxic": 0.07, "low": 0.03}, keep=["doc_id"])
     shares = [F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(classifier.domains)]
     return rated.select(F.col("row.doc_id").alias("doc_id"), "n_tokens", *shares, "rate")
 
