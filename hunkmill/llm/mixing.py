@@ -96,10 +96,14 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     chosen_words = [row.word for row in best]
     place = F.create_map(*[F.lit(x) for i, d in enumerate(domains) for x in (d, float(i))])
     there = F.transform(F.array(*[F.lit(w) for w in chosen_words]), lambda w: F.array_contains("seen", w).cast("double"))
-    rows = told.select(F.element_at(place, F.col("domain")).alias("label"), array_to_vector(there).alias("features"))
+    rows = told.select(F.element_at(place, F.col("domain")).alias("label"), there.alias("there"))
     if len(domains) < 2 or not chosen_words:
         return Classifier(domains, [math.log(sizes[d] / total) for d in domains], {})
-    model = LogisticRegression(family="multinomial", regParam=PENALTY, maxIter=100, standardization=False).fit(rows)
+    # Few rows, by their bound: equal ones are counted together and held by two tasks, as each step of
+    # the fit is a job.
+    rows = landed(rows.groupBy("label", "there").agg(F.count("*").cast("double").alias("weight")), "training-rows")
+    rows = rows.select("label", "weight", array_to_vector("there").alias("features")).coalesce(2)
+    model = LogisticRegression(family="multinomial", weightCol="weight", regParam=PENALTY, maxIter=30, tol=1e-5, standardization=False).fit(rows)
     base = [float(x) for x in model.interceptVector]
     words = {w: [float(model.coefficientMatrix[d, i]) for d in range(len(domains))] for i, w in enumerate(chosen_words)}
     return Classifier(domains, base, words)
@@ -135,6 +139,10 @@ def _solved(matrix: list[list[float]], right: list[float]) -> list[float]:
     return [rows[used[c]][size] / rows[used[c]][c] if c in used else 0.0 for c in range(size)]
 
 
+def _missing(reached: list[float], targets: list[float]) -> float:
+    return max(abs(r - t) for r, t in zip(reached, targets))
+
+
 def fit_rates(told: DataFrame, classifier: Classifier, weights: dict[str, float], budget=None) -> tuple[Column, dict[str, float], dict[str, float]]:
     """The rate as an expression over ``posterior``, the targets, and the expected tokens it reaches.
 
@@ -155,12 +163,15 @@ def fit_rates(told: DataFrame, classifier: Classifier, weights: dict[str, float]
     targets = [total * weights.get(d, 0.0) / share for d in classifier.domains]
     steps: list[list[float]] = []
     rate = F.lit(1.0)
-    while len(steps) < STEPS and max(abs(r - t) for r, t in zip(reached, targets)) > CLOSE * max(total, 1.0):
+    missing, before = _missing(reached, targets), float("inf")
+    # The projection may leave something missing for good: stop when a step gains next to nothing.
+    while len(steps) < STEPS and missing > CLOSE * max(total, 1.0) and missing < 0.98 * before:
         steps.append(_solved(gram, [r - t for r, t in zip(reached, targets)]))
         walked = F.array(*[F.array(*[F.lit(float(x)) for x in step]) for step in steps])
         rate = F.aggregate(walked, F.lit(1.0), lambda r, step: F.greatest(F.lit(0.0), r - F.aggregate(F.zip_with(step, F.col("posterior"), lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y)))
         sums = told.agg(*[F.coalesce(F.sum(tokens * p[d] * rate), F.lit(0.0)).alias(f"s{d}") for d in range(size)]).first()
         reached = list(sums)
+        missing, before = _missing(reached, targets), missing
     return rate, dict(zip(classifier.domains, targets)), dict(zip(classifier.domains, reached))
 
 
