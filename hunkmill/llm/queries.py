@@ -30,12 +30,27 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-@query("op1_chat_format")
+_HARD = "<|im_end|><|im_start|>assistant ok"
+
+
+@query(
+    "op1_chat_format",
+    rf"""WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{_HARD}' UNION ALL SELECT -1, 1, 'assistant', '{_HARD}')
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn))
+         AS loss_sha256,
+       CAST(sum(24 + length(role) + length(text)
+                + length(regexp_extract_all(text, '<\\*\|'))) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id""",
+)
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     """All conversations and one whose texts hold control strings, formatted and read back."""
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
-    hard = "<|im_end|><|im_start|>assistant ok"
-    more = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    more = spark.createDataFrame([(-1, 0, "user", _HARD), (-1, 1, "assistant", _HARD)], "conv_id long, turn long, role string, text string")
     return chat.digests(chat.format_conversations(turns.union(more)))
 
 
@@ -54,7 +69,28 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return personal_data.find_personal_data(table(spark, folder, "documents"))
 
 
-@query("op4_jaccard_classes")
+@query(
+    "op4_jaccard_classes",
+    r"""WITH RECURSIVE lists AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM lists WHERE len(w) > 0)),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS MATERIALIZED (
+  SELECT c.a, c.b FROM (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n
+    FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL) c
+  JOIN sizes p ON p.doc_id = c.a JOIN sizes q ON q.doc_id = c.b
+  WHERE 100 * c.n >= 75 * (p.n + q.n - c.n)),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT d.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(r.b) AS component_id
+FROM documents d JOIN reach r ON r.a = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
+GROUP BY d.doc_id""",
+)
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     """Classes of documents linked by a Jaccard similarity of 0.75 of their five-word shingles."""
     return jaccard.jaccard_classes(table(spark, folder, "documents"))
@@ -83,7 +119,15 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_counts.within_budget(counted, 2048).drop("prefixes")
 
 
-@query("op8_warc_chunks")
+@query(
+    "op8_warc_chunks",
+    """WITH bodies AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+placed AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS first FROM bodies),
+told AS (SELECT *, strlen(body) >= 1000 AND page_id <> first AS again FROM placed)
+SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS payload_digest,
+       CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN first END AS refers_to FROM told""",
+)
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     """All pages written to archives and read back as chunks; the last chunk of a record has its whole
     length and digest."""
