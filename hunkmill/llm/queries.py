@@ -144,7 +144,41 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     return line_templates.drop_recurring_lines(table(spark, folder, "documents"))
 
 
-@query("op10_decontamination")
+_CUT = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+
+
+@query(
+    "op10_decontamination",
+    f"""WITH docs AS (SELECT doc_id, {_CUT} AS w FROM documents WHERE text IS NOT NULL),
+items AS (SELECT item_id, w, len(w) AS n FROM (SELECT DISTINCT item_id, {_CUT} AS w FROM benchmark)),
+item_grams AS (
+  SELECT item_id, n, p, array_to_string(w[p:p + 4], ' ') AS g
+  FROM (SELECT *, unnest(range(1, n - 3)) AS p FROM items)),
+weights AS (
+  SELECT g, ln(1 + (SELECT count(*) FROM items) / count(DISTINCT item_id)) AS weight
+  FROM item_grams GROUP BY g),
+item_counts AS (SELECT item_id, g, count(*) AS c, any_value(weight) AS weight
+                FROM item_grams JOIN weights USING (g) GROUP BY item_id, g),
+item_totals AS (SELECT item_id, sum(c * weight) AS total FROM item_counts GROUP BY item_id),
+grams AS MATERIALIZED (
+  SELECT doc_id, p, size, array_to_string(w[p:p + 4], ' ') AS g
+  FROM (SELECT doc_id, w, len(w) AS size, unnest(range(1, len(w) - 3)) AS p FROM docs)),
+windows AS (
+  SELECT DISTINCT doc_id, item_id, n, d.p - i.p AS start FROM grams d JOIN item_grams i USING (g)
+  WHERE d.p >= i.p AND d.p - i.p + n <= size),
+counts AS (
+  SELECT doc_id, item_id, n, start, g, count(*) AS c
+  FROM windows JOIN grams USING (doc_id) WHERE p > start AND p <= start + n - 4 GROUP BY ALL),
+sums AS (
+  SELECT c.doc_id, c.item_id, c.n, c.start, any_value(t.total) AS item_total,
+         sum(c.c * coalesce(w.weight, ln(1 + (SELECT count(*) FROM items)))) AS total,
+         sum(least(c.c, coalesce(i.c, 0)) * coalesce(w.weight, 0)) AS shared
+  FROM counts c LEFT JOIN weights w USING (g)
+  LEFT JOIN item_counts i ON i.item_id = c.item_id AND i.g = c.g
+  JOIN item_totals t ON t.item_id = c.item_id GROUP BY ALL)
+SELECT doc_id, item_id, start, n AS n_words, round(shared / (total + item_total - shared), 9) AS similarity
+FROM sums WHERE round(shared / (total + item_total - shared), 9) >= 0.75""",
+)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Windows of documents that are similar to a benchmark item."""
     return decontamination.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
