@@ -9,8 +9,9 @@ from hunkmill.llm import decontamination, jaccard, mixing, quality, token_files
 from hunkmill.llm.sized import sent_if_small
 from hunkmill.session import apply_settings, landed
 
-#: Target shares of tokens; the total leaves the clean domain's tokens as they are, and a little more,
-#: so that documents that are surely clean have rates of 1 and above.
+#: Target weights of the domains' tokens. Clean tokens stay as many as they are, and a little more, so
+#: that documents that are surely clean have rates of 1 and above; the others come down to their weight
+#: against clean ones, and are never raised.
 WEIGHTS = {"clean": 0.97, "toxic": 0.02, "low": 0.01}
 HEADROOM = 1.05
 SEED = 11
@@ -42,10 +43,11 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn by their rates: all with a rate of 1 or more, of others that share."""
-    def budget(now: dict[str, float]) -> float:
-        return HEADROOM * now.get("clean", 0.0) / WEIGHTS["clean"] if now.get("clean") else sum(now.values())
+    def targets(now: dict[str, float]) -> dict[str, float]:
+        clean = HEADROOM * now.get("clean", 0.0)
+        return {d: clean if d == "clean" else min(n, clean * WEIGHTS[d] / WEIGHTS["clean"]) for d, n in now.items()}
 
-    rated, _ = mixing.with_rates(docs, mixing.label_domains(_labels(spark, sf_dir)), WEIGHTS, budget=budget)
+    rated, _ = mixing.with_rates(docs, mixing.label_domains(_labels(spark, sf_dir)), WEIGHTS, targets_of=targets)
     draw = F.pmod(F.xxhash64(F.lit(SEED), F.col("row.doc_id"), F.col("row.text")), F.lit(1 << 30)) / float(1 << 30)
     return rated.where(F.col("rate") > draw).select("row.*")
 

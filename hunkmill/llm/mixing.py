@@ -20,6 +20,7 @@ others; an empty table gives an empty table; extra columns are kept by ``with_ra
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
@@ -143,11 +144,13 @@ def _missing(reached: list[float], targets: list[float]) -> float:
     return max(abs(r - t) for r, t in zip(reached, targets))
 
 
-def fit_rates(told: DataFrame, classifier: Classifier, weights: dict[str, float], budget=None) -> tuple[Column, dict[str, float], dict[str, float]]:
+def fit_rates(told: DataFrame, classifier: Classifier, weights: dict[str, float], targets_of: Callable[[dict[str, float]], dict[str, float]] | None = None) -> tuple[Column, dict[str, float], dict[str, float]]:
     """The rate as an expression over ``posterior``, the targets, and the expected tokens it reaches.
 
-    ``told`` (written already) has n_tokens and posterior. ``budget`` gives the total of the targets from the domains'
-    expected tokens at rate 1; by default it stays as it is. Domains without a weight get 0.
+    ``told`` (written already) has n_tokens and posterior. The targets share out all tokens by weight;
+    domains without a weight get 0. ``targets_of`` gives other targets from the domains' expected
+    tokens at rate 1. A target far above what a domain has is met by documents that only might belong
+    to it, at the expense of all others.
     """
     size = len(classifier.domains)
     if not size:
@@ -158,9 +161,12 @@ def fit_rates(told: DataFrame, classifier: Classifier, weights: dict[str, float]
     gram = [[moments[f"m{min(a, b)}_{max(a, b)}"] for b in range(size)] for a in range(size)]
     reached = [moments[f"s{d}"] for d in range(size)]
     now = dict(zip(classifier.domains, reached))
-    total = budget(now) if budget else sum(reached)
+    total = sum(reached)
     share = sum(weights.get(d, 0.0) for d in classifier.domains) or 1.0
     targets = [total * weights.get(d, 0.0) / share for d in classifier.domains]
+    if targets_of:
+        wanted = targets_of(now)
+        targets = [wanted.get(d, 0.0) for d in classifier.domains]
     steps: list[list[float]] = []
     rate = F.lit(1.0)
     missing, before = _missing(reached, targets), float("inf")
@@ -175,13 +181,13 @@ def fit_rates(told: DataFrame, classifier: Classifier, weights: dict[str, float]
     return rate, dict(zip(classifier.domains, targets)), dict(zip(classifier.domains, reached))
 
 
-def with_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], key: str = "doc_id", text: str = "text", keep: list[str] | None = None, budget=None) -> tuple[DataFrame, Classifier]:
+def with_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], key: str = "doc_id", text: str = "text", keep: list[str] | None = None, targets_of: Callable[[dict[str, float]], dict[str, float]] | None = None) -> tuple[DataFrame, Classifier]:
     """All rows, their columns ``keep`` (all) as ``row``, with n_tokens, posterior and rate, and the
     classifier. The texts are read once for the posteriors, which are written with what is kept."""
     classifier = fit(docs, labels, key, text)
     kept = F.struct(*[F.col("row")[c].alias(c) for c in (docs.columns if keep is None else keep)])
     told = landed(with_posteriors(docs, classifier, text).withColumn("row", kept), "posteriors")
-    rate, _, _ = fit_rates(told.select("n_tokens", "posterior"), classifier, weights, budget)
+    rate, _, _ = fit_rates(told.select("n_tokens", "posterior"), classifier, weights, targets_of)
     return told.withColumn("rate", rate), classifier
 
 
