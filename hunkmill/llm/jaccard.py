@@ -136,22 +136,34 @@ def _repeated_counts(docs: DataFrame, text: str, partitions: int) -> DataFrame:
         yield dealt(np.concatenate([rows[~twice], known]), "t", buckets)
 
     def count(batches):
+        held, gathered = [], 0
         for kind, run in bucket_runs(batches, POST):
             if kind:
-                rows = np.concatenate([np.frombuffer(d.as_buffer(), POST) for d in run["data"]])
-                keys, n = rows["k"], rows["t"].astype(np.int64)
-            else:
-                order = np.lexsort((run["k"], run["t"]))
-                run = run[order]
-                fresh = np.concatenate([[True], (run["t"][1:] != run["t"][:-1]) | (run["k"][1:] != run["k"][:-1])])
-                run = run[fresh]
-                _, place, times = np.unique(run["t"], return_inverse=True, return_counts=True)
-                # A token that is only known by a mark (key 0) and one set is repeated as well.
-                keys, n = np.unique(run["k"][(times[place] > 1) & (run["k"] != 0)], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+                yield run
+                continue
+            run = np.unique(run)
+            _, place, times = np.unique(run["t"], return_inverse=True, return_counts=True)
+            # A token that is only known by a mark (key 0) and one set is repeated as well.
+            keys, n = np.unique(run["k"][(times[place] > 1) & (run["k"] != 0)], return_counts=True)
+            counts = np.empty(len(keys), POST)
+            counts["t"], counts["k"] = n, keys
+            held.append(counts)
+            gathered += len(counts)
+            if gathered >= GATHERED:
+                yield dealt(np.concatenate(held), "k", buckets, kind=1)
+                held, gathered = [], 0
+        if held:
+            yield dealt(np.concatenate(held), "k", buckets, kind=1)
+
+    def add(batches):
+        for _, run in bucket_runs((_as_kind(b, 0) for b in batches), POST):
+            keys, place = np.unique(run["k"], return_inverse=True)
+            n = np.bincount(place, weights=run["t"].astype(np.float64), minlength=len(keys)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
 
     posts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(post, BLOBS)
-    return in_buckets(posts, partitions).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counts = in_buckets(posts, partitions).mapInArrow(count, BLOBS)
+    return in_buckets(counts, partitions).mapInArrow(add, "key long, n long")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
