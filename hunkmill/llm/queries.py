@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from hunkmill.llm import (
     chat, decontamination, jaccard, line_templates, mixing, personal_data, prefix_counts, quality, token_files, warc,
 )
+from hunkmill.session import landed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -180,5 +181,7 @@ SELECT doc_id, item_id, start, n AS n_words, round(shared / (total + item_total
 FROM sums WHERE round(shared / (total + item_total - shared), 9) >= 0.75""",
 )
 def op10(spark: SparkSession, folder: str) -> DataFrame:
-    """Windows of documents that are similar to a benchmark item."""
-    return decontamination.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    """Windows of documents that are similar to a benchmark item: the aligned ones, which the SQL has,
+    and where a leak has none, all of its windows."""
+    leaks = decontamination.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return decontamination.one_place_each(landed(leaks, "leaks"))

@@ -249,6 +249,40 @@ def test_leaks_are_those_of_all_windows(spark):
     assert decontamination.find_leaks(frame, bench.limit(0)).count() == 0
 
 
+def test_leaks_are_found_at_all_places(spark):
+    draw = random.Random(8)
+    word = lambda: draw.choice("klmnopqrst") + str(draw.randint(0, 400))
+    fill = lambda: [word() for _ in range(30)]
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([20, 24, 40, 3, 9])]
+    docs, want_items = [], {}
+
+    def add(words, item):
+        want_items[len(docs)] = item
+        docs.append((len(docs), " ".join(words)))
+
+    for i in (0, 1, 2):
+        w = items[i][1].split()
+        half = len(w) // 2
+        add(w[1:] + fill(), i)                       # begins without the first word
+        add(fill() + w[:-1], i)                      # ends without the last word
+        add(w[:2] + w[3:] + fill(), i)               # begins without the third word
+        add(w[1:], i)                                # shorter than the item
+        add(fill() + w[half:] + w[:half] + fill(), i)  # halves exchanged
+        add(fill() + w + w[1:], i)                   # a second time at the end
+    cut = [(k, t.split()) for k, t in docs]
+    long = {(k, i, s) for k, i, s in plain_leaks(docs, items)}
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    leaks = decontamination.find_leaks(frame, bench).cache()
+    got = {(r.doc_id, r.item_id, r.start) for r in leaks.collect()}
+    short = {(k, i, 0) for k, w in cut for i, t in items if len(w) < len(t.split())}
+    assert got - short == long
+    found = {g[:2] for g in got}
+    assert found >= {(k, i) for k, i in want_items.items() if k % 6 not in (2, 4)} | {(14, 2), (16, 2)}
+    told = {(r.doc_id, r.item_id, r.start) for r in decontamination.one_place_each(leaks).collect()}
+    assert told <= got and {t[:2] for t in told} == {g[:2] for g in got}
+    assert all(any(t[:2] == g[:2] and 2 * abs(t[2] - g[2]) < 40 for t in told) for g in got)
+
+
 # The pipeline
 
 def test_the_pipeline_keeps_clean_documents_and_one_of_each_class(spark):
