@@ -3,7 +3,8 @@
 Plain identifiers are found as written. Transducers then rewrite disguises: letters that look like
 ASCII ones, spelled digits, and words for @ and dot. Each rewritten character keeps the range of
 source characters it came from, so what is found in the rewritten text is mapped back. Such a span
-is added only if it holds something rewritten and overlaps no plain span of its kind.
+is added only if it holds something rewritten and no plain span of its kind covers it wholly; a plain
+span that is only a part of it stays beside it.
 
 Edge cases: null counts as an empty text; ids may be null or repeat (a row out per row in); an empty
 table gives an empty table; extra columns are left out.
@@ -234,7 +235,7 @@ def disguised_spans(text: str, plain: list[Span]) -> list[Span]:
     for start, kind, end in plain_spans(rewritten.text):
         low, high = rewritten.starts[start], rewritten.ends[end - 1]
         changed = any(rewritten.new[start:end]) or high - low != end - start
-        if changed and not any(k == kind and s < high and low < e for s, k, e in plain):
+        if changed and not any(k == kind and s <= low and high <= e for s, k, e in plain):
             added.append((low, kind, high))
     return added
 

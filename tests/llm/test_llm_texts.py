@@ -137,6 +137,18 @@ def test_disguises_are_found_at_their_place(text, kind, found):
     assert not plain and [(k, text[s:e]) for s, k, e in added] == [(kind, found)]
 
 
+@pytest.mark.parametrize(("text", "kind", "part"), [
+    ("jоhn@example.com", "email", "hn@example.com"),
+    ("jo\u200bhn@example.com", "email", "hn@example.com"),
+    ("john@mail.example.cоm", "email", "john@mail.example.c"),
+    ("+1 415 555 12 three four five", "phone", "+1 415 555 12"),
+])
+def test_a_plain_part_does_not_hide_the_whole(text, kind, part):
+    plain, added = personal_data.find(f"see {text} now")
+    assert [(k, f"see {text} now"[s:e]) for s, k, e in plain] == [(kind, part)]
+    assert [(k, f"see {text} now"[s:e]) for s, k, e in added] == [(kind, text)]
+
+
 @pytest.mark.parametrize("text", ["look at example.com", "meet at at at the. dot", "one two three", "", "<at> (dot) [at]", " " * 3000 + "(at)"])
 def test_clean_texts_have_no_spans(text):
     assert personal_data.find(text) == ([], [])
