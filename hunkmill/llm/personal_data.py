@@ -1,7 +1,7 @@
 """Personal data in texts, also where it is disguised, with the places in the source text.
 
 Plain identifiers are found as written. Transducers then rewrite disguises: letters that look like
-ASCII ones, spelled digits, and words for @ and dot. Each rewritten character keeps the range of
+ASCII ones, spelled digits (also mixed with figures), and words and brackets for @ and dot. Each rewritten character keeps the range of
 source characters it came from, so what is found in the rewritten text is mapped back. Such a span
 is added only if it holds something rewritten and no plain span of its kind covers it wholly; a plain
 span that is only a part of it stays beside it.
@@ -43,9 +43,13 @@ CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 NUMBER = "|".join(DIGITS)
 SPELLED = re.compile(rf"(?<![A-Za-z])(?:{NUMBER})(?![A-Za-z])", re.I)
-BRACKET_WORD = re.compile(r"[\[({<]\s{0,3}(at|dot)\s{0,3}[\])}>]", re.I)
+# Spelled digits and numbers that stand alone, of which a run may be mixed.
+DIGIT_PART = re.compile(SPELLED.pattern + r"|(?<![A-Za-z0-9])[0-9]++(?![A-Za-z])", re.I)
+BRACKET_WORD = re.compile(r"[\[({<]\s{0,3}(at|dot|@|\.)\s{0,3}[\])}>]", re.I)
+SIGN_WORDS = {"@": "at", ".": "dot"}
 BARE_AT = re.compile(r"(?<=[A-Za-z0-9_%+-])\s{1,3}at(?=\s{1,3}[A-Za-z0-9])", re.I)
 BARE_DOT = re.compile(r"(?<=[A-Za-z0-9])\s{1,3}dot\s{1,3}(?=[A-Za-z0-9])", re.I)
+DIGIT_DOT = re.compile(r"(?<=[0-9])\s{1,3}(?:dot|point)\s{1,3}(?=[0-9])", re.I)
 LABEL = re.compile(r"[A-Za-z0-9-]++")
 
 
@@ -133,44 +137,57 @@ def fold_letters(text: Rewritten) -> None:
 
 
 def spell_digits(text: Rewritten) -> None:
-    """Three or more spelled digits in a row become digits; "plus", "dot" and "dash" beside them signs."""
-    words = list(SPELLED.finditer(text.text))
+    """Runs of three or more digits with spelled ones among them become digits; "plus", "dot" and "dash"
+    beside them signs. What stands between two numbers in figures stays but for such words."""
+    if not SPELLED.search(text.text):
+        return
+    parts = list(DIGIT_PART.finditer(text.text))
     edits: list[tuple[int, int, str]] = []
     at = 0
-    while at < len(words):
-        run = [words[at]]
-        while at + len(run) < len(words) and _between(text.text, run[-1].end(), words[at + len(run)].start()) is not None:
-            run.append(words[at + len(run)])
-        if len(run) >= 3:
+    while at < len(parts):
+        run = [parts[at]]
+        while at + len(run) < len(parts) and _between(text.text, run[-1].end(), parts[at + len(run)].start()) is not None:
+            run.append(parts[at + len(run)])
+        values = [DIGITS.get(part.group().lower()) for part in run]
+        if any(values) and sum(1 if value else len(part.group()) for value, part in zip(values, run)) >= 3:
             plus = re.search(r"(?<![A-Za-z])plus\s{1,2}$", text.text[max(0, run[0].start() - 7):run[0].start()], re.I)
             if plus:
                 low = max(0, run[0].start() - 7)
                 edits.append((low + plus.start(), run[0].start(), "+"))
-            for before, word in zip([None, *run], run):
-                if before:
-                    edits.append((before.end(), word.start(), _between(text.text, before.end(), word.start())))
-                edits.append((word.start(), word.end(), DIGITS[word.group().lower()]))
+            for k, (part, value) in enumerate(zip(run, values)):
+                if k:
+                    low, sign = run[k - 1].end(), _between(text.text, run[k - 1].end(), part.start())
+                    if value or values[k - 1] or sign and text.text[low:part.start()] != sign:
+                        edits.append((low, part.start(), sign))
+                if value:
+                    edits.append((part.start(), part.end(), value))
         at += len(run)
     if edits:
         text.replace(edits)
 
 
 def _between(text: str, start: int, end: int) -> str | None:
-    """What stands for the gap between two spelled digits; None if they do not belong together."""
+    """What stands for the gap between two digits; None if they do not belong together."""
     if end - start > 9:
         return None
     gap = text[start:end].strip().lower()
+    bracketed = BRACKET_WORD.fullmatch(gap)
+    if bracketed:
+        gap = SIGN_WORDS.get(bracketed.group(1), bracketed.group(1))
     return {"": "", ",": "", "-": "-", "dash": "-", "dot": ".", "point": ".", ".": "."}.get(gap) if end > start else None
 
 
 def spell_signs(text: Rewritten) -> None:
     """Words for @ and dot, where an address follows: bracketed, or bare with a dot in words as well or
-    after a name with a digit or sign in it."""
+    after a name with a digit or sign in it; worded dots also behind a plain @, between digits, and in
+    brackets between any labels."""
     source = text.text
-    bracketed = {m.start(): (m.end(), m.group(1).lower()) for m in BRACKET_WORD.finditer(source)}
+    bracketed = {m.start(): (m.end(), SIGN_WORDS.get(m.group(1), m.group(1).lower())) for m in BRACKET_WORD.finditer(source)}
     bare_dots = {m.start(): m.end() for m in BARE_DOT.finditer(source)}
     signs = [(s, e, True) for s, (e, word) in bracketed.items() if word == "at"]
     signs += [(m.start(), m.end(), False) for m in BARE_AT.finditer(source)]
+    if bare_dots or bracketed:
+        signs += [(m.start(), m.end(), True) for m in re.finditer(r"(?<=[A-Za-z0-9._%+-])@(?=[A-Za-z0-9-])", source)]
     edits: list[tuple[int, int, str]] = []
     free = 0
     for start, end, strong in sorted(signs):
@@ -196,8 +213,20 @@ def spell_signs(text: Rewritten) -> None:
         if dots and (strong or worded or any(c.isdigit() or c in "._+" for c in handle[:-1])):
             edits += found
             free = at
-    if edits:
-        text.replace(edits)
+    edits += [(m.start(), m.end(), ".") for m in DIGIT_DOT.finditer(source)]
+    for start, (_, word) in bracketed.items():
+        low = start
+        while low > max(0, start - 3) and source[low - 1].isspace():
+            low -= 1
+        high = _dot(source, start, bracketed, bare_dots) if word == "dot" else None
+        if high and low and LABEL.match(source, low - 1) and LABEL.match(source, high):
+            edits.append((low, high, "."))
+    apart: list[tuple[int, int, str]] = []
+    for edit in sorted(edits):
+        if not apart or edit[0] >= apart[-1][1]:
+            apart.append(edit)
+    if apart:
+        text.replace(apart)
 
 
 def _run(text: str) -> int:
@@ -244,6 +273,7 @@ def _may_be_disguised(text: str) -> bool:
     return (
         not text.isascii() and any(_folded(c) is not None for c in set(text) if c > "\x7f")
         or BRACKET_WORD.search(text) is not None or SPELLED.search(text) is not None or BARE_AT.search(text) is not None
+        or DIGIT_DOT.search(text) is not None or "@" in text and BARE_DOT.search(text) is not None
     )
 
 

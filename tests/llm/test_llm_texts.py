@@ -137,6 +137,24 @@ def test_disguises_are_found_at_their_place(text, kind, found):
     assert not plain and [(k, text[s:e]) for s, k, e in added] == [(kind, found)]
 
 
+@pytest.mark.parametrize(("text", "kind"), [
+    ("192 dot 168 dot 1 dot 10", "ip"), ("192[dot]168[dot]1[dot]10", "ip"), ("192[.]168[.]1[.]10", "ip"),
+    ("192 dot one six eight [dot] 1 dot 10", "ip"), ("192 point 168 (.) one.10", "ip"),
+    ("jane[@]example[.]com", "email"), ("jane[at]example[.]com", "email"), ("jane { @ } example dot com", "email"),
+    ("jane@example[.]com", "email"), ("jane@example dot com", "email"),
+    ("+1 415 five five 5 one two 3 four", "phone"), ("4111 1111 one one 11 111 one", "card"),
+])
+def test_signs_and_digits_are_rewritten_wherever_they_stand(text, kind):
+    around = f"see {text}, now"
+    plain, added = personal_data.find(around)
+    assert not plain and [(k, around[s:e]) for s, k, e in added] == [(kind, text)]
+
+
+@pytest.mark.parametrize("text", ["score 3 dot 5", "one 2 three 45", "a [.] b", "in 2010 one 1990", "it [@] 5 dot"])
+def test_signs_and_digits_alone_are_no_spans(text):
+    assert personal_data.find(text) == ([], [])
+
+
 @pytest.mark.parametrize(("text", "kind", "part"), [
     ("jоhn@example.com", "email", "hn@example.com"),
     ("jo\u200bhn@example.com", "email", "hn@example.com"),
