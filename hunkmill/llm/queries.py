@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hunkmill.llm import (
-    chat, decontamination, jaccard, line_templates, mixing, personal_data, prefix_counts, quality, token_files, warc,
+    chat, covering, decontamination, jaccard, lexical_search, line_templates, merkle, mixing, personal_data, prefix_counts, quality,
+    token_files, warc,
 )
 from hunkmill.session import landed
 
@@ -185,3 +186,99 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     and where a leak has none, all of its windows."""
     leaks = decontamination.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return decontamination.one_place_each(landed(leaks, "leaks"))
+
+
+def _tree_sql(start: str, levels: int, name: str) -> list[str]:
+    """Tables ``name0`` (given, with t, i, n, digest) to ``name<levels>``; trees of one node stay as they are."""
+    tables = [f"{name}0 AS MATERIALIZED ({start})"]
+    for k in range(levels):
+        tables.append(f"""{name}{k + 1} AS MATERIALIZED (
+  SELECT t, i // 16 AS i, (any_value(n) + 15) // 16 AS n,
+         CASE WHEN any_value(n) > 1 THEN sha256(string_agg(digest, '' ORDER BY i)) ELSE any_value(digest) END AS digest
+  FROM {name}{k} GROUP BY t, i // 16)""")
+    return tables
+
+
+def _fold_sql(start: str, levels: int, name: str, nodes: str) -> list[str]:
+    """Tables ``name0`` (given, with row, t, i, folded, told) to ``name<levels>``, up the levels of ``nodes``."""
+    tables = [f"{name}0 AS MATERIALIZED ({start})"]
+    for k in range(levels):
+        tables.append(f"""{name}{k + 1} AS MATERIALIZED (
+  SELECT f.row, f.t, any_value(f.i) // 16 AS i,
+         CASE WHEN any_value(c.n) > 1
+           THEN sha256(string_agg(CASE WHEN c.i = f.i THEN f.folded ELSE c.digest END, '' ORDER BY c.i))
+           ELSE any_value(f.folded) END AS folded,
+         any_value(f.told) || coalesce(string_agg(c.digest, '' ORDER BY c.i) FILTER (WHERE c.i <> f.i), '') AS told
+  FROM {name}{k} f JOIN {nodes}{k} c ON c.t = f.t AND c.i // 16 = f.i // 16 GROUP BY f.row, f.t)""")
+    return tables
+
+
+def _leaf_sql(text: str) -> str:
+    fields = ["doc_id", "source", "lang", "n_chars", text]
+    return "sha256(" + " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END" for c in fields) + ")"
+
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: CRC-32 of a short ASCII text: a byte and seven zeros for eight steps.
+_CRC = """xor(4294967295, list_reduce(
+    list_prepend(4294967295, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+                 lambda c: [CAST(ascii(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+    lambda s, e: xor(xor(s, e) >> 1, (xor(s, e) & 1) * 3988292384)))"""
+#: Levels that the SQL writes out: 16^4 rows of a source and 16^3 sources.
+_LEVELS, _OVER = 4, 3
+
+
+@query(
+    "op11_merkle_manifest",
+    "WITH " + ",\n".join([
+        f"""leaves AS MATERIALIZED (
+  SELECT doc_id, {_leaf_sql("text")} AS leaf, {_leaf_sql(_LOWER)} AS lowered, {_CRC} % 5 = 0 AS chosen,
+         row_number() OVER () AS row, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS t,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) - 1 AS i,
+         count(*) OVER (PARTITION BY source) AS n FROM documents)""",
+        *_tree_sql("SELECT t, i, n, leaf AS digest FROM leaves", _LEVELS, "node"),
+        *_tree_sql(f"SELECT 0 AS t, t AS i, count(*) OVER () AS n, digest FROM node{_LEVELS}", _OVER, "over"),
+        *_fold_sql("SELECT row, t, i, CASE WHEN chosen THEN lowered ELSE leaf END AS folded, '' AS told FROM leaves", _LEVELS, "fold", "node"),
+        *_fold_sql(f"SELECT row, 0 AS t, t AS i, folded, told FROM fold{_LEVELS}", _OVER, "high", "over"),
+    ]) + f"""
+SELECT l.doc_id, l.leaf, s.digest AS subroot, r.digest AS root, sha256(h.told) AS proof_sha256,
+       h.folded AS folded_root, h.folded = r.digest AS verified
+FROM leaves l JOIN node{_LEVELS} s ON s.t = l.t JOIN high{_OVER} h ON h.row = l.row CROSS JOIN over{_OVER} r""",
+)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Proofs of all documents against the root of the table, some of them tampered with."""
+    return merkle.verified_manifest(table(spark, folder, "documents"))
+
+
+_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+
+@query(
+    "op12_lexical_search",
+    f"""WITH docs AS MATERIALIZED (
+  SELECT doc_id, w, len(w) AS n FROM (SELECT doc_id, {_TERMS} AS w FROM documents) WHERE len(w) > 0),
+whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM docs),
+asked AS MATERIALIZED (SELECT DISTINCT item_id, t FROM (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark)),
+counts AS MATERIALIZED (
+  SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, n, unnest(w) AS t FROM docs)
+  WHERE t IN (SELECT t FROM asked) GROUP BY doc_id, n, t),
+weights AS (
+  SELECT t, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight
+  FROM counts CROSS JOIN whole GROUP BY t),
+impacts AS (
+  SELECT doc_id, t, weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // terms))) AS impact
+  FROM counts JOIN weights USING (t) CROSS JOIN whole),
+scores AS (SELECT item_id, doc_id, sum(impact)::BIGINT AS score FROM asked JOIN impacts USING (t) GROUP BY item_id, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 50""",
+)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """The 50 best documents of each benchmark item."""
+    return lexical_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op13_covering_simhash")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Classes of documents whose fingerprints differ in two bits or fewer."""
+    return covering.near_duplicates(table(spark, folder, "documents"))
