@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from hunkmill.catalog import tables as t
 from hunkmill.catalog.metric_queries import areas_sql
 from hunkmill.catalog.registry import query, tidy
+from hunkmill.functions.exact import mean_sql, spread_sql
 from hunkmill.operators import corpus, curves, pairs, perturb
 from hunkmill.plans import contrast
 from hunkmill.session import landed
@@ -49,9 +50,10 @@ token_scores AS (
   FROM scored_pairs LEFT JOIN model_pairs p USING (ctx, tok)
        LEFT JOIN model_contexts USING (ctx), vocabulary),
 text_scores AS (
-  SELECT {keys}, count(*) AS scored_tokens, avg(log_p) AS likelihood, avg(token_rank) AS rank,
-         avg(ln(token_rank)) AS log_rank, avg(token_entropy) AS entropy
-  FROM token_scores GROUP BY ALL)"""
+  SELECT {keys}, count(*) AS scored_tokens, {mean_sql('log_p')} AS likelihood,
+         avg(token_rank) AS rank, {mean_sql('ln(token_rank)')} AS log_rank,
+         {mean_sql('token_entropy')} AS entropy
+  FROM token_scores GROUP BY {keys})"""
 
 
 def _benchmark_model(spark, folder) -> corpus.WordPairModel:
@@ -110,7 +112,7 @@ criteria AS (
   SELECT label, unnest([{{'c': 'likelihood', 's': likelihood}}, {{'c': 'rank', 's': -rank}},
                         {{'c': 'log_rank', 's': -log_rank}}, {{'c': 'entropy', 's': entropy}}]) AS u
   FROM text_scores JOIN sides USING (pair_id, side)),
-named AS (SELECT u.c AS criterion, round(u.s, 7) AS score, label FROM criteria)"""
+named AS (SELECT u.c AS criterion, u.s AS score, label FROM criteria)"""
 
 
 @query("baseline_threshold", f"WITH {_BASELINE}, {areas_sql('named', 'criterion')}")
@@ -118,7 +120,7 @@ def baseline_threshold(spark, folder):
     sides = pairs.pair_sides(t.text_pairs(spark, folder))
     keys = ["pair_id", "side"]
     scored = corpus.score_texts(sides, _benchmark_model(spark, folder), keys)
-    joined = tidy(scored, 7).join(sides.select(*keys, "label"), keys)
+    joined = scored.join(sides.select(*keys, "label"), keys)
     return tidy(curves.areas(corpus.criteria_long(joined, ["label"]), ["criterion"]))
 
 
@@ -313,17 +315,16 @@ _CONTRAST = f"""{_COPIED}, {_MODEL},
 {scores_sql('sides', 'pair_id, side')},
 {scores_sql('spliced', 'pair_id, side, copy_id').replace('scored_pairs', 'copy_pairs').replace('token_scores', 'copy_tokens').replace('text_scores', 'copy_scores')},
 stats AS (
-  SELECT pair_id, side, n AS n_perturbations, avg(likelihood) AS mean,
-         CASE WHEN count(likelihood) <= 1 OR stddev_pop(likelihood) < 1e-9 THEN 1
-              ELSE stddev_pop(likelihood) END AS sd
-  FROM copy_scores, (VALUES (1), (10)) AS c(n) WHERE copy_id <= n GROUP BY ALL),
+  SELECT pair_id, side, n AS n_perturbations, {mean_sql('likelihood')} AS mean,
+         CASE WHEN {spread_sql('likelihood')} = 0 THEN 1 ELSE {spread_sql('likelihood')} END AS sd
+  FROM copy_scores, (VALUES (1), (10)) AS c(n) WHERE copy_id <= n GROUP BY pair_id, side, n),
 criteria AS (
   SELECT n_perturbations, label,
          unnest([{{'c': 'd', 's': likelihood - mean}}, {{'c': 'z', 's': (likelihood - mean) / sd}}])
            AS u
   FROM text_scores JOIN stats USING (pair_id, side) JOIN sides USING (pair_id, side)),
 named AS (SELECT 'perturbation_' || n_perturbations || '_' || u.c AS name, label,
-                 round(u.s, 6) AS score FROM criteria)"""
+                 u.s AS score FROM criteria)"""
 
 
 @query("perturb_and_score", f"WITH {_CONTRAST}, {areas_sql('named', 'name')}")
@@ -331,7 +332,7 @@ def perturb_and_score(spark, folder):
     scores = contrast.curvature_scores(
         t.text_pairs(spark, folder), _benchmark_model(spark, folder), [1, 10]
     )
-    return tidy(curves.areas(tidy(scores, 6), ["name"]))
+    return tidy(curves.areas(scores, ["name"]))
 
 
 @query(

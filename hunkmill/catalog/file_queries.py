@@ -234,7 +234,10 @@ def _landed_commits(spark, folder):
     "SELECT 'h' || o_orderkey AS hash, 'order ' || o_orderkey || chr(10) || chr(10) || 'body' AS text FROM orders",
 )
 def commit_messages(spark, folder):
-    return readers.messages_of(_landed_commits(spark, folder))
+    """Messages of commits that are written as JSON arrays and read by byte ranges."""
+    path = new_shared_path(spark, "commit-arrays")
+    writers.json_arrays(_commit_documents(spark, folder), path)
+    return readers.messages_of(readers.commit_documents(spark, path))
 
 
 @query(

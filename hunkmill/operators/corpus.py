@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from hunkmill.functions import pytext
+from hunkmill.functions import exact, pytext
 from hunkmill.functions.shape import row_array
 from hunkmill.operators.curves import areas
 from hunkmill.operators.joins import BROADCAST_BYTES, fits, hot_keys, spread_join
@@ -127,7 +127,8 @@ def score_texts(texts: DataFrame, model: WordPairModel, keys: Sequence[str]) ->
     """Per text: scored tokens, mean log-probability, rank, log-rank and entropy.
 
     Followers never seen after a context share the rank behind the seen ones. Texts of fewer than
-    two tokens have null scores. With a small model the tokens are not shuffled at all.
+    two tokens have null scores. With a small model the tokens are not shuffled at all. Means do not
+    depend on the order of the tokens (``functions.exact``), so texts with the same pairs tie.
     """
     facts = word_pairs(texts, keys, keep_empty=True)
     words = model.vocabulary.select("words").scalar()
@@ -148,10 +149,10 @@ def score_texts(texts: DataFrame, model: WordPairModel, keys: Sequence[str]) ->
         per_token = _score_tokens_by_key(facts, model, keys, values)
     return per_token.groupBy(*keys).agg(
         F.count("tok").alias("scored_tokens"),
-        F.avg("log_p").alias("likelihood"),
+        exact.mean(F.col("log_p")).alias("likelihood"),
         F.avg("rank").alias("rank"),
-        F.avg(F.log(F.col("rank").cast("double"))).alias("log_rank"),
-        F.avg("entropy").alias("entropy"),
+        exact.mean(F.log(F.col("rank").cast("double"))).alias("log_rank"),
+        exact.mean(F.col("entropy")).alias("entropy"),
     )
 
 

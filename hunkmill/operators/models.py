@@ -1,30 +1,31 @@
-"""Detectors fitted and applied with Spark ML."""
+"""Detectors fitted on the cluster, applied, stored and loaded."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import (
-    LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier,
-)
+from pyspark.ml import PipelineModel, Transformer
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import (
-    IDF, CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, SQLTransformer,
-    VectorSlicer,
+    IDF, CountVectorizerModel, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, SQLTransformer,
 )
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from hunkmill.functions.draws import order_key, unit_draw
+from hunkmill.operators import linear
 from hunkmill.operators.curves import areas
 from hunkmill.operators.evaluation import probability_metrics
-from hunkmill.session import landed
+from hunkmill.operators.linear import LinearModel
+from hunkmill.operators.terms import WORD, top_terms
+from hunkmill.session import existing, landed
 
 VOCABULARY = 5000
-# Words of two or more word characters.
-WORD = r"(?U)\b\w\w+\b"
 
 
 def balanced_weights(rows: DataFrame, label: str = "label") -> DataFrame:
@@ -43,28 +44,35 @@ def balanced_weights(rows: DataFrame, label: str = "label") -> DataFrame:
 
 
 def embedding_features(rows: DataFrame, column: str = "embedding") -> DataFrame:
-    return rows.withColumn("features", array_to_vector(F.col(column).cast("array<double>")))
+    return rows.withColumn("features", F.col(column).cast("array<double>"))
 
 
 def fit_embedding_detector(
-    rows: DataFrame, label: str = "label", max_iter: int = 500, strength: float = 1.0
-) -> PipelineModel:
-    """Class-balanced logistic regression on dense vectors.
+    rows: DataFrame, label: str = "label", max_iter: int = 50, strength: float = 1.0
+) -> LinearModel:
+    """Class-balanced logistic regression on dense vectors, at its one minimum.
 
-    ``strength`` is the inverse penalty of the summed loss. Spark averages the loss by the total
-    weight, hence the division; the vectors are not rescaled.
+    ``strength`` is the inverse penalty of the summed loss; the vectors are not rescaled.
     """
     weighted = balanced_weights(embedding_features(rows), label)
-    total = weighted.agg(F.sum("weight")).first()[0]
-    regression = LogisticRegression(
-        labelCol=label, weightCol="weight", maxIter=max_iter, standardization=False,
-        regParam=1.0 / (strength * total), tol=1e-6,
-    )
-    return Pipeline(stages=[regression]).fit(weighted)
+    return linear.fit_logistic(weighted, label, "weight", 1.0 / strength, max_steps=max_iter)
+
 
+def loss_gradient(rows: DataFrame, model: LinearModel, label: str = "label", strength: float = 1.0) -> DataFrame:
+    """(coefficient, gradient) of the class-balanced loss at a model, the intercept last; 0 at the
+    minimum."""
+    scored = model.score(balanced_weights(embedding_features(rows), label), "_p")
+    pulled = F.col("weight") * (F.col("_p") - F.col(label))
+    numbers = scored.select(pulled.alias("pull"), F.posexplode(F.concat("features", F.array(F.lit(1.0)))).alias("coefficient", "x"))
+    sums = numbers.groupBy("coefficient").agg(F.sum(F.col("pull") * F.col("x")).alias("data"))
+    own = F.element_at(F.array(*[F.lit(float(w)) for w in [*model.weights, 0.0]]), F.col("coefficient") + 1)
+    return sums.select("coefficient", (F.col("data") + own / strength).alias("gradient"))
 
-def score(model: Transformer, rows: DataFrame, name: str = "prob_ai") -> DataFrame:
+
+def score(model: Transformer | LinearModel, rows: DataFrame, name: str = "prob_ai") -> DataFrame:
     """Rows with the probability of class 1."""
+    if isinstance(model, LinearModel):
+        return model.score(rows, name)
     scored = model.transform(rows).withColumn(name, vector_to_array("probability")[1])
     return scored.select(*rows.columns, name)
 
@@ -88,67 +96,59 @@ def score_with(
     return rows.withColumn(name, run(F.col(column)))
 
 
-def tfidf_stages(text: str, vocabulary: int) -> list:
-    """Tokens and token pairs, the most frequent terms, counts."""
-    return [
-        RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=WORD, gaps=False,
-                       toLowercase=True),
-        NGram(n=2, inputCol="_tokens", outputCol="_pairs"),
-        SQLTransformer(
-            statement="SELECT *, concat(_tokens, _pairs) AS _terms FROM __THIS__"
-        ),
-        CountVectorizer(inputCol="_terms", outputCol="_counts", vocabSize=vocabulary),
-        IDF(inputCol="_counts", outputCol="_idf"),
-    ]
-
-
-HELPERS = ["_tokens", "_pairs", "_terms", "_counts", "_idf", "_tfidf"]
-
-
 def fit_tfidf(rows: DataFrame, text: str = "text", vocabulary: int = VOCABULARY) -> PipelineModel:
-    """Unit-length TF-IDF vectors with ``idf = ln((1 + n) / (1 + df)) + 1``.
+    """Unit-length TF-IDF vectors of the most used terms, with ``idf = ln((1 + n) / (1 + df)) + 1``.
 
     Spark's IDF lacks the final 1, so the counts are scaled by ``idf + 1`` instead.
     """
-    base = Pipeline(stages=tfidf_stages(text, vocabulary)).fit(rows)
-    factors = Vectors.dense([x + 1.0 for x in base.stages[-1].idf.toArray()])
+    terms = [r.term for r in top_terms(rows, vocabulary, text).collect()]
+    counter = CountVectorizerModel.from_vocabulary(terms or [""], inputCol="_terms", outputCol="_counts")
+    base = PipelineModel(stages=[
+        RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=WORD, gaps=False, toLowercase=True),
+        NGram(n=2, inputCol="_tokens", outputCol="_pairs"),
+        SQLTransformer(statement="SELECT *, concat(_tokens, _pairs) AS _terms FROM __THIS__"),
+        counter,
+    ])
+    idf = IDF(inputCol="_counts", outputCol="_idf").fit(base.transform(rows).select("_counts"))
+    factors = Vectors.dense([x + 1.0 for x in idf.idf.toArray()])
     return PipelineModel(stages=[
-        *base.stages[:-1],
+        *base.stages,
         ElementwiseProduct(scalingVec=factors, inputCol="_counts", outputCol="_tfidf"),
         Normalizer(p=2.0, inputCol="_tfidf", outputCol="features"),
     ])
 
 
+def with_folds(rows: DataFrame, key: str, folds: int = 5, seed: int = 42) -> DataFrame:
+    """Adds ``_fold``, drawn from the key."""
+    return rows.withColumn("_fold", F.floor(unit_draw(order_key(seed, F.col(key))) * folds).cast("int"))
+
+
 def fit_linear_svm(
     features: DataFrame, key: str, label: str = "label", folds: int = 5, seed: int = 42
-) -> PipelineModel:
+) -> LinearModel:
     """Linear SVM whose margins become probabilities by a logistic fit on held-out folds."""
-    machine = LinearSVC(
-        labelCol=label, maxIter=30, tol=1e-3, standardization=False,
-        regParam=1.0 / max(features.count(), 1),
-    )
-    fold = F.floor(unit_draw(order_key(seed, F.col(key))) * folds)
-    numbered = features.withColumn("_fold", fold)
-    margin = VectorSlicer(inputCol="rawPrediction", outputCol="_margin", indices=[1])
-    margins = None
-    for i in range(folds):
-        fitted = machine.fit(numbered.where(F.col("_fold") != i))
-        held_out = fitted.transform(numbered.where(F.col("_fold") == i))
-        margins = held_out if margins is None else margins.unionByName(held_out)
-    sigmoid = LogisticRegression(
-        featuresCol="_margin", labelCol=label, maxIter=100, standardization=False,
-        rawPredictionCol="_sigmoid_raw", predictionCol="_sigmoid_prediction",
-    ).fit(landed(margin.transform(margins.select(label, "rawPrediction")), "svm-margins"))
-    return PipelineModel(stages=[machine.fit(features), margin, sigmoid])
-
-
-def text_models(label: str = "label") -> dict[str, object]:
-    """The compared classifiers, by display name."""
+    return linear.fit_svm(with_folds(features, key, folds, seed), "_fold", folds, label)
+
+
+def fit_text_models(
+    train: DataFrame, key: str, label: str = "label", trees: int = 100, folds: int = 5, seed: int = 42
+) -> dict[str, Transformer | LinearModel]:
+    """The compared classifiers, by display name.
+
+    The logistic regression, the machine and its folds go down in the same passes; naive Bayes is one
+    pass; only the forest has passes of its own.
+    """
+    dealt = with_folds(train, key, folds, seed)
+    size = linear.width(dealt) + 1
+    starts = [linear.Descent(size, "logistic"), *[linear.Descent(size, "hinge", k) for k in [-1, *range(folds)]]]
+    logistic, whole, *parts = linear.descend(dealt, starts, label, "_fold")
+    slope, shift = linear.fit_sigmoid(linear.held_out_margins(dealt, parts, "_fold", label), label)
+    forest = RandomForestClassifier(labelCol=label, numTrees=trees, seed=seed)
     return {
-        "Logistic Regression": LogisticRegression(labelCol=label, maxIter=1000,
-                                                  standardization=False),
-        "Random Forest": RandomForestClassifier(labelCol=label, numTrees=100, seed=42),
-        "Naive Bayes": NaiveBayes(labelCol=label, smoothing=1.0),
+        "Logistic Regression": logistic,
+        "Random Forest": forest.fit(train),
+        "Naive Bayes": linear.fit_bayes(train, label),
+        "SVM (Linear)": LinearModel(whole.weights, whole.intercept, slope, shift),
     }
 
 
@@ -163,29 +163,15 @@ def compare_text_models(
     """Metrics per model on the rows with ``is_test`` = 1, fitted on the others."""
     rows = landed(rows.select(key, label, text, "is_test"), "labelled-texts")
     tfidf = fit_tfidf(rows.where("is_test = 0"), text, vocabulary)
-    # Read by every iteration of every model.
+    # Read by every step of the fits.
     features = landed(tfidf.transform(rows).select(key, label, "is_test", "features"), "features")
-    train, test_features = features.where("is_test = 0").persist(), features.where("is_test = 1")
-    size = train.count()
-    fitted = {}
-    for name, estimator in text_models(label).items():
-        if isinstance(estimator, LogisticRegression):
-            estimator.setRegParam(1.0 / size)
-        if isinstance(estimator, RandomForestClassifier):
-            estimator.setNumTrees(trees)
-        fitted[name] = estimator.fit(train)
-    fitted["SVM (Linear)"] = fit_linear_svm(train, key, label)
-    train.unpersist()
-    parts = [
-        model.transform(test_features).select(
-            F.lit(name).alias("Model"), F.col(label).alias("label"),
-            vector_to_array("probability")[1].alias("probability"),
-        )
-        for name, model in fitted.items()
-    ]
-    scored = parts[0]
-    for part in parts[1:]:
-        scored = scored.unionByName(part)
+    train, test = features.where("is_test = 0"), features.where("is_test = 1")
+    fitted = fit_text_models(train, key, label, trees)
+    scored = None
+    for name, model in fitted.items():
+        part = score(model, test.select(label, "features"), "probability")
+        part = part.select(F.lit(name).alias("Model"), F.col(label).alias("label"), "probability")
+        scored = part if scored is None else scored.unionByName(part)
     return probability_metrics(scored, ["Model"])
 
 
@@ -194,9 +180,65 @@ def detector_areas(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return areas(scored, by)
 
 
-def save(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
-
-
-def load(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+@dataclass(frozen=True)
+class Detector:
+    """A fitted model with the configuration it was calibrated to."""
+
+    model: PipelineModel | LinearModel
+    threshold: float | None = None
+    strata: DataFrame | None = None
+
+
+def _contents(spark: SparkSession, folder: str) -> tuple[int, str]:
+    """How many files a folder has, and a digest of their names and contents."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    name = F.element_at(F.split("path", "/"), -1)
+    told = files.select(F.concat_ws(" ", name, F.sha2("content", 256)).alias("told"))
+    found = told.agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("told")), "\n"), 256).alias("digest")).first()
+    return found.n, found.digest
+
+
+def save(detector: Detector, path: str) -> None:
+    """A new version of a stored detector. Its manifest is added last, with a digest of all files, so
+    what was cut off is never loaded."""
+    spark = SparkSession.active()
+    folder = f"{path}/{uuid.uuid4().hex}"
+    model = detector.model
+    if isinstance(model, LinearModel):
+        numbers = [(i, float(x)) for i, x in enumerate([*model.weights, model.intercept, model.slope, model.shift])]
+        spark.createDataFrame(numbers, "place int, value double").coalesce(1).write.parquet(f"{folder}/model")
+    else:
+        model.write().save(f"{folder}/model")
+    if detector.strata is not None:
+        detector.strata.write.parquet(f"{folder}/strata")
+    files, digest = _contents(spark, folder)
+    known = _manifests(spark, path)
+    version = 1 + max((m.version for m in known), default=0)
+    row = (version, folder.rsplit("/", 1)[1], type(model).__name__, detector.threshold, detector.strata is not None, files, digest)
+    spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("append").json(f"{path}/manifest")
+
+
+MANIFEST = "version long, folder string, kind string, threshold double, has_strata boolean, files long, digest string"
+
+
+def _manifests(spark: SparkSession, path: str) -> list:
+    if not existing(spark, [f"{path}/manifest"]):
+        return []
+    return spark.read.schema(MANIFEST).json(f"{path}/manifest").collect()
+
+
+def load(spark: SparkSession, path: str) -> Detector:
+    """The latest whole version. A version without a manifest, or whose files are not those that were
+    saved, does not count."""
+    for row in sorted(_manifests(spark, path), key=lambda m: -m.version):
+        folder = f"{path}/{row.folder}"
+        if not existing(spark, [folder]) or _contents(spark, folder) != (row.files, row.digest):
+            continue
+        strata = spark.read.parquet(f"{folder}/strata") if row.has_strata else None
+        if row.kind == LinearModel.__name__:
+            numbers = [r.value for r in spark.read.parquet(f"{folder}/model").orderBy("place").collect()]
+            model = LinearModel(np.array(numbers[:-3]), *numbers[-3:])
+        else:
+            model = PipelineModel.load(f"{folder}/model")
+        return Detector(model, row.threshold, strata)
+    raise ValueError(f"no whole detector at {path}")

@@ -6,14 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from hunkmill.functions import pytext
+from hunkmill.functions import exact, pytext
 from hunkmill.functions.shape import row_array
 from hunkmill.operators.sampling import shuffle_head
 from hunkmill.session import landed
 
-# Equal texts score equally up to the order of summation.
-NO_SPREAD = 1e-9
-
 
 def unfold_pairs(documents: DataFrame, kept: Sequence[str] = ()) -> DataFrame:
     """(pair_id, original, sampled) from two lists of equal length."""
@@ -142,22 +139,18 @@ def perturbation_stats(scored: DataFrame, counts: Sequence[int], keys: Sequence[
     """Mean and spread of the perturbed scores, for every number of copies at once.
 
     ``scored`` has ``copy_id`` (from 1) and ``ll``. The spread is that of the population; it is 1
-    for a single copy and where all copies score the same (to within rounding).
+    for a single copy and where all copies score the same. Both are exact sums, equal in any order.
     """
     columns = []
     for n in counts:
-        chosen = F.when(F.col("copy_id") <= n, F.col("ll"))
-        columns += [
-            F.count(chosen).alias(f"_n_{n}"), F.avg(chosen).alias(f"_mean_{n}"),
-            F.stddev_pop(chosen).alias(f"_sd_{n}"),
-        ]
+        chosen = F.when(F.col("copy_id").between(1, n), F.col("ll"))
+        columns += [exact.mean(chosen).alias(f"_mean_{n}"), exact.spread(chosen).alias(f"_sd_{n}")]
     wide = scored.groupBy(*keys).agg(*columns)
     per_count = row_array(
         ["n_perturbations", "perturbed_ll", "perturbed_ll_std"],
         *[
             [n, F.col(f"_mean_{n}"),
-             F.when((F.col(f"_n_{n}") <= 1) | (F.col(f"_sd_{n}") < NO_SPREAD), 1.0)
-             .otherwise(F.col(f"_sd_{n}"))]
+             F.when(F.coalesce(F.col(f"_sd_{n}"), F.lit(0.0)) == 0, 1.0).otherwise(F.col(f"_sd_{n}"))]
             for n in counts
         ],
     )

@@ -8,12 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hunkmill.functions import fixed_values as fv, pytext
 from hunkmill.functions.draws import bucket_of, order_key, unit_draw
 from hunkmill.functions.shape import let
 from hunkmill.operators.joins import BROADCAST_BYTES, fits
+from hunkmill.session import landed
 
 
 def span_count(
@@ -143,40 +147,92 @@ def dictionary_index(words: DataFrame) -> DataFrame:
     )
 
 
-def _draw_words(
-    places: DataFrame, index: DataFrame, keys: Sequence[str], span: int, seed: int
+def _first_and_step(draw: Column, total: int, span: int) -> tuple[Column, Column]:
+    """The number of a place's first word, and by how much the following ones go on."""
+    first = F.floor(unit_draw(F.md5(F.concat(draw, F.lit("a")))) * total)
+    if span == 1:
+        return first, F.lit(0).cast("long")
+    # j steps never come back to the start, so the words of one place are distinct.
+    widest = max((total - 1) // (span - 1), 1)
+    return first, 1 + F.floor(unit_draw(F.md5(F.concat(draw, F.lit("b")))) * widest)
+
+
+def _words_at_hand(
+    chosen: DataFrame, index: DataFrame, total: int, keys: Sequence[str], span: int, seed: int
 ) -> DataFrame:
-    """For each text the list of drawn words, ``span`` distinct ones for each of its places.
+    """Adds ``_fills``, the words for each of a text's ``starts``, out of a short dictionary that every
+    task has.
 
-    The dictionary grows with the corpus: a short one is broadcast, a long one is joined by number,
-    which spreads evenly.
+    Numbers are drawn by Spark; only they go to Python, where whole batches are looked up at once.
+    """
+    words = index.orderBy("idx").select("word").toArrow()["word"].combine_chunks()
+
+    def numbers(place: Column) -> Column:
+        first, step = _first_and_step(order_key(seed, *[F.col(k) for k in keys], place), total, span)
+        return let(F.struct(first.alias("first"), step.alias("step")), lambda at: F.transform(
+            F.sequence(F.lit(0), F.lit(span - 1)), lambda j: (at["first"] + j * at["step"]) % total
+        ))
+
+    @F.arrow_udf("array<string>")
+    def looked_up(drawn: pa.Array) -> pa.Array:
+        found = words.take(drawn.flatten())
+        places = pc.fill_null(pc.list_value_length(drawn), 0).to_numpy() // span
+        fills = pa.ListArray.from_arrays(np.arange(0, len(found) + 1, span, dtype=np.int32), found)
+        ends = np.concatenate([[0], np.cumsum(places)]).astype(np.int32)
+        return pa.ListArray.from_arrays(ends, pc.binary_join(fills, " "))
+
+    drawn = chosen.withColumn("_numbers", F.flatten(F.transform("starts", lambda _, i: numbers(i))))
+    return drawn.withColumn("_fills", looked_up("_numbers"))
+
+
+def _words_by_number(
+    places: DataFrame, index: DataFrame, total: int, keys: Sequence[str], span: int, seed: int
+) -> DataFrame:
+    """(keys, _fills): the same out of a long dictionary.
+
+    Each request carries the number it has drawn; requests and words meet by number, which spreads
+    evenly, and go back to their text.
     """
-    total = index.count()
-    if fits(index, BROADCAST_BYTES):
-        index = F.broadcast(index)
     draw = order_key(seed, *[F.col(k) for k in keys], F.col("_place"))
-    first = F.floor(unit_draw(F.md5(F.concat(draw, F.lit("a")))) * total)
-    # The outer form, as the plain one would add a filter on ``starts`` below, and so draw the
-    # places several times over.
-    unfolded = places.select(*keys, F.posexplode_outer("starts").alias("_place", "_start"))
-    wanted = unfolded.where(F.col("_start").isNotNull()).withColumn("_first", first)
-    if span > 1:
-        # j steps never come back to the start, so the words of one place are distinct.
-        widest = max((total - 1) // (span - 1), 1)
-        step = 1 + F.floor(unit_draw(F.md5(F.concat(draw, F.lit("b")))) * widest)
-    else:
-        step = F.lit(0)
-    wanted = wanted.withColumn("_step", step).select(
-        *keys, "_place", "_first", "_step",
+    first, step = _first_and_step(draw, total, span)
+    requests = places.select(*keys, F.posexplode("starts").alias("_place", "_start")).select(
+        *keys, "_place", first.alias("_first"), step.alias("_step"),
         F.explode(F.sequence(F.lit(0), F.lit(span - 1))).alias("_j"),
-    )
-    requests = wanted.select(
+    ).select(
         *keys, "_place", "_j", ((F.col("_first") + F.col("_j") * F.col("_step")) % total).alias("idx")
     )
-    return requests.join(index, "idx").groupBy(*keys).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("_place", "_j", "word"))), lambda x: x["word"]
-        ).alias("_words")
+    filled = requests.join(index, "idx").groupBy(*keys, "_place").agg(
+        F.array_join(F.transform(
+            F.array_sort(F.collect_list(F.struct("_j", "word"))), lambda x: x["word"]
+        ), " ").alias("fill")
+    )
+    return filled.groupBy(*keys).agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("_place", "fill"))), lambda x: x["fill"]
+    ).alias("_fills"))
+
+
+def _filled(
+    chosen: DataFrame, columns: Sequence[str], index: DataFrame, keys: Sequence[str], span: int, seed: int
+) -> DataFrame:
+    """Texts whose ``starts`` are filled with drawn words.
+
+    A dictionary of up to ``BROADCAST_BYTES`` goes to every task and nothing is shuffled. Beyond that
+    the pieces and places are written once, so that the places are drawn once for the requests and
+    the text alike.
+    """
+    total = index.count()
+    if fits(index, BROADCAST_BYTES):
+        chosen = _words_at_hand(chosen, index, total, keys, span, seed)
+        # Columns that are named twice are not merged into the lambdas of others, where Python cannot
+        # be called.
+        fills = F.when(F.size("_fills") * span == F.size("_numbers"), F.col("_fills"))
+    else:
+        chosen = landed(chosen.drop("text"), "places")
+        chosen = chosen.join(_words_by_number(chosen, index, total, keys, span, seed), list(keys), "left")
+        fills = F.col("_fills")
+    return chosen.select(
+        *[c for c in columns if c != "text"],
+        splice(F.col("pieces"), F.col("starts"), span, fills).alias("text"),
     )
 
 
@@ -192,18 +248,10 @@ def random_fill(
 ) -> DataFrame:
     """Texts with every chosen span replaced by ``span`` distinct random dictionary words.
 
-    ``index`` is a ``dictionary_index``; land it first, it is counted and then joined.
+    ``index`` is a ``dictionary_index``; land it first, it is counted and then read.
     """
     chosen = choose_spans(texts, keys, span, buffer, share, round_up, seed)
-    drawn = _draw_words(chosen, index, keys, span, seed)
-    fills = F.transform(  # ``_words`` comes out of the join and is not computed again
-        "starts",
-        lambda _, i: F.array_join(F.slice("_words", i * span + 1, F.lit(span)), " "),
-    )
-    return chosen.join(drawn, list(keys), "left").select(
-        *[c for c in texts.columns if c != "text"],
-        splice(F.col("pieces"), F.col("starts"), span, fills).alias("text"),
-    )
+    return _filled(chosen, texts.columns, index, keys, span, seed)
 
 
 def random_replace(
@@ -228,11 +276,7 @@ def random_replace(
     chosen = texts.withColumn("pieces", pytext.space_pieces(F.col("text"))).withColumn(
         "starts", let(F.concat(digest, F.lit("|")), hits)
     )
-    drawn = _draw_words(chosen, index, keys, 1, seed)
-    return chosen.join(drawn, list(keys), "left").select(
-        *[c for c in texts.columns if c != "text"],
-        splice(F.col("pieces"), F.col("starts"), 1, F.col("_words")).alias("text"),
-    )
+    return _filled(chosen, texts.columns, index, keys, 1, seed)
 
 
 def extract_fills(generated: Column) -> Column:

@@ -56,16 +56,18 @@ def _cutoffs(
     seed: int,
     by: Sequence[str],
 ) -> DataFrame:
-    """The digest of the last row to take, per group: columns ``by``, ``_cut`` and ``_ties``, how many
-    rows with that digest are taken.
+    """The digest of the last row to take, per group: columns ``by``, ``_cut``, ``_ties`` (how many rows
+    with that digest are taken) and ``_tied`` (how many there are).
 
-    Groups taken whole have no row. Only ``by`` and ``key`` are read. Rows fall into 65,536 even
-    buckets by their digest; the bucket counts show in which bucket the last row lies, and only
-    that bucket is ranked. ``wanted`` gives the number of rows from the size of the group.
+    Groups taken whole have no row. The rows are read once, for ``by`` and ``key``: what is written is
+    a count for each digest. Digests fall into 65,536 even buckets, whose counts show in which of them
+    the last row lies; only that bucket is ordered, a repeated key being one digest of it. ``wanted``
+    gives the number of rows from the size of the group.
     """
     keyed = _with_order(rows.select(*by, *[k for k in key if k not in by]), key, seed)
-    keyed = keyed.withColumn("_bucket", bucket_of(F.col("_order")))
-    counts = keyed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
+    counted = landed(keyed.groupBy(*by, "_order").agg(F.count(F.lit(1)).alias("_rows")), "digests")
+    counted = counted.withColumn("_bucket", bucket_of(F.col("_order")))
+    counts = counted.groupBy(*by, "_bucket").agg(F.sum("_rows").alias("_rows"))
     group = Window.partitionBy(*by)
     before = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     places = counts.select(
@@ -73,32 +75,29 @@ def _cutoffs(
         F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"),
         wanted(F.sum("_rows").over(group)).alias("_wanted"),
     )
-    edges = places.where(
+    # One row per group.
+    edges = landed(places.where(
         (F.col("_before") < F.col("_wanted"))
         & (F.col("_before") + F.col("_rows") >= F.col("_wanted"))
+        | (F.col("_wanted") <= 0) & (F.col("_before") == 0)
+    ).drop("_rows"), "edges")
+    in_edge = Window.partitionBy(*by, "_bucket").orderBy("_order").rowsBetween(
+        Window.unboundedPreceding, -1
     )
-    in_edge = Window.partitionBy(*by, "_bucket").orderBy("_order")
-    # The edges are one row per group, bounded by the check on their use below.
-    last = (
-        _null_safe(keyed, edges, [*by, "_bucket"], "inner")
-        .withColumns({
-            "_place": F.col("_before") + F.row_number().over(in_edge),
-            "_first": F.col("_before") + F.rank().over(in_edge),
-        })
-        .where(F.col("_place") == F.col("_wanted"))
-        .select(*by, F.col("_order").alias("_cut"), (F.col("_place") - F.col("_first") + 1).alias("_ties"))
+    edge = F.broadcast(edges) if fits(edges) else edges
+    last = _null_safe(counted, edge.where("_wanted > 0"), [*by, "_bucket"], "inner").withColumn(
+        "_until", F.col("_before") + F.coalesce(F.sum("_rows").over(in_edge), F.lit(0))
     )
-    none = places.where((F.col("_wanted") <= 0) & (F.col("_before") == 0)).select(
-        *by, F.lit("").alias("_cut"), F.lit(0).alias("_ties")
+    last = last.where(
+        (F.col("_until") < F.col("_wanted")) & (F.col("_until") + F.col("_rows") >= F.col("_wanted"))
+    ).select(
+        *by, F.col("_order").alias("_cut"), (F.col("_wanted") - F.col("_until")).alias("_ties"),
+        F.col("_rows").alias("_tied"),
     )
-    return last.unionByName(none)
-
-
-def _small(cuts: DataFrame) -> DataFrame:
-    """The cut-offs, found now. If they are small they are broadcast, so that the rows themselves are
-    only filtered and not shuffled by group."""
-    found = landed(cuts, "cut-offs")
-    return F.broadcast(found) if fits(found) else found
+    none = edges.where("_wanted <= 0").select(
+        *by, F.lit("").alias("_cut"), F.lit(0).alias("_ties"), F.lit(0).alias("_tied")
+    )
+    return landed(last.unionByName(none), "cut-offs")
 
 
 def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
@@ -112,16 +111,20 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str)
 def _taken(rows: DataFrame, cuts: DataFrame, key: Sequence[str], seed: int, by: Sequence[str]) -> DataFrame:
     """All rows with ``_taken``: digests below the cut-off, and of those equal to it exactly so many.
 
-    Rows that share the last digest share the key; which of them are taken follows from all their
-    columns. Only these rows are ordered.
+    The rows are read once more, and small cut-offs are broadcast, so they are only filtered. Where all
+    rows of a last digest are taken, and that is always so while keys do not repeat, nothing is ordered.
+    Else the rows that share that digest share the key; which of them are taken follows from all their
+    columns.
     """
     columns = rows.columns
     if by:
-        joined = _null_safe(rows, _small(cuts), by, "left")
+        joined = _null_safe(rows, F.broadcast(cuts) if fits(cuts) else cuts, by, "left")
     else:
         found = cuts.first()
         joined = rows.withColumns({"_cut": F.lit(found["_cut"] if found else None).cast("string"), "_ties": F.lit(found["_ties"] if found else None).cast("long")})
     joined = joined.withColumn("_order", order_key(seed, *[F.col(k) for k in key]))
+    if cuts.where("_ties < _tied").isEmpty():
+        return joined.withColumn("_taken", F.coalesce(F.col("_order") <= F.col("_cut"), F.lit(True))).select(*columns, "_taken")
     tied = F.coalesce(F.col("_order") == F.col("_cut"), F.lit(False))
     clear = joined.where(~tied).withColumn("_taken", F.coalesce(F.col("_order") < F.col("_cut"), F.lit(True)))
     last = Window.partitionBy(*by, "_order").orderBy(F.xxhash64(*columns))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from hunkmill.functions import fixed_values as fv
 from hunkmill.operators import curves, evaluation, hunks, joins, models, rollups, sampling
+from hunkmill.operators.linear import LinearModel
 from hunkmill.session import landed
 from hunkmill.sources import writers
 
@@ -37,7 +38,8 @@ def build_dataset(
     per_stratum: int = 400,
     seed: int = 42,
 ) -> Dataset:
-    """Labelled hunks of both sides, all of them and at most ``per_stratum`` of each stratum.
+    """Labelled hunks of both sides, all of them and a sample of at most ``per_stratum`` of each
+    stratum; ``per_language`` bounds the human pull requests that are read (None: all of them).
 
     The full table is landed: it is costly to cut out of the patches and is read several times.
     """
@@ -57,16 +59,17 @@ def build_dataset(
 
 @dataclass(frozen=True)
 class Calibration:
-    model: Transformer
+    model: Transformer | LinearModel
     predictions: DataFrame
     sweep: DataFrame
     threshold: float
     overall: DataFrame
     strata: DataFrame
+    allowed: DataFrame
     config: DataFrame
 
     def write(self, folder: str) -> None:
-        models.save(self.model, f"{folder}/detector")
+        models.save(models.Detector(self.model, self.threshold, self.allowed), f"{folder}/detector")
         writers.parquet(self.predictions, f"{folder}/predictions")
         writers.csv(self.sweep, f"{folder}/threshold_metrics")
         for c in evaluation.STRATUM:
@@ -85,7 +88,7 @@ class Calibration:
 def calibrate(
     hunks_: DataFrame,
     key: Sequence[str],
-    fit: Callable[[DataFrame], Transformer] = models.fit_embedding_detector,
+    fit: Callable[[DataFrame], Transformer | LinearModel] = models.fit_embedding_detector,
     prepare: Callable[[DataFrame], DataFrame] = models.embedding_features,
     max_rows: int | None = 6000,
     test_share: float = 0.2,
@@ -93,6 +96,8 @@ def calibrate(
 ) -> Calibration:
     """Cap, split by label, fit, score the test part, choose the threshold, judge the strata.
 
+    The fit sees a bounded sample of the labelled rows: at most ``max_rows``, evenly from all strata
+    (None: all rows).
     Only the threshold (one number) comes to the driver, as the later steps are built with it.
     """
     rows = hunks_
@@ -115,4 +120,4 @@ def calibrate(
         sizes.alias("train_rows"),
     )
     config = evaluation.frozen_config(allowed, predictions, threshold)
-    return Calibration(model, predictions, sweep, threshold, overall, strata, config)
+    return Calibration(model, predictions, sweep, threshold, overall, strata, allowed, config)

@@ -46,19 +46,19 @@ def curvature_scores(
     to fill in come from the texts themselves.
     """
     sides = pairs.pair_sides(text_pairs)
-    base = corpus.score_texts(sides, model, KEYS).select(*KEYS, F.col("likelihood").alias("ll"))
     copied = pairs.copies(sides.drop("label"), max(counts))
     changed = perturb.perturb_rounds(
         copied, fill_index(text_pairs), [*KEYS, "copy_id"], rounds, seed,
         span=span, buffer=buffer, share=share,
     )
-    # The copies are read more than once with a large model, and are costly to make.
-    perturbed = corpus.score_texts(landed(changed, "perturbed"), model, [*KEYS, "copy_id"]).select(
-        *KEYS, "copy_id", F.col("likelihood").alias("ll")
-    )
-    stats = pairs.perturbation_stats(perturbed, counts, KEYS)
-    labelled = base.join(sides.select(*KEYS, "label"), KEYS)
-    scored = pairs.curvature(labelled, stats, KEYS)
+    # The texts themselves are copy 0, so all is scored at once; the copies are costly to make.
+    every = sides.select(*KEYS, "text", F.lit(0).alias("copy_id"))
+    every = landed(every.unionByName(changed.select(*every.columns)), "perturbed")
+    scores = corpus.score_texts(every, model, [*KEYS, "copy_id"])
+    scores = landed(scores.select(*KEYS, "copy_id", F.col("likelihood").alias("ll")), "copy-scores")
+    stats = pairs.perturbation_stats(scores.where("copy_id > 0"), counts, KEYS)
+    label = (F.col("side") == "sampled").cast("int").alias("label")
+    scored = pairs.curvature(scores.where("copy_id = 0").select(*KEYS, "ll", label), stats, KEYS)
     name = F.concat_ws("_", F.lit("perturbation"), "n_perturbations", "criterion")
     return scored.select(name.alias("name"), "label", "score")
 

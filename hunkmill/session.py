@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -79,3 +80,14 @@ def landed(rows: DataFrame, name: str) -> DataFrame:
     path = new_shared_path(spark, name)
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
+
+
+def existing(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    """The paths that exist; a missing source is skipped, not an error."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    found = []
+    for path in paths:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        if target.getFileSystem(conf).globStatus(target):
+            found.append(path)
+    return found

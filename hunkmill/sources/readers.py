@@ -11,6 +11,8 @@ from hunkmill import schemas
 from hunkmill.functions import identity
 from hunkmill.functions.pytext import strip
 from hunkmill.functions.scoring import calendar_month, not_nan, utc_moment
+from hunkmill.session import existing  # noqa: F401  (part of this module's interface)
+from hunkmill.sources import json_arrays
 
 PULL_COLUMNS = ["id", "agent", "created_at", "repo_url", "html_url", "title"]
 
@@ -101,25 +103,15 @@ def dated_messages(
     return dated
 
 
-def existing(spark: SparkSession, paths: Sequence[str]) -> list[str]:
-    """The paths that exist; a missing source is skipped, not an error."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    found = []
-    for path in paths:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        if target.getFileSystem(conf).globStatus(target):
-            found.append(path)
-    return found
-
-
 def commit_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Nested commits out of JSON arrays, or with ``lines`` out of one document per line.
 
-    One array file is read by one task: write large exports once as Parquet (``land_commits``).
-    Files with a document per line are split.
+    Both are read by as many tasks as their size asks for, also where all is one array.
     """
-    reader = spark.read.schema(schemas.COMMIT_DOCUMENT).option("multiLine", not lines)
-    return reader.json(path)
+    if lines:
+        return spark.read.schema(schemas.COMMIT_DOCUMENT).json(path)
+    parsed = F.from_json("text", schemas.COMMIT_DOCUMENT).alias("document")
+    return json_arrays.objects(spark, path).select(parsed).select("document.*")
 
 
 def messages_of(documents: DataFrame) -> DataFrame:

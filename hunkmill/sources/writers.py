@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hunkmill.sources import readers
@@ -32,6 +33,22 @@ def json_documents(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
+def json_arrays(rows: DataFrame, path: str) -> None:
+    """Each output file is one JSON array."""
+    def enclosed(batches):
+        sign = "["
+        for batch in batches:
+            lines = []
+            for text in batch["value"].to_pylist():
+                lines.append(sign + text)
+                sign = ","
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
+        if sign == ",":
+            yield pa.RecordBatch.from_arrays([pa.array(["]"])], ["value"])
+
+    text_lines(rows.select(F.to_json(F.struct("*")).alias("value")).mapInArrow(enclosed, "value string"), path)
+
+
 def run_summary(summary: DataFrame, path: str) -> None:
     """A one-row summary as a JSON document."""
     summary.coalesce(1).write.mode("overwrite").json(path)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from hunkmill import schemas
 from hunkmill.operators import evaluation, hunks, models, rollups
 from hunkmill.plans import calibration, contrast, messages, report, trends
-from hunkmill.sources import corpora, readers, writers
+from hunkmill.sources import corpora, json_arrays, readers, writers
 
 
 def test_csv_keeps_odd_rows(spark, tmp_path):
@@ -127,7 +127,9 @@ def test_calibration(spark, vectors, tmp_path):
     assert overall.train_rows + overall.test_rows == 3 * (800 // 3) and overall.roc_auc > 0.9
     assert overall.balanced_accuracy == found.sweep.first().balanced_accuracy
     found.write(str(tmp_path / "out"))
-    model = models.load(str(tmp_path / "out/detector"))
+    stored = models.load(spark, str(tmp_path / "out/detector"))
+    assert stored.threshold == found.threshold
+    model = stored.model
     again = models.score(model, models.embedding_features(found.predictions.drop("prob_ai")))
     assert again.join(found.predictions.withColumnRenamed("prob_ai", "p"), "key").where(
         F.abs(F.col("p") - F.col("prob_ai")) > 1e-12).count() == 0
@@ -235,3 +237,45 @@ def test_a_frozen_configuration_drives_the_trend(spark):
     commits = spark.createDataFrame([("r", "c", "2024-01")], "repo string, commit_hash string, calendar_month string")
     found = trends.analyse(commits, hunk_rows, lambda rows: rows, **trends.configured(config))
     assert found.scored.count() == 1
+
+
+ODD_OBJECTS = [
+    {"msg": "a } b { c ] d [ \\ \" \\\" end\\", "n": [{"x": "}"}, {"y": {"z": "]"}}], "hash": "1"},
+    {"msg": "", "n": [], "hash": "2"}, {"hash": "3"}, {},
+    {"msg": "ünï   {{{{ \"}\" , ]", "n": [[[{"k": "\\\\"}]]], "hash": "4"},
+    {"msg": "line\nbreak\ttab, [", "hash": "5"},
+]
+
+
+@pytest.mark.parametrize("size, indent", [(7, None), (16, 2), (23, None), (5000, None)])
+def test_objects_of_an_array_that_is_cut_anywhere(spark, tmp_path, size, indent):
+    (tmp_path / "one.json").write_text(json.dumps(ODD_OBJECTS, indent=indent, ensure_ascii=False))
+    (tmp_path / "two.json").write_text(" \n" + json.dumps(ODD_OBJECTS[:1], indent=indent) + "\n")
+    (tmp_path / "none.json").write_text("[ ]\n")
+    (tmp_path / "single.json").write_text(json.dumps(ODD_OBJECTS[4], indent=indent))
+    bytes_before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    open_before = spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        found = json_arrays.objects(spark, str(tmp_path / "*.json")).collect()
+        ranges = json_arrays._pieces(spark, str(tmp_path / "one.json")).select("block").distinct().count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", bytes_before)
+        spark.conf.set("spark.sql.files.openCostInBytes", open_before)
+    assert size > 1000 or ranges > 3
+    by_file = {}
+    for row in found:
+        by_file.setdefault(row.file.rsplit("/", 1)[1], []).append(json.loads(row.text))
+    key = lambda rows: sorted(map(json.dumps, rows))
+    assert key(by_file.pop("one.json")) == key(ODD_OBJECTS)
+    assert by_file == {"two.json": ODD_OBJECTS[:1], "single.json": [ODD_OBJECTS[4]]}
+
+
+def test_arrays_are_written_and_read_back(spark, tmp_path):
+    rows = spark.range(100).select(F.concat(F.lit("h}"), "id").alias("hash"), F.lit('"{').alias("msg"))
+    writers.json_arrays(rows.repartition(3), str(tmp_path / "arrays"))
+    texts = [json.loads(p.read_text()) for p in (tmp_path / "arrays").glob("part*") if p.stat().st_size]
+    assert sum(map(len, texts)) == 100
+    read = readers.messages_of(readers.commit_documents(spark, str(tmp_path / "arrays")))
+    assert {(r.hash, r.text) for r in read.collect()} == {(f"h}}{i}", '"{') for i in range(100)}

@@ -1,10 +1,11 @@
 import math
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
-from hunkmill.functions import fixed_values as fv
+from hunkmill.functions import exact, fixed_values as fv
 from hunkmill.functions.scoring import bands, length_bucket, year_scaled
 from hunkmill.operators import curves, evaluation, ordered, pairs, rollups
 
@@ -201,3 +202,16 @@ def test_commits_without_hunks_count(spark):
     assert pooled["medium"].commits == 3
     assert pooled["medium"].commit_ai_fraction == pytest.approx(1 / 3)
     assert not math.isnan(pooled["low"].mean_max_hunk_score)
+
+
+def test_means_and_spreads_do_not_depend_on_the_order(spark):
+    dice = random.Random(4)
+    values = [dice.uniform(-9, 0) for _ in range(999)]
+    orders = [values, sorted(values), sorted(values, reverse=True)]
+    rows = [(g, x) for g, own in enumerate(orders) for x in own] + [(9, None), (8, 0.1), (8, 0.1)]
+    frame = spark.createDataFrame(rows, "g int, x double")
+    found = {r.g: r for r in frame.groupBy("g").agg(exact.mean(F.col("x")).alias("m"), exact.spread(F.col("x")).alias("s")).collect()}
+    assert found[0][1:] == found[1][1:] == found[2][1:]
+    assert found[0].m == pytest.approx(sum(values) / 999, abs=1e-9)
+    assert found[0].s == pytest.approx(statistics.pstdev(values), abs=1e-9)
+    assert found[9].m is None and found[8].s == 0.0

@@ -144,3 +144,19 @@ def test_a_hot_key_is_dealt_over_many_tasks(spark, parts):
         assert [(r.k, r._salts) for r in hot] == [(7, -(-6 * parts // 10))]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_the_rows_are_scanned_once_for_the_cut_and_once_for_the_result(spark, tmp_path):
+    spark.range(5000).select("id", (F.col("id") % 2).alias("label")).write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    split = sampling.split_exact(rows, ["id"])
+    plan = split._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 2 and "Union" not in plan and "Window" not in plan  # rows and cut-offs
+    assert {(r.label, r.n) for r in split.groupBy("label").agg(F.sum("is_test").alias("n")).collect()} == {(0, 500), (1, 500)}
+
+
+def test_a_key_that_most_rows_share_is_cut_exactly(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") < 2000, -1).otherwise(F.col("id")).alias("k"), "id")
+    for n in (1, 500, 1000, 2500, 2999, 3000):
+        got = sampling.smallest_n(rows, n, ["k"]).collect()
+        assert len(got) == len({r.id for r in got}) == n
