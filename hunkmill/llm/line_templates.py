@@ -39,7 +39,8 @@ DIGIT = re.compile(rb"[0-9]")
 
 
 def masked(line: bytes) -> list[bytes]:
-    return [VARIABLE if DIGIT.search(t) else t for t in line.split()]
+    tokens = line.split()
+    return [VARIABLE if DIGIT.search(t) else t for t in tokens] if DIGIT.search(line) else tokens
 
 
 def _signed(number: int) -> int:

@@ -19,6 +19,7 @@ import json
 import struct
 import unicodedata
 from array import array
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +27,11 @@ import regex
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from hunkmill.llm.word_ids import KEPT_BYTES, KEPT_WORDS, Memo, once, utf8
+from hunkmill.llm.word_ids import Memo, once, utf8
 
-PAIRS_KEPT = 400_000
+PAIRS_KEPT = 200_000
+#: Bytes kept of pieces and of words; workers are reused, so all is bounded together.
+PIECES_MEMORY, WORDS_MEMORY, LETTERS_MEMORY = 24 << 20, 32 << 20, 8 << 20
 WHITE = np.zeros(256, bool)
 WHITE[list(b" \t\n\r\x0b\x0c")] = True
 
@@ -64,9 +67,10 @@ class PrefixCounter:
         self.longest = max(len(t.removesuffix(self.end)) for t in entries)
         self.known: dict[str, bool] = {}
         self.edges: dict[tuple[str, int], list[tuple[str, float]]] = {}
-        self.words: dict[str, list[int]] = {}
-        self.steps = Memo(lambda piece: _steps(self.piece(piece)))
-        self.memo = Memo(self._word)
+        #: Ends of pieces that are not plain ASCII words, as changes.
+        self.pieces_ended = Memo(lambda piece: _steps(self._piece(piece)), LETTERS_MEMORY)
+        self.steps = Memo(lambda piece: _steps(self._piece(piece)), PIECES_MEMORY)
+        self.memo = Memo(self._word, WORDS_MEMORY)
         #: Which entries encodings can hold: 1 inside a word, 2 at its end, 3 both.
         self.usable: dict[str, int] = {}
         for entry in entries:
@@ -135,14 +139,7 @@ class PrefixCounter:
 
     def piece(self, text: str) -> list[int]:
         """Counts at the end of each byte of a piece, if the piece ended there."""
-        ended = self.words.get(text)
-        if ended is None:
-            ended = self._piece(text)
-            if len(text) <= KEPT_BYTES:
-                if len(self.words) >= KEPT_WORDS // 2:
-                    self.words.clear()
-                self.words[text] = ended
-        return ended
+        return list(accumulate(memoryview(self.pieces_ended[text]).cast("i")))
 
     def _piece(self, text: str) -> list[int]:
         size, longest, usable, agree, end_mark = len(text), self.longest, self.usable.get, self.agree, self.end
@@ -311,22 +308,35 @@ def longest_prefix(packed: bytes, budget: int) -> int:
     return int(np.flatnonzero(prefix_table(packed) <= budget)[-1])
 
 
-def count_prefixes(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, n_bytes, n_tokens and ``prefixes``, the packed counts of all prefixes."""
+def count_prefixes(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", budget: int | None = None) -> DataFrame:
+    """Per row: key, n_bytes, n_tokens and ``prefixes``, the packed counts of all prefixes.
+
+    With a ``budget`` also over_limit and the code points of the longest prefix within it, read from
+    the packed counts while they are at hand.
+    """
 
     def work(batches):
         counter = once(PrefixCounter, tokenizer)
         for batch in batches:
-            texts = list(utf8(batch["text"]))
-            deltas = [counter.deltas(t) for t in texts]
-            yield pa.RecordBatch.from_arrays([
-                batch["key"], pa.array([len(t) for t in texts], pa.int64()),
-                pa.array([int(d.sum()) for d in deltas], pa.int64()), pa.array(map(pack, deltas), pa.binary()),
-            ], [key, "n_bytes", "n_tokens", "prefixes"])
+            sizes, tokens, packed, within = [], [], [], []
+            for raw in utf8(batch["text"]):
+                deltas = counter.deltas(raw)
+                sizes.append(len(raw))
+                tokens.append(int(deltas.sum()))
+                packed.append(pack(deltas))
+                if budget is not None:
+                    within.append(longest_prefix(packed[-1], budget))
+            columns = [batch["key"], pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array(packed, pa.binary())]
+            names = [key, "n_bytes", "n_tokens", "prefixes"]
+            if budget is not None:
+                columns += [pa.array([n > budget for n in tokens], pa.bool_()), pa.array(within, pa.int64())]
+                names += ["over_limit", "prefix_chars"]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(work, f"`{key}` {kind}, n_bytes long, n_tokens long, prefixes binary")
+    schema = f"`{key}` {kind}, n_bytes long, n_tokens long, prefixes binary"
+    return rows.mapInArrow(work, schema + (", over_limit boolean, prefix_chars long" if budget is not None else ""))
 
 
 def within_budget(rows: DataFrame, budget: int) -> DataFrame:

@@ -117,8 +117,8 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_prefix_counts")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     """Token counts of all documents, and how much of each fits into 2048 tokens."""
-    counted = prefix_counts.count_prefixes(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-    return prefix_counts.within_budget(counted, 2048).drop("prefixes")
+    counted = prefix_counts.count_prefixes(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), budget=2048)
+    return counted.drop("prefixes")
 
 
 @query(

@@ -38,11 +38,12 @@ from hunkmill.session import landed, new_shared_path
 FRAME_TOKENS = 1 << 16
 LONG_TOKENS = 1 << 22
 INDEX_MAGIC, TABLE_MAGIC, SEEKABLE = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
+INDEX_BLOCK = 4096
 INDEX_ROW = np.dtype([("doc", "<i8"), ("known", "u1"), ("tokens", "<u8")])
 
 
 class Writer:
-    """Writes one file, holding one frame in memory."""
+    """Writes one file, holding one frame in memory, and 17 bytes of the index for each document."""
 
     def __init__(self, path: str, kind: np.dtype):
         self.path, self.kind, self.out = path, kind, writing(path)
@@ -50,19 +51,29 @@ class Writer:
         self.parts: list[bytes] = []
         self.held = self.tokens = 0
         self.table: list[tuple[int, int, int]] = []
+        self.documents = 0
+        #: The document index so far: whole blocks of rows, and the rows of the last one.
+        self.blocks: list[bytes] = []
         self.rows: list[tuple[int, int, int]] = []
 
     def add(self, doc: int | None, ids: bytes) -> None:
         size = self.kind.itemsize
         count = len(ids) // size
         self.rows.append((0 if doc is None else doc, doc is not None, count))
+        self.documents += 1
         self.tokens += count
+        if len(self.rows) == INDEX_BLOCK:
+            self._block()
         for at in range(0, len(ids), LONG_TOKENS * size):
             self.parts.append(ids[at:at + LONG_TOKENS * size])
             self.held += len(self.parts[-1]) // size
             if self.held >= FRAME_TOKENS:
                 self._frame()
 
+    def _block(self) -> None:
+        self.blocks.append(np.array(self.rows, INDEX_ROW).tobytes())
+        self.rows = []
+
     def _frame(self) -> None:
         content = b"".join(self.parts)
         frame = self.compressor.compress(content)
@@ -73,8 +84,8 @@ class Writer:
     def close(self) -> None:
         if self.parts:
             self._frame()
-        index = self.compressor.compress(np.array(self.rows, INDEX_ROW).tobytes())
-        index += struct.pack("<QQ", len(self.rows), self.kind.itemsize)
+        self._block()
+        index = self.compressor.compress(b"".join(self.blocks)) + struct.pack("<QQ", self.documents, self.kind.itemsize)
         self.out.write(struct.pack("<II", INDEX_MAGIC, len(index)) + index)
         table = b"".join(struct.pack("<III", *row) for row in self.table)
         table += struct.pack("<IBI", len(self.table), 0x80, SEEKABLE)
@@ -154,7 +165,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str | Non
                 writer.add(doc, encoder.encode(raw) + end)
         if writer:
             writer.close()
-            yield pa.RecordBatch.from_pylist([{"part": partition_id(), "file": writer.path, "documents": len(writer.rows), "tokens": writer.tokens}])
+            yield pa.RecordBatch.from_pylist([{"part": partition_id(), "file": writer.path, "documents": writer.documents, "tokens": writer.tokens}])
 
     return landed(ordered.mapInArrow(write, "part long, file string, documents long, tokens long"), "token-file-list")
 

@@ -12,26 +12,33 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 
-#: Words kept by a worker, and the longest word that is kept.
-KEPT_WORDS = 600_000
+#: Bytes that a worker keeps of words, about, and the longest word that is kept.
+KEPT_MEMORY = 80 << 20
 KEPT_BYTES = 64
+#: What an entry takes beside its bytes.
+ENTRY = 190
 
 
 class Memo(dict):
     """What ``make`` gives for a word; emptied when full, so its memory is bounded."""
 
-    def __init__(self, make: Callable[[bytes], bytes], limit: int = KEPT_WORDS):
+    def __init__(self, make: Callable[[bytes], bytes], limit: int = KEPT_MEMORY):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.held = make, limit, 0
 
     def __missing__(self, word: bytes) -> bytes:
         value = self.make(word)
         if len(word) <= KEPT_BYTES:
-            if len(self) >= self.limit:
-                self.clear()
-            self[word] = value
+            self.keep(word, value)
         return value
 
+    def keep(self, word: bytes, value: bytes) -> None:
+        self.held += ENTRY + len(word) + len(value)
+        if self.held > self.limit:
+            self.clear()
+            self.held = ENTRY + len(word) + len(value)
+        self[word] = value
+
 
 class WordIds:
     """Encodes texts with a tokenizers file, without added special tokens."""
@@ -44,6 +51,7 @@ class WordIds:
         #: Bytes of an id in files.
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.memo: dict[bytes, bytes] = {}
+        self.held = 0
 
     def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
         texts = [word.decode("utf-8", "replace") for word in words]
@@ -56,18 +64,17 @@ class WordIds:
             text = text.lower()
         words = text.split()
         new = set(words).difference(self.memo)
-        if len(self.memo) + len(new) > KEPT_WORDS:
-            self.memo.clear()
-            new = set(words)
-        long = {word for word in new if len(word) > KEPT_BYTES}
-        if new:
-            self.memo.update(self._learn(list(new - long)))
-        if not long and len(self.memo) <= KEPT_WORDS:
+        found = self._learn(list(new)) if new else {}
+        short = {word: ids for word, ids in found.items() if len(word) <= KEPT_BYTES}
+        self.held += sum(ENTRY + len(word) + len(ids) for word, ids in short.items())
+        if len(short) == len(found) and self.held <= KEPT_MEMORY:
+            self.memo.update(short)
             return b"".join(map(self.memo.__getitem__, words))
-        once_only = self._learn(list(long))
-        out = b"".join(once_only[w] if len(w) > KEPT_BYTES else self.memo[w] for w in words)
-        if len(self.memo) > KEPT_WORDS:
-            self.memo.clear()
+        out = b"".join(found[w] if w in found else self.memo[w] for w in words)
+        if self.held > KEPT_MEMORY:
+            self.memo, self.held = {}, 0
+        else:
+            self.memo.update(short)
         return out
 
 

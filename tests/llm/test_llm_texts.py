@@ -216,7 +216,7 @@ def test_token_query_over_odd_documents(spark):
 
 
 def test_words_are_encoded_alike_when_the_memo_overflows(monkeypatch):
-    monkeypatch.setattr(word_ids, "KEPT_WORDS", 3)
+    monkeypatch.setattr(word_ids, "KEPT_MEMORY", 700)
     encoder = word_ids.WordIds(TOKENIZER)
     for text in ["a b c d e f a", "<|ENDOFTEXT|> A", "x" * 100 + " A a", "a\x1cb c\xa0d"]:
         assert np.frombuffer(encoder.encode(text.encode()), encoder.kind).tolist() == library(text)
