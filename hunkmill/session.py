@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Texts come in batches of up to this many rows; ten thousand long ones would fill a worker.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     # Re-writing one repo or month must not drop the others.
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
