@@ -46,7 +46,8 @@ def patch_files(spark, folder):
 # One commit file per document, named by its language; pull request and repository by number.
 
 
-def _merged(spark, folder):
+def _merged_parts(spark, folder):
+    """File details, pull requests and repositories."""
     people = t.table(spark, folder, "supplier").agg(F.count(F.lit(1))).scalar()
     details = t.patches(spark, folder).select(
         (F.col("doc_id") % people).alias("pr_id"),
@@ -67,8 +68,12 @@ def _merged(spark, folder):
         F.concat(F.lit("org/n"), F.col("s_nationkey").cast("string")).alias("repo_full_name"),
         F.lit("h").alias("html_url"), F.lit("t").alias("title"),
     )
-    joined = joins.join_commit_pr(details, pulls)
-    return joins.join_repository(joined, t.repositories(spark, folder), ["sha"])
+    return details, pulls, t.repositories(spark, folder)
+
+
+def _merged(spark, folder):
+    details, pulls, repositories = _merged_parts(spark, folder)
+    return joins.join_repository(joins.join_commit_pr(details, pulls), repositories, ["sha"])
 
 
 _MERGED = """details AS (

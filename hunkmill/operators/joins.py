@@ -112,6 +112,14 @@ def hunks_of_commits(
     return spread_join(hunks, wanted, list(keys), "left_semi", spread)
 
 
+def co_located_hunks(
+    hunks: DataFrame, commits: DataFrame, keys: Sequence[str] = ("repo", "commit_hash")
+) -> DataFrame:
+    """Hunks whose commit is in ``commits``, where both are tables in buckets of the keys
+    (``writers.co_located``): neither is shuffled. One commit's hunks are never many."""
+    return hunks.join(commits.select(*keys), list(keys), "left_semi")
+
+
 def allowed_hunks(hunks: DataFrame, allowed: DataFrame) -> DataFrame:
     """Hunks in the calibrated (language, category, length) strata.
 

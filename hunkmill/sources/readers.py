@@ -11,7 +11,7 @@ from hunkmill import schemas
 from hunkmill.functions import identity
 from hunkmill.functions.pytext import strip
 from hunkmill.functions.scoring import calendar_month, not_nan, utc_moment
-from hunkmill.session import existing  # noqa: F401  (part of this module's interface)
+from hunkmill.session import existing, landed  # noqa: F401  (``existing`` is part of this module)
 from hunkmill.sources import json_arrays
 
 PULL_COLUMNS = ["id", "agent", "created_at", "repo_url", "html_url", "title"]
@@ -64,6 +64,20 @@ def mined_hunks(spark: SparkSession, path: str, repos: Sequence[str] | None = No
     return rows if repos is None else rows.where(F.col("repo").isin(list(repos)))
 
 
+def co_located(
+    spark: SparkSession, path: str, table: str, schema: T.StructType, keys: Sequence[str], buckets: int
+) -> DataFrame:
+    """A table that ``writers.co_located`` has written, also from another session: its buckets are told
+    to Spark again."""
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    by = ", ".join(f"`{k}`" for k in keys)
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet "
+        f"CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS LOCATION '{path}'"
+    )
+    return spark.table(table)
+
+
 def scored_hunks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).withColumn("prob_ai", not_nan(F.col("prob_ai")))
 
@@ -82,6 +96,23 @@ def csv_columns(
     return reader.csv(path).select(*wanted)
 
 
+def csv_and_quarantine(
+    spark: SparkSession, path: str | Sequence[str], header: Sequence[str], has_header: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """Rows of CSV files with as many fields as the header, and the raw lines of all others.
+
+    Both come out of one pass, which is written: ``line`` is the text of a record with too few or too
+    many fields, of which nothing is lost, and ``fields`` what could be read of it.
+    """
+    columns = [T.StructField(name, T.StringType()) for name in [*header, "_line"]]
+    reader = spark.read.schema(T.StructType(columns)).option("header", has_header).option("mode", "PERMISSIVE")
+    reader = reader.option("multiLine", True).option("escape", '"').option("enforceSchema", True)
+    read = landed(reader.option("columnNameOfCorruptRecord", "_line").csv(path), "csv-records")
+    kept = read.where(F.col("_line").isNull()).drop("_line")
+    apart = read.where(F.col("_line").isNotNull())
+    return kept, apart.select(F.col("_line").alias("line"), F.array_compact(F.array(*header)).alias("fields"))
+
+
 def summary_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
 

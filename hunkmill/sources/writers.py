@@ -25,6 +25,17 @@ def parquet_by_repo(
     rows.hint("rebalance", "repo").write.mode("overwrite").partitionBy("repo").parquet(path)
 
 
+def co_located(rows: DataFrame, path: str, table: str, keys: Sequence[str], buckets: int) -> DataFrame:
+    """The rows in ``buckets`` files by the hash of their keys, in order of the keys, as a table.
+
+    Tables with the same number of buckets of the same keys are joined and grouped by them without a
+    shuffle. As the files are in order, a filter on the first key reads only the parts that may hold it.
+    """
+    dealt = rows.repartition(buckets, *keys)
+    dealt.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+    return rows.sparkSession.table(table)
+
+
 def csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 

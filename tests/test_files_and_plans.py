@@ -5,7 +5,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from hunkmill import schemas
-from hunkmill.operators import evaluation, hunks, models, rollups
+from hunkmill.operators import evaluation, hunks, joins, models, rollups
 from hunkmill.plans import calibration, contrast, messages, report, trends
 from hunkmill.sources import corpora, json_arrays, readers, writers
 
@@ -279,3 +279,34 @@ def test_arrays_are_written_and_read_back(spark, tmp_path):
     assert sum(map(len, texts)) == 100
     read = readers.messages_of(readers.commit_documents(spark, str(tmp_path / "arrays")))
     assert {(r.hash, r.text) for r in read.collect()} == {(f"h}}{i}", '"{') for i in range(100)}
+
+
+def test_tables_in_buckets_are_joined_without_a_shuffle(spark, tmp_path):
+    keys, limit = ["repo", "commit_hash"], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    commits = spark.range(400).select(F.concat(F.lit("r"), F.col("id") % 4).alias("repo"), F.col("id").cast("string").alias("commit_hash"))
+    rows = commits.crossJoin(spark.range(3).withColumnRenamed("id", "line_count")).where("commit_hash <> '7'")
+    a = writers.co_located(commits, str(tmp_path / "commits"), "test_commits", keys, 8)
+    b = writers.co_located(rows, str(tmp_path / "hunks"), "test_hunks", keys, 8)
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        kept = joins.co_located_hunks(b, a.where("repo = 'r1'"), keys)
+        joined = a.join(kept.groupBy(*keys).agg(F.count("*").alias("n")), keys, "left")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and plan.count("SortMergeJoin") == 2
+        assert joined.where("n = 3").count() == 100
+        # Another session knows only the path.
+        spark.sql("DROP TABLE test_hunks")
+        again = readers.co_located(spark, str(tmp_path / "hunks"), "test_hunks_again", b.schema, keys, 8)
+        plan = joins.co_located_hunks(again, a, keys)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and again.count() == 1197
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        for name in ("test_commits", "test_hunks", "test_hunks_again"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_lines_that_do_not_fit_lose_nothing(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('h,m,n\n1,"a, ""b""\nc",2\n3,short\n4,a,b,too,"many ""x"""\n5,,\n')
+    kept, apart = readers.csv_and_quarantine(spark, str(tmp_path / "x.csv"), ["h", "m", "n"])
+    assert sorted(map(tuple, kept.collect()), key=str) == [("1", 'a, "b"\nc', "2"), ("5", None, None)]
+    assert {r.line.strip(): r.fields for r in apart.collect()} == {"3,short": ["3", "short"], '4,a,b,too,"many ""x"""': ["4", "a", "b"]}
