@@ -27,7 +27,7 @@ import regex
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from hunkmill.llm.word_ids import Memo, once, utf8
+from hunkmill.llm.word_ids import Memo, byte_letters, once, utf8
 
 PAIRS_KEPT = 200_000
 #: Bytes kept of pieces and of words; workers are reused, so all is bounded together.
@@ -36,14 +36,6 @@ WHITE = np.zeros(256, bool)
 WHITE[list(b" \t\n\r\x0b\x0c")] = True
 
 
-def byte_letters() -> list[str]:
-    """The letter that stands for each byte in byte-level vocabularies: printable bytes for themselves,
-    the others in order from code point 256 on."""
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = iter(range(256, 512))
-    return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
-
-
 class PrefixCounter:
     """Counts for a tokenizers file: byte-level pairs with an end-of-word mark, lower-cased NFC text."""
 

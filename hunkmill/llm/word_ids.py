@@ -7,18 +7,30 @@ the library.
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
+from array import array
 from collections.abc import Callable, Iterable
 
 import numpy as np
+import regex
 
 #: Bytes that a worker keeps of words, about, and the longest word that is kept.
-KEPT_MEMORY = 80 << 20
+KEPT_MEMORY = 96 << 20
 KEPT_BYTES = 64
 #: What an entry takes beside its bytes.
 ENTRY = 190
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable bytes for themselves,
+    the others in order from code point 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
+
+
 class Memo(dict):
     """What ``make`` gives for a word; emptied when full, so its memory is bounded."""
 
@@ -50,13 +62,47 @@ class WordIds:
         self.library = Tokenizer.from_file(path)
         #: Bytes of an id in files.
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
+        self.model = self.library.model
         self.memo: dict[bytes, bytes] = {}
         self.held = 0
+        self.pieces, self.letters = self._parting(path)
+
+    def _parting(self, path: str) -> tuple[regex.Pattern | None, list[str]]:
+        """How the library cuts a word into pieces, if it does so by one pattern on lower-cased NFC text
+        and then maps bytes to letters; None for any other kind of file."""
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        normal = [step["type"] for step in (spec["normalizer"] or {}).get("normalizers", [])]
+        cut = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        if normal != ["NFC", "Replace", "Lowercase"] or [step["type"] for step in cut] != ["Split", "ByteLevel"]:
+            return None, []
+        if not cut[0]["invert"] or cut[0]["behavior"] != "Removed" or cut[1]["add_prefix_space"] or cut[1].get("use_regex"):
+            return None, []
+        return regex.compile(cut[0]["pattern"]["Regex"]), byte_letters()
+
+    def _ids(self, text: str) -> list[int] | None:
+        """The ids of a word straight from the vocabulary's merges; None where the library must see it:
+        special strings, and text that normalising could change."""
+        if self.pieces is None or "<" in text or not text.isascii() and (text != text.lower() or not unicodedata.is_normalized("NFC", text)):
+            return None
+        found, tokenize, letters = [], self.model.tokenize, self.letters
+        for piece in self.pieces.findall(text):
+            found += [token.id for token in tokenize(piece if piece.isascii() and piece.isprintable() else "".join([letters[b] for b in piece.encode()]))]
+        return found
 
     def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        texts = [word.decode("utf-8", "replace") for word in words]
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return {word: np.array(one.ids, self.kind).tobytes() for word, one in zip(words, found)}
+        found, left = {}, []
+        for word in words:
+            ids = self._ids(word.decode("utf-8", "replace")) if word == word.lower() else None
+            if ids is None:
+                left.append(word)
+            else:
+                found[word] = array(self.code, ids).tobytes()
+        texts = [word.decode("utf-8", "replace") for word in left]
+        for word, one in zip(left, self.library.encode_batch_fast(texts, add_special_tokens=False) if left else ()):
+            found[word] = array(self.code, one.ids).tobytes()
+        return found
 
     def encode(self, text: bytes) -> bytes:
         """The ids; words that are new to this worker go through the library together."""
