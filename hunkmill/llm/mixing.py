@@ -1,79 +1,79 @@
 """Soft-membership mixing of domains to target weights, with DataFrame functions only.
 
 A labelled table says for some documents which domain they belong to. A logistic classifier over the
-words (and three text marks) that tell the domains apart gives every document a posterior per domain.
+words that tell the domains apart (up to ``VOCABULARY``), and three text marks, gives every document a
+posterior per domain.
 Nonnegative rates per document are then fitted so that the expected tokens of each domain, the sum of
 rate x posterior x tokens, meet the targets: projected gradient on the least squares of what is
 missing, starting from rate 1. The gradient is taken in the metric of the documents' tokens and the
 missing tokens are weighted by the inverse of the posteriors' moments, so a step meets the targets
 but for the projection. Each step is one distributed sum; the driver holds numbers per domain only.
 
-Bounds: the classifier is fitted on at most ``SAMPLE_ROWS`` labelled documents and uses ``VOCABULARY``
-words; counts, posteriors and sums cover all documents.
+Bounds: the classifier is fitted on at most ``SAMPLE_ROWS`` labelled documents; counts, posteriors and
+sums cover all documents. Targets that rates cannot meet (a domain without documents, or more of one
+that always comes with another) are told: the mixture has targets, what the rates reach, and ``met``.
 
 Edge cases: a null or empty text has no tokens and does not matter to the sums, its posterior is
-that of a text without any of the words; labels with null id or domain are ignored, of several labels the smallest domain
+that of a text without any word; very long texts are hashed word by word like others; labels with null id or domain are ignored, of several labels the smallest domain
 counts; without labels there are no domains and every rate is 1; repeated and null ids are rows like
 others; an empty table gives an empty table; extra columns are kept by ``with_rates``.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hunkmill.llm.sized import sent_if_small
 from hunkmill.session import landed
 
 SAMPLE_ROWS = 50_000
-VOCABULARY = 48
-PENALTY = 1e-4
+#: What a word must tell of the domains (in nats, summed over the labelled documents), and how many such
+#: words the classifier knows, at most; enough for those of several languages.
+GAIN, VOCABULARY = 8.0, 4096
+PENALTY, FIT_STEPS, FIT_TASKS = 1e-3, 40, 2
 STEPS, CLOSE = 40, 1e-6
+#: Targets count as met if no domain misses more than this share of all tokens.
+MET = 1e-3
 
 
 def _words(text: str) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def _marks(text: str) -> Column:
-    """The distinct words, and signs for many symbols, capitals and repeated words."""
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    size = F.size("words")
+def _told(rows: DataFrame, text: str) -> DataFrame:
+    """Adds n_tokens, ``seen`` (the distinct words) and ``signs`` for many symbols, capitals and repeated
+    words."""
+    worded = rows.withColumn("words", _words(text))
+    worded = worded.withColumn("n_tokens", F.size("words").cast("long")).withColumn("seen", F.array_distinct("words")).drop("words")
+    body, size = F.coalesce(F.col(text).cast("string"), F.lit("")), F.col("n_tokens")
     symbols = F.length(body) - F.length(F.translate(body, "#*$%&|<>", ""))
     capitals = F.length(body) - F.length(F.translate(body, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
-    own = F.array_compact(F.array(
-        F.when(symbols * 10 > size, F.lit("<symbols>")), F.when(capitals * 4 > F.length(body), F.lit("<capitals>")),
-        F.when(F.size("seen") * 5 < size * 2, F.lit("<repeats>")),
-    ))
-    return F.concat(F.col("seen"), own)
+    signs = [symbols * 10 > size, capitals * 4 > F.length(body), F.size("seen") * 5 < size * 2]
+    return worded.withColumn("signs", F.array(*[sign.cast("double") for sign in signs]))
 
 
-def _told(rows: DataFrame, text: str) -> DataFrame:
-    """Adds n_tokens and ``seen``, what a text has of words and marks."""
-    rows = rows.withColumn("words", _words(text)).withColumn("seen", F.array_distinct("words"))
-    return rows.withColumn("seen", _marks(text)).withColumn("n_tokens", F.size("words").cast("long")).drop("words")
+def _features(told: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """Adds ``features``: which of the words are there, and the signs."""
+    counter = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="seen", outputCol="there")
+    vectors = counter.transform(told).withColumn("signs", array_to_vector("signs"))
+    return VectorAssembler(inputCols=["there", "signs"], outputCol="features").transform(vectors).drop("seen", "there", "signs")
 
 
 class Classifier:
-    """Domains with log scores: ``base``, and ``words``, added for each word that is there."""
-
-    def __init__(self, domains: list[str], base: list[float], words: dict[str, list[float]]):
-        self.domains, self.base, self.words = domains, base, words
+    """The domains in order, and the words and model that give their probabilities; without a model,
+    ``shares``."""
 
-    def posteriors(self, seen: Column) -> list[Column]:
-        present = F.array_intersect(seen, F.array(*[F.lit(w) for w in self.words])) if self.words else None
-        scores = []
-        for d in range(len(self.domains)):
-            score = F.lit(self.base[d])
-            if self.words:
-                table = F.create_map(*[F.lit(x) for w, odds in self.words.items() for x in (w, odds[d])])
-                score = F.aggregate(present, F.lit(self.base[d]), lambda total, w: total + F.element_at(table, w))
-            scores.append(score)
-        return scores
+    def __init__(self, domains: list[str], shares: list[float], words: list[str] | None = None, model: LogisticRegressionModel | None = None):
+        self.domains, self.shares, self.words, self.model = domains, shares, words, model
+        #: Set by ``fit_rates``.
+        self.targets: dict[str, float] = {}
+        self.reached: dict[str, float] = {}
+        self.met = True
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", domain: str = "domain", sample_rows: int = SAMPLE_ROWS, vocabulary: int = VOCABULARY) -> Classifier:
@@ -81,11 +81,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     known = labels.where(F.col(key).isNotNull() & F.col(domain).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.min(F.col(domain).cast("string")).alias("domain"))
     chosen = landed(known.orderBy(F.xxhash64("key"), "key").limit(sample_rows), "labelled")
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key")
-    told = landed(_told(rows, "text").groupBy("key", "domain").agg(F.first("seen").alias("seen")), "labelled-words")
+    told = landed(_told(rows, "text").select("domain", "seen", "signs"), "labelled-words")
     sizes = {r.domain: r.n for r in told.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     domains, total = sorted(sizes), sum(sizes.values())
-    if not domains:
-        return Classifier([], [], {})
+    if len(domains) < 2:
+        return Classifier(domains, [1.0] * len(domains))
     per_domain = [F.count_if(F.col("domain") == d).alias(f"d{i}") for i, d in enumerate(domains)]
     counts = told.select("domain", F.explode("seen").alias("word")).groupBy("word").agg(*per_domain)
     # The part of the mutual information that a word's presence has on the domain.
@@ -93,31 +93,24 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     for i, d in enumerate(domains):
         there = F.col(f"d{i}")
         gain = gain + F.when(there > 0, there * F.log(there * float(total) / (all_docs * float(sizes[d])))).otherwise(0.0)
-    best = counts.withColumn("gain", gain).orderBy(F.desc("gain"), "word").limit(vocabulary).collect()
-    chosen_words = [row.word for row in best]
+    best = [r.word for r in counts.withColumn("gain", gain).where(F.col("gain") >= GAIN).orderBy(F.desc("gain"), "word").limit(vocabulary).select("word").collect()]
+    if not best:
+        return Classifier(domains, [sizes[d] / total for d in domains])
     place = F.create_map(*[F.lit(x) for i, d in enumerate(domains) for x in (d, float(i))])
-    there = F.transform(F.array(*[F.lit(w) for w in chosen_words]), lambda w: F.array_contains("seen", w).cast("double"))
-    rows = told.select(F.element_at(place, F.col("domain")).alias("label"), there.alias("there"))
-    if len(domains) < 2 or not chosen_words:
-        return Classifier(domains, [math.log(sizes[d] / total) for d in domains], {})
-    # Few rows, by their bound: equal ones are counted together and held by two tasks, as each step of
-    # the fit is a job.
-    rows = landed(rows.groupBy("label", "there").agg(F.count("*").cast("double").alias("weight")), "training-rows")
-    rows = rows.select("label", "weight", array_to_vector("there").alias("features")).coalesce(2)
-    model = LogisticRegression(family="multinomial", weightCol="weight", regParam=PENALTY, maxIter=30, tol=1e-5, standardization=False).fit(rows)
-    base = [float(x) for x in model.interceptVector]
-    words = {w: [float(model.coefficientMatrix[d, i]) for d in range(len(domains))] for i, w in enumerate(chosen_words)}
-    return Classifier(domains, base, words)
+    rows = _features(told, best).select(F.element_at(place, F.col("domain")).alias("label"), "features")
+    # Few rows, by their bound, so that few tasks hold them through all steps.
+    model = LogisticRegression(family="multinomial", regParam=PENALTY, maxIter=FIT_STEPS, tol=1e-6, standardization=True).fit(landed(rows, "training-rows").coalesce(FIT_TASKS))
+    return Classifier(domains, [sizes[d] / total for d in domains], best, model)
 
 
 def with_posteriors(docs: DataFrame, classifier: Classifier, text: str = "text") -> DataFrame:
     """All columns, n_tokens and ``posterior``, an array in the order of the classifier's domains."""
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
-    told = _told(own, "text").withColumn("scores", F.array(*classifier.posteriors(F.col("seen"))) if classifier.domains else F.array().cast("array<double>"))
-    raised = F.transform("scores", lambda s: F.exp(s - F.array_max("scores")))
-    told = told.withColumn("raised", raised)
-    whole = F.aggregate("raised", F.lit(0.0), lambda a, b: a + b)
-    return told.withColumn("posterior", F.transform("raised", lambda r: r / whole)).select("row", "n_tokens", "posterior")
+    if classifier.model is None:
+        posterior = F.array(*[F.lit(s) for s in classifier.shares]).cast("array<double>")
+        return own.select("row", F.size(_words("text")).cast("long").alias("n_tokens"), posterior.alias("posterior"))
+    told = classifier.model.transform(_features(_told(own, "text"), classifier.words))
+    return told.select("row", "n_tokens", vector_to_array("probability").alias("posterior"))
 
 
 def _solved(matrix: list[list[float]], right: list[float]) -> list[float]:
@@ -168,17 +161,24 @@ def fit_rates(told: DataFrame, classifier: Classifier, weights: dict[str, float]
         wanted = targets_of(now)
         targets = [wanted.get(d, 0.0) for d in classifier.domains]
     steps: list[list[float]] = []
-    rate = F.lit(1.0)
-    missing, before = _missing(reached, targets), float("inf")
-    # The projection may leave something missing for good: stop when a step gains next to nothing.
-    while len(steps) < STEPS and missing > CLOSE * max(total, 1.0) and missing < 0.98 * before:
+    rate = best_rate = F.lit(1.0)
+    best, best_reached = _missing(reached, targets), reached
+    # The projection may leave something missing for good: stop when three steps have gained nothing.
+    idle = 0
+    while len(steps) < STEPS and best > CLOSE * max(total, 1.0) and idle < 3:
         steps.append(_solved(gram, [r - t for r, t in zip(reached, targets)]))
         walked = F.array(*[F.array(*[F.lit(float(x)) for x in step]) for step in steps])
         rate = F.aggregate(walked, F.lit(1.0), lambda r, step: F.greatest(F.lit(0.0), r - F.aggregate(F.zip_with(step, F.col("posterior"), lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y)))
         sums = told.agg(*[F.coalesce(F.sum(tokens * p[d] * rate), F.lit(0.0)).alias(f"s{d}") for d in range(size)]).first()
         reached = list(sums)
-        missing, before = _missing(reached, targets), missing
-    return rate, dict(zip(classifier.domains, targets)), dict(zip(classifier.domains, reached))
+        missing = _missing(reached, targets)
+        idle = 0 if missing < 0.999 * best else idle + 1
+        if missing < best:
+            best, best_rate, best_reached = missing, rate, reached
+    classifier.targets = dict(zip(classifier.domains, targets))
+    classifier.reached = dict(zip(classifier.domains, best_reached))
+    classifier.met = best <= MET * max(total, 1.0)
+    return best_rate, classifier.targets, classifier.reached
 
 
 def with_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], key: str = "doc_id", text: str = "text", keep: list[str] | None = None, targets_of: Callable[[dict[str, float]], dict[str, float]] | None = None) -> tuple[DataFrame, Classifier]:

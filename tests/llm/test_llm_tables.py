@@ -143,6 +143,32 @@ def test_the_classifier_is_right_on_rows_it_has_not_seen(spark):
     assert np.mean(right) > 0.93
 
 
+def test_toxic_documents_of_every_language_are_told(spark):
+    folder = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang", "text")
+    domains = mixing.label_domains(spark.read.parquet(f"{folder}/labels.parquet"))
+    classifier = mixing.fit(docs, domains.where("doc_id % 3 > 0"))
+    toxic, clean = (classifier.domains.index(d) for d in ("toxic", "clean"))
+    held = docs.join(domains.where("doc_id % 3 = 0"), "doc_id")
+    rows = mixing.with_posteriors(held, classifier)
+    found = {r.lang: r for r in rows.groupBy("row.lang").agg(
+        F.avg(F.when(F.col("row.domain") == "toxic", (F.col("posterior")[toxic] > 0.5).cast("int"))).alias("toxic"),
+        F.avg(F.when(F.col("row.domain") == "clean", (F.col("posterior")[clean] > 0.5).cast("int"))).alias("clean"),
+    ).collect()}
+    assert len(found) == 4
+    for row in found.values():
+        assert row.toxic >= 0.5 and row.clean >= 0.98, found
+
+
+def test_targets_that_cannot_be_met_are_told(spark):
+    docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
+    _, classifier = mixing.with_rates(docs, mixing.label_domains(labels), {"clean": 0.9, "toxic": 0.07, "low": 0.03})
+    assert classifier.met and classifier.reached == pytest.approx(classifier.targets, rel=1e-2)
+    one = spark.createDataFrame([(1, "some words here", "x"), (2, "other words", "y")], "doc_id long, text string, domain string")
+    _, classifier = mixing.with_rates(one.limit(0), one.select("doc_id", "domain"), {"x": 1.0})
+    assert classifier.domains == []
+
+
 def test_mixing_of_odd_tables(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, None), (2, "")], "doc_id long, text string")
     none = spark.createDataFrame([(None, "x"), (1, None)], "doc_id long, domain string")
@@ -308,6 +334,15 @@ def test_the_pipeline_keeps_clean_documents_and_one_of_each_class(spark):
     assert {r.doc_id for r in final} == kept["mixed"] and all(r.n_tokens > 0 for r in final)
 
 
+def test_near_duplicates_go_by_row(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (5, a), (5, b), (7, a + " more"), (None, b), (8, None), (8, ""), (9, "few words"), (10, "few words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("component_id", F.lit("clash"))
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, a), (5, b), (8, None), (8, ""), (9, "few words")], key=str)
+
+
 def test_the_pipeline_stages_take_empty_tables(spark):
     empty = spark.read.parquet(f"{SMALL}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
