@@ -28,10 +28,19 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of linked ones; rows that repeat an id stay."""
-    classes = jaccard.jaccard_classes(docs)
-    others = landed(classes.where("component_id <> doc_id").select("doc_id").distinct(), "near-duplicates")
-    return docs.join(sent_if_small(others, 8), "doc_id", "left_anti").select(docs.columns)
+    """The document with the smallest id of each class of linked ones.
+
+    Rows are told apart by id and text, so other texts under the same id stay; rows that repeat both are
+    one document and stay or go together.
+    """
+    row = F.xxhash64("doc_id", "text").alias("_row")
+    rows = landed(docs.select(row, "doc_id").distinct(), "rows")
+    classes = jaccard.jaccard_classes(docs.select(row, "text"), key="_row").select("_row", "component_id").distinct()
+    placed = landed(classes.join(rows, "_row"), "placed")
+    first = placed.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("first"))
+    others = landed(placed.join(first, "component_id").where("_row <> first").select("_row"), "near-duplicates")
+    kept = docs.withColumn("_row", row).join(sent_if_small(others, 8), "_row", "left_anti")
+    return kept.select(docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
