@@ -1,46 +1,53 @@
 """Line dedup by a template tree: lines that follow a template found in many documents are dropped.
 
 A line's tokens are its words between ASCII white space; tokens with a digit are variable. The tree has
-a fixed depth: the number of tokens, then the first ``LEADING`` tokens. In a leaf, lines that agree in
-at least ``AGREE`` of their places belong to one template, in which differing places become variable.
-A template recurs if its lines stand in at least ``DOCUMENTS`` documents.
-
-Lines are first counted in full (digits made variable) with partial sums, so a leaf holds distinct
-lines only, and only leaves that recurring lines can come from are parsed: those met in enough
-documents. A leaf with very many distinct lines is cut by line hash into blocks of about ``LEAF_ROWS``
-whose templates, far fewer, are then merged by the same rule; blocks follow from the line alone, so
-the result does not depend on partitions or retries.
-
-Lines of fewer than ``LEAST_TOKENS`` tokens are left alone.
-
-Edge cases: a null text stays null and has no lines; lines without tokens are never dropped; equal
-lines of one document count once; a null id counts as one document; repeated ids count as one document, each row
-keeps its own lines; an empty table gives an empty table; extra columns are ignored.
+a fixed depth: the number of tokens, the first ``LEADING`` tokens, then the most used of the other
+constant tokens, until ``AGREE`` of all places are taken. How much a token is used is the number of
+documents, summed over the distinct lines of the leaf, that have it at that place; equal ones go by
+place. Lines at the same end of the tree agree in these places and vary in the others: they follow one
+template. A line with too few constant places is a template of its own. A template recurs if its lines
+stand in ``DOCUMENTS`` documents, or in ``LONG_DOCUMENTS`` where lines have ``LONG_TOKENS`` tokens or
+more; lines of up to ``LEADING`` tokens have to agree in full.
+
+One rule holds at every size, since a line's place in the tree follows from sums over its leaf: there
+are no blocks and no order of lines, a leaf of any size is counted by partial sums, and tokens that very
+many lines of a leaf share are dealt out where the sums are joined. Distinct lines are counted first;
+only leaves that recurring lines can come from are looked at further.
+
+Edge cases: a null text stays null and has no lines; lines without a constant token are never dropped;
+equal lines of one document count once; all null ids count as one document; repeated ids count as one
+document, each row keeps its own lines; rows that repeat id and text lose the same lines; a very long
+text or line is handled whole; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
-import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from hunkmill.llm.dealing import groups
 from hunkmill.llm.sized import sent_if_small
 from hunkmill.llm.word_ids import utf8
+from hunkmill.operators.joins import spread_join
 from hunkmill.session import landed
 
-LEADING, AGREE, DOCUMENTS, LEAST_TOKENS = 3, 0.6, 3, 4
-LEAF_ROWS = 4096
+LEADING, AGREE = 3, 0.6
+DOCUMENTS, LONG_DOCUMENTS, LONG_TOKENS = 3, 2, 20
 VARIABLE = b"<*>"
 DIGIT = re.compile(rb"[0-9]")
 
 
 def masked(line: bytes) -> list[bytes]:
+    """The tokens of a line, variable ones replaced; none if all are variable."""
     tokens = line.split()
-    return [VARIABLE if DIGIT.search(t) else t for t in tokens] if DIGIT.search(line) else tokens
+    if DIGIT.search(line):
+        tokens = [VARIABLE if DIGIT.search(t) else t for t in tokens]
+        if tokens.count(VARIABLE) == len(tokens):
+            return []
+    return tokens
 
 
 def _signed(number: int) -> int:
@@ -51,138 +58,129 @@ def leaf_of(tokens: list[bytes]) -> int:
     return _signed(xxhash.xxh3_64_intdigest(b" ".join(tokens[:LEADING]), len(tokens)))
 
 
+def line_of(joined: bytes) -> int:
+    return _signed(xxhash.xxh3_64_intdigest(joined))
+
+
+def places_of(tokens: list[bytes]) -> tuple[int | None, list[int | None]]:
+    """How many tokens the tree takes beside the leading ones, and the hashes of all that it can take by
+    place; no number for a line with too few constant places."""
+    depth = math.ceil(AGREE * len(tokens) - 1e-9)
+    if len(tokens) - tokens.count(VARIABLE) < depth:
+        return None, []
+    take = depth - sum(t != VARIABLE for t in tokens[:LEADING])
+    if take <= 0:
+        return 0, []
+    return take, [None if t == VARIABLE else _signed(xxhash.xxh3_64_intdigest(t, place)) for place, t in enumerate(tokens[LEADING:])]
+
+
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """doc, leaf and line (hashes) of every line with enough tokens, each once per document."""
+    """doc, leaf, line (hashes) and size of every line, each once per document."""
 
     def work(batches):
         for batch in batches:
-            places, leaves, lines = [], [], []
+            places, leaves, lines, sizes = [], [], [], []
             for place, raw in enumerate(utf8(batch["text"])):
                 seen = set()
                 for line in raw.split(b"\n"):
-                    tokens = masked(line)
-                    if len(tokens) >= LEAST_TOKENS:
-                        number = _signed(xxhash.xxh3_64_intdigest(b" ".join(tokens)))
+                    if tokens := masked(line):
+                        number = line_of(b" ".join(tokens))
                         if number not in seen:
                             seen.add(number)
                             places.append(place)
                             leaves.append(leaf_of(tokens))
                             lines.append(number)
-            yield pa.RecordBatch.from_arrays([batch["doc"].take(pa.array(places, pa.int64())), pa.array(leaves, pa.int64()), pa.array(lines, pa.int64())], ["doc", "leaf", "line"])
+                            sizes.append(len(tokens))
+            yield pa.RecordBatch.from_arrays([
+                batch["doc"].take(pa.array(places, pa.int64())), pa.array(leaves, pa.int64()), pa.array(lines, pa.int64()), pa.array(sizes, pa.int64()),
+            ], ["doc", "leaf", "line", "size"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("doc"), F.col(text).cast("string").alias("text")).mapInArrow(work, f"doc {kind}, leaf long, line long")
-
+    rows = docs.select(F.col(key).alias("doc"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(work, f"doc {kind}, leaf long, line long, size long")
 
-class Templates:
-    """Templates of one leaf; ``None`` marks a variable place."""
 
-    def __init__(self):
-        self.known: list[list[bytes | None]] = []
+def _places(docs: DataFrame, text: str, leaves: DataFrame) -> DataFrame:
+    """(leaf, line, take, places) of the distinct lines in the leaves."""
 
-    def add(self, tokens: list[bytes | None]) -> int:
-        best, place = 0, -1
-        for number, template in enumerate(self.known):
-            same = sum(a == b and a is not None for a, b in zip(template, tokens))
-            if same > best:
-                best, place = same, number
-        if place < 0 or best < AGREE * len(tokens):
-            self.known.append(list(tokens))
-            return len(self.known) - 1
-        template = self.known[place]
-        self.known[place] = [a if a == b else None for a, b in zip(template, tokens)]
-        return place
+    def work(batches):
+        for batch in batches:
+            found: dict[int, tuple[int, bytes]] = {}
+            for raw in utf8(batch["text"]):
+                for line in raw.split(b"\n"):
+                    if tokens := masked(line):
+                        joined = b" ".join(tokens)
+                        found[line_of(joined)] = (leaf_of(tokens), joined)
+            leaf, shown = zip(*found.values()) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(list(found), pa.int64()), pa.array(shown, pa.binary())], ["leaf", "line", "tokens"])
 
+    def cut(batches):
+        for batch in batches:
+            told = [places_of(t.as_buffer().to_pybytes().split(b" ")) for t in batch["tokens"]]
+            yield pa.RecordBatch.from_arrays([
+                batch["leaf"], batch["line"], pa.array([take for take, _ in told], pa.int32()), pa.array([places for _, places in told], pa.list_(pa.int64())),
+            ], ["leaf", "line", "take", "places"])
 
-def _tokens(template: bytes) -> list[bytes | None]:
-    return [None if t == VARIABLE else t for t in template.split(b" ")]
+    rows = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(work, "leaf long, line long, tokens binary")
+    lines = rows.join(sent_if_small(leaves.select("leaf"), 8), "leaf", "left_semi").groupBy("leaf", "line").agg(F.first("tokens").alias("tokens"))
+    return lines.mapInArrow(cut, "leaf long, line long, take int, places array<bigint>")
 
 
-def _parsed(rows: DataFrame, by: str, partitions: int) -> DataFrame:
-    """(leaf, line, template) of rows (leaf, by, line, tokens): each group's lines in order of their hash."""
+def _ends(lines: DataFrame) -> DataFrame:
+    """Adds ``end``, where the line arrives in the tree, to rows (leaf, line, take, places, n)."""
+    placed = lines.select("leaf", "line", "n", F.posexplode("places").alias("place", "token")).where("token IS NOT NULL")
+    uses = placed.groupBy("leaf", "token").agg(F.sum("n").alias("uses"))
+    told = spread_join(placed.select("leaf", "token", "line", "place"), uses, ["leaf", "token"], spread_by=["line", "place"])
+    ranked = told.groupBy("line").agg(F.array_sort(F.collect_list(F.struct((-F.col("uses")).alias("uses"), "place", "token"))).alias("ranked"))
+    most = F.transform(F.slice(F.coalesce("ranked", F.array().cast("array<struct<uses:bigint,place:int,token:bigint>>")), F.lit(1), F.col("take")), lambda x: x["token"])
+    end = F.when(F.col("take").isNull(), F.xxhash64(F.lit(0), "line")).otherwise(F.xxhash64(F.lit(1), "leaf", most))
+    return lines.join(ranked, "line", "left").withColumn("end", end).drop("ranked", "take", "places")
 
-    def work(batches):
-        for group in groups(batches, "leaf", by):
-            lines, texts = group["line"].to_pylist(), [t.as_buffer().to_pybytes() for t in group["tokens"]]
-            found, number = Templates(), {}
-            for line in sorted(dict(zip(lines, texts)).items()):
-                number[line[0]] = found.add(_tokens(line[1]))
-            shown = [b" ".join(VARIABLE if t is None else t for t in template) for template in found.known]
-            yield pa.RecordBatch.from_arrays([
-                pa.array([group["leaf"][0].as_py()] * len(number), pa.int64()), pa.array(list(number), pa.int64()), pa.array([shown[n] for n in number.values()], pa.binary()),
-            ], ["leaf", "line", "template"])
 
-    ordered = rows.select("leaf", by, "line", "tokens").repartition(partitions, "leaf", by).sortWithinPartitions("leaf", by)
-    return landed(ordered.mapInArrow(work, "leaf long, line long, template binary"), "templates")
+def _documents() -> Column:
+    return F.count_distinct(F.coalesce(F.col("doc").cast("string"), F.lit("")))
 
 
-def drop_recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", documents: int = DOCUMENTS, long_documents: int = LONG_DOCUMENTS, long_tokens: int = LONG_TOKENS) -> DataFrame:
     """Per row: the key, the text without recurring lines, n_lines and n_dropped."""
-    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
+    need = F.when(F.col("size") >= long_tokens, long_documents).otherwise(documents)
+    lines = landed(_lines(docs, key, text), "lines")
     # Documents per line and per leaf; a leaf below the bound cannot hold a recurring template.
-    counted = landed(_lines(docs, key, text).groupBy("leaf", "line").agg(F.count_distinct(F.coalesce(F.col("doc").cast("string"), F.lit(""))).alias("n")), "line-counts")
-    leaves = counted.groupBy("leaf").agg(F.sum("n").alias("n"), F.count("*").alias("lines")).where(F.col("n") >= DOCUMENTS)
-    leaves = landed(leaves.select("leaf", F.ceil(F.col("lines") / LEAF_ROWS).cast("int").alias("blocks")), "leaves")
-    wanted = landed(counted.join(sent_if_small(leaves, 16), "leaf").select("leaf", "line", "n", F.pmod("line", "blocks").cast("int").alias("block")), "wanted-lines")
-    lines = _texts(docs, text, leaves)
-    first = _parsed(lines.join(wanted.select("leaf", "line", "block"), ["leaf", "line"]), "block", partitions)
-    shown = first.select("leaf", F.col("template").alias("tokens")).distinct().withColumns({"line": F.xxhash64("tokens"), "all": F.lit(0)})
-    merged = _parsed(shown, "all", partitions).select("leaf", F.col("line").alias("shown"), F.col("template").alias("final"))
-    final = first.withColumn("shown", F.xxhash64("template")).join(merged, ["leaf", "shown"]).select("leaf", "line", "final")
-    final = landed(final.join(wanted.select("leaf", "line", "n"), ["leaf", "line"]), "line-templates")
+    counted = landed(lines.groupBy("leaf", "line", "size").agg(_documents().alias("n")), "line-counts")
+    leaves = landed(counted.groupBy("leaf", "size").agg(F.sum("n").alias("n")).where(F.col("n") >= need).select("leaf", "size"), "leaves")
+    wanted = counted.join(sent_if_small(leaves.select("leaf"), 8), "leaf", "left_semi")
+    found = landed(_places(docs, text, leaves).join(wanted, ["leaf", "line"]), "line-places")
+    final = landed(_ends(found), "line-ends")
     # Lines of one template may share documents: those that could recur are counted by document.
-    able = final.groupBy("leaf", "final").agg(F.sum("n").alias("n"), F.max("n").alias("most")).where(F.col("n") >= DOCUMENTS)
-    sure = able.where(F.col("most") >= DOCUMENTS).select("leaf", "final")
-    open_lines = landed(final.join(able.where(F.col("most") < DOCUMENTS).select("leaf", "final"), ["leaf", "final"]).select("leaf", "line", F.xxhash64("final").alias("final")), "open-lines")
-    seen = _lines(docs, key, text).join(sent_if_small(open_lines, 24), ["leaf", "line"])
-    more = seen.groupBy("leaf", "final").agg(F.count_distinct(F.coalesce(F.col("doc").cast("string"), F.lit(""))).alias("n")).where(F.col("n") >= DOCUMENTS).select("leaf", "final")
-    dropped = final.join(sure, ["leaf", "final"], "left_semi").select("line").union(open_lines.join(more, ["leaf", "final"], "left_semi").select("line"))
-    dropped = landed(dropped.distinct(), "dropped-lines")
-    return _without(docs, dropped, key, text)
-
-
-def _texts(docs: DataFrame, text: str, leaves: DataFrame) -> DataFrame:
-    """(leaf, line, tokens) of the distinct lines in the leaves."""
-
-    def work(batches):
-        for batch in batches:
-            found: dict[int, tuple[int, bytes]] = {}
-            for raw in utf8(batch["text"]):
-                for line in raw.split(b"\n"):
-                    tokens = masked(line)
-                    if len(tokens) >= LEAST_TOKENS:
-                        joined = b" ".join(tokens)
-                        found[_signed(xxhash.xxh3_64_intdigest(joined))] = (leaf_of(tokens), joined)
-            leaf, shown = zip(*found.values()) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(list(found), pa.int64()), pa.array(shown, pa.binary())], ["leaf", "line", "tokens"])
-
-    rows = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(work, "leaf long, line long, tokens binary")
-    return rows.join(sent_if_small(leaves.select("leaf"), 8), "leaf", "left_semi").groupBy("leaf", "line").agg(F.first("tokens").alias("tokens"))
+    able = final.groupBy("end", "size").agg(F.sum("n").alias("n"), F.max("n").alias("most")).where(F.col("n") >= need)
+    able = landed(able.withColumn("sure", F.col("most") >= need).select("end", "sure"), "ends")
+    told = landed(final.join(sent_if_small(able, 9), "end").select("line", "end", "size", "sure"), "able-lines")
+    open_lines = told.where("NOT sure").select("line", "end")
+    seen = lines.join(sent_if_small(open_lines, 16), "line")
+    more = seen.groupBy("end", "size").agg(_documents().alias("n")).where(F.col("n") >= need).select("end")
+    dropped = told.where("sure").select("line").union(open_lines.join(more, "end", "left_semi").select("line"))
+    return _without(docs, landed(dropped.distinct(), "dropped-lines"), key, text)
 
 
 def _without(docs: DataFrame, dropped: DataFrame, key: str, text: str) -> DataFrame:
     """The texts without the dropped lines.
 
     Line numbers of each row are joined with the dropped ones; only rows that lose a line come back to
-    be rewritten.
+    be rewritten. Rows are known by hashes of id and text, so it does not matter how they are dealt.
     """
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("doc"), F.col(text).cast("string").alias("text"))
 
     def number(batches):
         for batch in batches:
-            hashes, counts = [], []
-            for raw in utf8(batch["text"]):
-                lines = raw.split(b"\n") if raw else []
-                tokens = [masked(line) for line in lines]
-                counts.append(len(lines))
-                hashes.append([_signed(xxhash.xxh3_64_intdigest(b" ".join(t))) if len(t) >= LEAST_TOKENS else None for t in tokens])
+            hashes = [[line_of(b" ".join(t)) if (t := masked(line)) else None for line in raw.split(b"\n")] if raw else [] for raw in utf8(batch["text"])]
             yield pa.RecordBatch.from_arrays([batch["doc"], batch["text"], pa.array(hashes, pa.list_(pa.int64()))], ["doc", "text", "lines"])
 
-    numbered = rows.mapInArrow(number, f"doc {kind}, text string, lines array<bigint>")
-    keyed = numbered.withColumn("row", F.monotonically_increasing_id())
-    gone = keyed.select("row", F.posexplode("lines").alias("at", "line")).join(sent_if_small(dropped, 8), "line", "left_semi").groupBy("row").agg(F.collect_list("at").alias("gone"))
-    joined = keyed.drop("lines").join(gone, "row", "left")
+    row = F.struct(F.xxhash64("doc", "text").alias("a"), F.xxhash64(F.lit(1), "text", "doc").alias("b"))
+    numbered = rows.mapInArrow(number, f"doc {kind}, text string, lines array<bigint>").withColumn("row", row)
+    places = numbered.select("row", F.posexplode("lines").alias("at", "line")).join(sent_if_small(dropped, 8), "line", "left_semi")
+    gone = places.groupBy("row").agg(F.collect_set("at").alias("gone"))
+    joined = rows.withColumn("row", row).join(gone, "row", "left")
     split = F.split("text", "\n")
     kept = F.filter(split, lambda _, i: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), i))
     return joined.select(
