@@ -152,11 +152,3 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     verified = sums.withColumn("similarity", similarity).where(F.col("similarity") >= SIMILARITY).select("window", "item", "similarity")
     out = windows.select("window", "doc", "item", "start", F.size("words").alias("n_words"), "aligned").join(verified, ["window", "item"])
     return out.select(F.col("doc").alias(key), F.col("item").alias(item), F.col("start").cast("long").alias("start"), F.col("n_words").cast("long").alias("n_words"), "similarity", "aligned")
-
-
-def one_place_each(leaks: DataFrame, key: str = "doc_id", item: str = "item_id") -> DataFrame:
-    """The aligned windows, and all others that lie half a window or more from every aligned one of the
-    same document and item: neighbours of an aligned window tell of no other leak."""
-    aligned = leaks.where("aligned").select(F.col(key).alias("k"), F.col(item).alias("i"), F.col("start").alias("s"))
-    beside = F.col("k").eqNullSafe(F.col(key)) & F.col("i").eqNullSafe(F.col(item)) & (2 * F.abs(F.col("s") - F.col("start")) < F.col("n_words"))
-    return leaks.where("aligned").union(leaks.where("NOT aligned").join(aligned, beside, "left_anti")).drop("aligned")

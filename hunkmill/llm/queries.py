@@ -11,7 +11,6 @@ from hunkmill.llm import (
     chat, covering, decontamination, jaccard, lexical_search, line_templates, merkle, mixing, personal_data, prefix_counts, quality,
     token_files, warc,
 )
-from hunkmill.session import landed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -142,7 +141,7 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op9_line_templates")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
-    """All documents without the lines whose template recurs in three or more documents."""
+    """All documents without the lines whose template recurs: in three documents, long ones in two."""
     return line_templates.drop_recurring_lines(table(spark, folder, "documents"))
 
 
@@ -165,12 +164,17 @@ item_totals AS (SELECT item_id, sum(c * weight) AS total FROM item_counts GROUP
 grams AS MATERIALIZED (
   SELECT doc_id, p, size, array_to_string(w[p:p + 4], ' ') AS g
   FROM (SELECT doc_id, w, len(w) AS size, unnest(range(1, len(w) - 3)) AS p FROM docs)),
+pairs AS (
+  SELECT doc_id, item_id FROM (SELECT doc_id, g, count(*) AS c FROM grams GROUP BY ALL) d
+  JOIN item_counts i USING (g) JOIN item_totals t USING (item_id)
+  GROUP BY doc_id, item_id HAVING sum(least(d.c, i.c) * weight) >= 0.749999 * any_value(total)),
 windows AS (
-  SELECT DISTINCT doc_id, item_id, n, d.p - i.p AS start FROM grams d JOIN item_grams i USING (g)
-  WHERE d.p >= i.p AND d.p - i.p + n <= size),
+  SELECT DISTINCT doc_id, item_id, n, size,
+         unnest(range(greatest(0, d.p - n + 4), least(d.p - 1, greatest(0, size - n)) + 1)) AS start
+  FROM grams d JOIN item_grams i USING (g) JOIN pairs USING (doc_id, item_id)),
 counts AS (
-  SELECT doc_id, item_id, n, start, g, count(*) AS c
-  FROM windows JOIN grams USING (doc_id) WHERE p > start AND p <= start + n - 4 GROUP BY ALL),
+  SELECT doc_id, item_id, least(n, w.size) AS n, start, g, count(*) AS c
+  FROM windows w JOIN grams USING (doc_id) WHERE p > start AND p <= start + n - 4 GROUP BY ALL),
 sums AS (
   SELECT c.doc_id, c.item_id, c.n, c.start, any_value(t.total) AS item_total,
          sum(c.c * coalesce(w.weight, ln(1 + (SELECT count(*) FROM items)))) AS total,
@@ -182,10 +186,8 @@ SELECT doc_id, item_id, start, n AS n_words, round(shared / (total + item_total
 FROM sums WHERE round(shared / (total + item_total - shared), 9) >= 0.75""",
 )
 def op10(spark: SparkSession, folder: str) -> DataFrame:
-    """Windows of documents that are similar to a benchmark item: the aligned ones, which the SQL has,
-    and where a leak has none, all of its windows."""
-    leaks = decontamination.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
-    return decontamination.one_place_each(landed(leaks, "leaks"))
+    """All windows of documents that are similar to a benchmark item."""
+    return decontamination.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("aligned")
 
 
 def _tree_sql(start: str, levels: int, name: str) -> list[str]:
