@@ -11,10 +11,11 @@ all tokens, as long as it is the same for all documents. So several orders filte
 3. Within a family a pair must share first tokens by rarity and under two more hash orders; only then
    the exact overlap is counted.
 
-Equal sets are one set throughout. Tokens move between tasks as packed blobs. Families of more than
-``BLOCK_ROWS`` sets are cut into blocks: each block is compared with itself and with the first block;
-afterwards what is not in the family's largest class is compared with all blocks. Pairs already in a
-class are skipped, so large groups of near copies take linear time, and nothing is capped.
+Equal sets are one set throughout, with the number of its copies. Tokens move between tasks as packed
+blobs. Families of more than ``BLOCK_ROWS`` sets are cut into blocks, and every two blocks meet in a
+group of their own, so each pair of unlike sets is looked at once, no task holds more than two blocks,
+and nothing is capped. A group gives the number of links per set and just the pairs that connect its
+classes; links of a family of unlike texts take time by their number, copies none.
 
 Hashes have 64 bits. Tokens that a share of 1/256 of a task's sets have are looked for first; those
 found come last in the order by rarity and are not dealt, so that no bucket holds a common passage.
@@ -39,7 +40,7 @@ from hunkmill.llm.word_ids import utf8
 from hunkmill.session import landed
 
 WIDTH, PERCENT = 5, 75
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 512
 #: A token is looked at as common from this share of a task's sets on, and this share of all.
 COMMON_LOCAL, COMMON_ALL = 256, 512
 POST = np.dtype([("t", "<u8"), ("k", "<u8")])
@@ -308,26 +309,25 @@ class _Index:
         return self.owner[np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-def links(keys: np.ndarray, sizes: np.ndarray, tokens: list[np.ndarray], asking: np.ndarray, roots: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that join linked sets of different classes; ``asking`` marks the sets to compare with all.
-
-    Sets whose tokens are common in the group ask first: they tend to be what others were made from.
-    """
+def links(keys: np.ndarray, sizes: np.ndarray, tokens: list[np.ndarray], copies: np.ndarray, side: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Pairs that connect the classes of linked sets, and how many copies of other sets each is linked
+    with. With ``side`` only sets of different sides are compared."""
     count = len(keys)
     values, place = np.unique(np.concatenate(tokens), return_inverse=True)
     cuts = np.cumsum([len(t) for t in tokens])[:-1]
     sets = np.split(place, cuts)
-    often = np.bincount(place)
     prefix = [first_tokens(int(n), len(t)) for n, t in zip(sizes, sets)]
     orders = [[t[:p] for t, p in zip(sets, prefix)]]  # by rarity, as they come
     for seed in (23, 29):
         rank = mixed(values, seed)
         orders.append([t[np.argsort(rank[t])[:p]] for t, p in zip(sets, prefix)])
     indexes, whole = [_Index(o, len(values)) for o in orders], _Index(sets, len(values))
-    roots, found = roots.copy(), []
-    central = np.array([often[t].mean() if len(t) else 0 for t in sets])
-    for i in sorted(np.flatnonzero(asking), key=lambda i: -central[i]):
-        near = (roots != roots[i]) & (100 * np.minimum(sizes, sizes[i]) >= PERCENT * np.maximum(sizes, sizes[i]))
+    roots, found, told = np.arange(count), [], np.zeros(count, np.int64)
+    for i in range(count - 1):
+        near = 100 * np.minimum(sizes, sizes[i]) >= PERCENT * np.maximum(sizes, sizes[i])
+        near[:i + 1] = False
+        if side is not None:
+            near &= side != side[i]
         for order, index in zip(orders, indexes):
             if not near.any():
                 break
@@ -337,69 +337,50 @@ def links(keys: np.ndarray, sizes: np.ndarray, tokens: list[np.ndarray], asking:
         if not near.any():
             continue
         common = np.bincount(whole.owners(sets[i]), minlength=count)
-        linked = near & (100 * common >= PERCENT * (sizes + sizes[i] - common))
-        for j in np.flatnonzero(linked):
+        linked = np.flatnonzero(near & (100 * common >= PERCENT * (sizes + sizes[i] - common)))
+        told[i] += copies[linked].sum()
+        told[linked] += copies[i]
+        for j in linked[roots[linked] != roots[i]]:
             if roots[j] != roots[i]:
                 found.append((int(keys[i]), int(keys[j])))
                 roots[roots == roots[j]] = roots[i]
-    return found
+    return found, told
 
 
-def _compared(rows: DataFrame, partitions: int) -> DataFrame:
-    """Edges within each group of rows (family, block, key, size, tokens, asking, class)."""
+def _linked(ranked: DataFrame, families: DataFrame, copies: DataFrame, partitions: int) -> DataFrame:
+    """Rows (a, b, n): pairs that connect exactly the classes of linked sets, and for a = b how many
+    documents the set is linked with in one of its groups, copies of its own aside."""
 
     def work(batches):
         for group in groups(batches, "family", "block"):
-            keys, where = np.unique(group["key"].to_numpy(), return_index=True)
+            keys = group["key"].to_numpy()
             if len(keys) < 2:
                 continue
-            sizes = group["size"].to_numpy()[where]
-            tokens = [np.frombuffer(group["tokens"][int(i)].as_buffer(), np.uint64) for i in where]
-            asking = np.zeros(len(keys), bool)
-            asks = group["asking"].to_numpy(zero_copy_only=False)
-            asking[np.searchsorted(keys, group["key"].to_numpy()[asks])] = True
-            edges = links(keys, sizes, tokens, asking, group["class"].to_numpy()[where])
-            if edges:
-                a, b = zip(*edges)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    dealt_rows = rows.select("family", "block", "key", "size", "tokens", "asking", "class").repartition(partitions, "family", "block").sortWithinPartitions("family", "block")
-    return landed(dealt_rows.mapInArrow(work, "a long, b long"), "links")
-
-
-def _linked(ranked: DataFrame, families: DataFrame, partitions: int) -> DataFrame:
-    """Edges that connect exactly the classes of linked sets."""
-    blocks = lambda rows: F.ceil(F.col(rows) / BLOCK_ROWS).cast("int")
+            tokens = [np.frombuffer(t.as_buffer(), np.uint64) for t in group["tokens"]]
+            side = group["later"].to_numpy() if group["crossed"][0].as_py() else None
+            edges, told = links(keys, group["size"].to_numpy(), tokens, group["copies"].to_numpy(), side)
+            some = told > 0
+            a, b = zip(*edges) if edges else ((), ())
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate([np.array(a, np.int64), keys[some]])), pa.array(np.concatenate([np.array(b, np.int64), keys[some]])),
+                pa.array(np.concatenate([np.zeros(len(a), np.int64), told[some]])),
+            ], ["a", "b", "n"])
+
     kin = families.withColumnsRenamed({"node": "key", "part": "family"})
-    counts = kin.groupBy("family").agg(F.count("*").alias("n")).select("family", blocks("n").alias("blocks"))
-    in_block = F.pmod(F.xxhash64("key", F.lit(3)), F.col("blocks")).cast("int")
-    placed = landed(kin.join(counts, "family").withColumn("own", in_block), "families")
-    sets = landed(placed.join(ranked, "key"), "family-sets")
-    # The first block goes to all blocks of its family, every other only to itself.
-    all_blocks = F.when(F.col("own") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
-    spread = sets.withColumn("block", F.explode(all_blocks)).withColumns({"asking": F.lit(True), "class": F.col("key")})
-    edges = _compared(spread, partitions)
-    if placed.where("blocks > 1").isEmpty():
-        return edges
-    parts = connected(edges)
-    large = placed.where("blocks > 1").join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn("class", F.coalesce("part", "key")).drop("part")
-    by_class = large.groupBy("family", "class").agg(F.count("*").alias("n")).groupBy("family")
-    most = by_class.agg(F.max_by("class", F.struct("n", "class")).alias("largest"), (F.sum("n") - F.max("n")).alias("rest"))
-    large = large.join(most.where("rest > 0").withColumn("asking_blocks", blocks("rest")), "family")
-    asks = F.col("class") != F.col("largest")
-    own_asking = F.pmod(F.xxhash64("key", F.lit(5)), F.col("asking_blocks")).cast("int")
-    pairs = lambda low, high: F.transform(F.sequence(F.lit(0), high - 1), lambda x: low(x))
-    as_target = pairs(lambda q: q * F.col("blocks") + F.col("own"), F.col("asking_blocks"))
-    as_asking = pairs(lambda t: own_asking * F.col("blocks") + t, F.col("blocks"))
-    roles = F.array(F.struct(F.lit(False).alias("asking"), as_target.alias("at")))
-    both = F.when(asks, F.array(F.struct(F.lit(False).alias("asking"), as_target.alias("at")), F.struct(F.lit(True).alias("asking"), as_asking.alias("at")))).otherwise(roles)
-    tasks = large.select("family", "key", "class", F.inline(both)).select("family", "key", "class", "asking", F.explode("at").alias("block"))
-    later = _compared(tasks.join(sets.select("key", "size", "tokens"), "key"), partitions)
-    return edges.union(later)
+    counts = kin.groupBy("family").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    placed = kin.join(counts, "family").withColumn("own", F.pmod(F.xxhash64("key", F.lit(3)), F.col("blocks")).cast("int"))
+    sets = placed.join(ranked, "key").join(copies.select("key", "copies"), "key")
+    # Each block meets every other in a group of two and itself in a group of one.
+    spread = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    block = F.least("own", "other").cast("long") * F.col("blocks") + F.greatest("own", "other")
+    spread = spread.select("family", block.alias("block"), (F.col("own") != F.col("other")).alias("crossed"), (F.col("own") > F.col("other")).alias("later"), "key", "size", "copies", "tokens")
+    dealt_rows = spread.repartition(partitions, "family", "block").sortWithinPartitions("family", "block")
+    return landed(dealt_rows.mapInArrow(work, "a long, b long, n long"), "links")
 
 
 def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: the key, n_shingles, and component_id, the smallest key reachable by links."""
+    """Per row: the key, n_shingles, component_id, the smallest key reachable by links, and n_links, the
+    number of other rows it is linked with."""
     partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     members = _members(docs, key, text)
     first = members.where("key IS NOT NULL").groupBy("key").agg(F.min("doc").alias("doc"), F.first("size").alias("size"), F.count("*").alias("copies"))
@@ -410,11 +391,14 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     sets = _sets_of(docs, survivors, key, text)
     common = _common_tokens(sets, survivors.count())
     ranked = _ranked(sets, common, partitions)
-    classes = connected(_linked(ranked, _families(ranked), partitions))
+    linked = _linked(ranked, _families(ranked), first, partitions)
+    classes = connected(linked.where("a <> b").select("a", "b"))
+    told = linked.where("a = b").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n"))
     # Only sets that have copies or links need a lookup; all others are alone.
-    named = first.join(classes.withColumnRenamed("node", "key"), "key", "left").where("copies > 1 OR part IS NOT NULL")
+    named = first.join(classes.withColumnRenamed("node", "key").join(told, "key"), "key", "left").where("copies > 1 OR part IS NOT NULL")
+    named = named.withColumn("n_links", F.coalesce("n", F.lit(0)) + F.col("copies") - 1)
     named = named.withColumn("part", F.coalesce("part", "key"))
     smallest = named.groupBy("part").agg(F.min("doc").alias("component"))
-    lookup = landed(named.join(smallest, "part").select("key", "component"), "components")
-    out = members.join(sent_if_small(lookup, 16), "key", "left")
-    return out.select(F.col("doc").alias(key), F.col("size").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
+    lookup = landed(named.join(smallest, "part").select("key", "component", "n_links"), "components")
+    out = members.join(sent_if_small(lookup, 24), "key", "left")
+    return out.select(F.col("doc").alias(key), F.col("size").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -88,12 +88,14 @@ links AS MATERIALIZED (
 reach AS (
   SELECT doc_id AS a, doc_id AS b FROM documents
   UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
-SELECT d.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(r.b) AS component_id
+SELECT d.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(r.b) AS component_id,
+       coalesce(any_value(k.n), 0) AS n_links
 FROM documents d JOIN reach r ON r.a = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
+LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) k ON k.a = d.doc_id
 GROUP BY d.doc_id""",
 )
 def op4(spark: SparkSession, folder: str) -> DataFrame:
-    """Classes of documents linked by a Jaccard similarity of 0.75 of their five-word shingles."""
+    """Classes and numbers of links of documents with a Jaccard similarity of 0.75 of their five-word shingles."""
     return jaccard.jaccard_classes(table(spark, folder, "documents"))
 
 

@@ -49,6 +49,12 @@ def plain_classes(rows):
     return {k: (len(sets[k]), root(k)) for k in keys}
 
 
+def plain_links(rows):
+    sets = [shingle_set(t) for _, t in rows]
+    linked = lambda a, b: bool(c := len(a & b)) and 100 * c >= 75 * (len(a) + len(b) - c)
+    return [sum(linked(a, b) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)]
+
+
 def copies(seed, groups=6, members=12, words=60):
     """Families of near copies, a passage many share, exact copies and short texts."""
     draw = random.Random(seed)
@@ -73,15 +79,16 @@ def test_classes_equal_those_of_all_pairs(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard, "BLOCK_ROWS", block)
     rows = copies(block)
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"key": F.lit(1), "size": F.lit("clash")})
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_classes(docs).collect()}
-    assert got == plain_classes(rows)
+    found = jaccard.jaccard_classes(docs).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == plain_classes(rows)
+    assert {r.doc_id: r.n_links for r in found} == dict(zip([k for k, _ in rows], plain_links(rows)))
 
 
 def test_classes_of_odd_tables(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (5, None), (None, None), (7, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_classes(docs).collect()), key=str)
-    assert got == sorted([(1, 2, 1), (1, 2, 1), (None, 2, 1), (5, 0, 5), (None, 0, None), (7, 0, 7)], key=str)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in jaccard.jaccard_classes(docs).collect()), key=str)
+    assert got == sorted([(1, 2, 1, 2), (1, 2, 1, 2), (None, 2, 1, 2), (5, 0, 5, 0), (None, 0, None, 0), (7, 0, 7, 0)], key=str)
     assert jaccard.jaccard_classes(docs.limit(0)).count() == 0
 
 
@@ -92,10 +99,17 @@ def test_links_in_a_group_equal_all_pairs():
     counts = Counter(t for s in tokens for t in s.tolist())
     sizes = np.array([len(s) for s in tokens])
     lists = [np.array(sorted((t for t in s.tolist() if counts[t] > 1), key=lambda t: (counts[t], t)), np.uint64) for s in tokens]
-    keys = np.arange(60)
-    edges = jaccard.links(keys, sizes, lists, np.ones(60, bool), keys.copy())
-    want = plain_components(60, [(i, j) for i in range(60) for j in range(i) if 100 * (c := len(np.intersect1d(tokens[i], tokens[j]))) >= 75 * (sizes[i] + sizes[j] - c)])
-    assert plain_components(60, edges) == want
+    keys, times = np.arange(60), draw.integers(1, 5, 60)
+    pairs = [(i, j) for i in range(60) for j in range(i) if 100 * (c := len(np.intersect1d(tokens[i], tokens[j]))) >= 75 * (sizes[i] + sizes[j] - c)]
+    for side in (None, np.arange(60) % 3 == 0):
+        edges, told = jaccard.links(keys, sizes, lists, times, side)
+        kept = [(i, j) for i, j in pairs if side is None or side[i] != side[j]]
+        assert plain_components(60, edges) == plain_components(60, kept)
+        want = np.zeros(60, np.int64)
+        for i, j in kept:
+            want[i] += times[j]
+            want[j] += times[i]
+        assert told.tolist() == want.tolist()
 
 
 def plain_components(count, edges):
