@@ -122,7 +122,7 @@ def _places(docs: DataFrame, text: str, leaves: DataFrame) -> DataFrame:
             ], ["leaf", "line", "take", "places"])
 
     rows = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(work, "leaf long, line long, tokens binary")
-    lines = rows.join(sent_if_small(leaves.select("leaf"), 8), "leaf", "left_semi").groupBy("leaf", "line").agg(F.first("tokens").alias("tokens"))
+    lines = rows.join(sent_if_small(leaves, 8), "leaf", "left_semi").groupBy("leaf", "line").agg(F.first("tokens").alias("tokens"))
     return lines.mapInArrow(cut, "leaf long, line long, take int, places array<bigint>")
 
 
@@ -147,10 +147,14 @@ def drop_recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
     lines = landed(_lines(docs, key, text), "lines")
     # Documents per line and per leaf; a leaf below the bound cannot hold a recurring template.
     counted = landed(lines.groupBy("leaf", "line", "size").agg(_documents().alias("n")), "line-counts")
-    leaves = landed(counted.groupBy("leaf", "size").agg(F.sum("n").alias("n")).where(F.col("n") >= need).select("leaf", "size"), "leaves")
-    wanted = counted.join(sent_if_small(leaves.select("leaf"), 8), "leaf", "left_semi")
-    found = landed(_places(docs, text, leaves).join(wanted, ["leaf", "line"]), "line-places")
-    final = landed(_ends(found), "line-ends")
+    leaves = counted.groupBy("leaf", "size").agg(F.sum("n").alias("n"), F.count("*").alias("lines")).where(F.col("n") >= need)
+    leaves = landed(leaves.select("leaf", (F.col("lines") == 1).alias("alone")), "leaves")
+    wanted = landed(counted.join(sent_if_small(leaves, 9), "leaf"), "wanted-lines")
+    # A line that is alone in its leaf is its template; the others go down the tree.
+    several = landed(leaves.where("NOT alone").select("leaf"), "shared-leaves")
+    found = landed(_places(docs, text, several).join(wanted.where("NOT alone").drop("alone"), ["leaf", "line"]), "line-places")
+    alone = wanted.where("alone").drop("alone").withColumn("end", F.xxhash64(F.lit(0), "line"))
+    final = landed(_ends(found).unionByName(alone), "line-ends")
     # Lines of one template may share documents: those that could recur are counted by document.
     able = final.groupBy("end", "size").agg(F.sum("n").alias("n"), F.max("n").alias("most")).where(F.col("n") >= need)
     able = landed(able.withColumn("sure", F.col("most") >= need).select("end", "sure"), "ends")
