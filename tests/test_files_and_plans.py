@@ -272,6 +272,25 @@ def test_objects_of_an_array_that_is_cut_anywhere(spark, tmp_path, size, indent)
     assert by_file == {"two.json": ODD_OBJECTS[:1], "single.json": [ODD_OBJECTS[4]]}
 
 
+def test_pieces_of_an_array_carry_no_names(spark, tmp_path):
+    folder = tmp_path / "a b%20"
+    folder.mkdir()
+    (folder / "x y.json").write_text(json.dumps(ODD_OBJECTS * 300))
+    pieces = json_arrays._pieces(spark, str(folder))
+    assert dict(pieces.dtypes)["file"] == "bigint"
+    found = json_arrays.objects(spark, str(folder)).collect()
+    assert [json.loads(r.text) for r in found] == ODD_OBJECTS * 300
+    assert {r.file for r in found} == {r[0] for r in spark.read.text(str(folder)).select("_metadata.file_path").collect()}
+
+
+def test_compressed_documents_are_landed(spark, tmp_path):
+    rows = spark.range(50).select(F.concat(F.lit("h}\n"), "id").alias("hash"), F.lit('"{').alias("msg"))
+    writers.json_documents(rows.coalesce(1), str(tmp_path / "documents"), "gzip", file_rows=20)
+    assert len(list((tmp_path / "documents").glob("*.json.gz"))) == 3
+    read = writers.land_commits(spark, str(tmp_path / "documents"), str(tmp_path / "landed"), lines=True)
+    assert sorted(r.hash for r in read.collect()) == sorted(f"h}}\n{i}" for i in range(50))
+
+
 def test_arrays_are_written_and_read_back(spark, tmp_path):
     rows = spark.range(100).select(F.concat(F.lit("h}"), "id").alias("hash"), F.lit('"{').alias("msg"))
     writers.json_arrays(rows.repartition(3), str(tmp_path / "arrays"))
