@@ -10,7 +10,9 @@ before it, so two passes are made:
 2. With that every range knows where its objects end. Those that lie wholly in a range are given as
    they are; the parts of those that cross a border, two for each range, are put together.
 
-A piece never begins with an escaped character, as no escape ends in a brace.
+A piece never begins with an escaped character, as no escape ends in a brace. A task looks at the pieces
+of a batch together, as one array of bytes of which only quotes and brackets matter. Files go by the hash
+of their name, so that no piece carries a name.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -28,32 +31,43 @@ ESCAPED = re.compile(rb"\\.", re.S)
 BETWEEN = b" \t\r\n,["
 
 
+QUOTE, OPEN, CLOSE = 1, 2, 3
+KINDS = np.zeros(256, np.uint8)
+KINDS[[ord('"'), *b"{[", *b"}]"]] = [QUOTE, OPEN, OPEN, CLOSE, CLOSE]
+
+
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.option("lineSep", "}").text(path)
-    return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    return rows.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+
+
+def _names(spark: SparkSession, path: str) -> dict[int, str]:
+    files = spark.read.format("binaryFile").load(path)  # the contents are not read
+    name = F.col("_metadata.file_path")
+    return {r.hash: r.name for r in files.select(name.alias("name"), F.xxhash64(name).alias("hash")).collect()}
 
 
-def _effects(piece: bytes) -> tuple[int, int, int]:
-    """Quotes of a piece, and how much deeper its end is if it begins outside, or inside, a string; the
-    brace that ended it is counted."""
-    parts = (ESCAPED.sub(b"", piece) if b"\\" in piece else piece).split(b'"')
-    quotes = len(parts) - 1
+def _marks(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the quotes and brackets of a text: places, kinds, and whether the quotes before are odd."""
+    raw = np.frombuffer(ESCAPED.sub(b"__", text) if b"\\" in text else text, np.uint8)
+    places = np.flatnonzero(KINDS[raw])
+    kinds = KINDS[raw[places]]
+    return places, kinds, np.cumsum(kinds == QUOTE) % 2 == 1
 
-    def deeper(outside: list[bytes], ends_outside: bool) -> int:
-        text = b"".join(outside)
-        opened = text.count(b"{") + text.count(b"[")
-        return opened - text.count(b"]") - ends_outside
 
-    return quotes, deeper(parts[0::2], quotes % 2 == 0), deeper(parts[1::2], quotes % 2 == 1)
+def _deeper(kinds: np.ndarray) -> np.ndarray:
+    return (kinds == OPEN).astype(np.int64) - (kinds == CLOSE)
 
 
-def _runs(batches) -> Iterator[tuple[str, int, bytes, dict]]:
-    """(file, block, piece, further columns of the row) in order."""
+def _runs(batches) -> Iterator[tuple[int, int, bytes]]:
+    """(file, block, text) of neighbouring pieces of a range, each ended by its brace."""
     for batch in batches:
-        more = [c for c in batch.schema.names if c not in ("file", "block", "value")]
-        columns = [batch[c].to_pylist() for c in ("file", "block", "value", *more)]
-        for file, block, value, *rest in zip(*columns):
-            yield file, block, value.encode(), dict(zip(more, rest))
+        if not batch.num_rows:
+            continue
+        files, blocks, values = batch["file"].to_numpy(), batch["block"].to_numpy(), batch["value"].to_pylist()
+        cuts = [0, *(np.flatnonzero((files[1:] != files[:-1]) | (blocks[1:] != blocks[:-1])) + 1).tolist(), len(values)]
+        for a, b in zip(cuts, cuts[1:]):
+            yield int(files[a]), int(blocks[a]), ("}".join(values[a:b]) + "}").encode()
 
 
 def _summaries(batches) -> Iterator[pa.RecordBatch]:
@@ -63,22 +77,24 @@ def _summaries(batches) -> Iterator[pa.RecordBatch]:
     def told() -> pa.RecordBatch:
         return pa.RecordBatch.from_pylist([{"file": at[0], "block": at[1], **state}], SUMMARY)
 
-    for file, block, piece, _ in _runs(batches):
+    for file, block, text in _runs(batches):
         if (file, block) != at:
             if at is not None:
                 yield told()
             at = file, block
-            state = {"odd": 0, "outside": 0, "inside": 0, "array": int(piece.lstrip(b" \t\r\n\xef\xbb\xbf")[:1] == b"[")}
-        quotes, *deeper = _effects(piece)
+            state = {"odd": 0, "outside": 0, "inside": 0, "array": int(text.lstrip(b" \t\r\n\xef\xbb\xbf")[:1] == b"[")}
+        _, kinds, odd = _marks(text)
+        by = _deeper(kinds)
+        deeper = int(by[~odd].sum()), int(by[odd].sum())
         state["outside"] += deeper[state["odd"]]
         state["inside"] += deeper[1 - state["odd"]]
-        state["odd"] = (state["odd"] + quotes) % 2
+        state["odd"] = (state["odd"] + int((kinds == QUOTE).sum())) % 2
     if at is not None:
         yield told()
 
 
-SUMMARY = pa.schema([("file", pa.string()), ("block", pa.int64()), ("odd", pa.int64()), ("outside", pa.int64()), ("inside", pa.int64()), ("array", pa.int64())])
-SUMMARY_COLUMNS = "file string, block long, odd long, outside long, inside long, array long"
+SUMMARY = pa.schema([("file", pa.int64()), ("block", pa.int64()), ("odd", pa.int64()), ("outside", pa.int64()), ("inside", pa.int64()), ("array", pa.int64())])
+SUMMARY_COLUMNS = "file long, block long, odd long, outside long, inside long, array long"
 #: ``place`` is null for whole objects; else the parts of a range stand in this order.
 PARTS = pa.schema([("file", pa.string()), ("block", pa.int64()), ("place", pa.int32()), ("ended", pa.bool_()), ("text", pa.string())])
 PART_COLUMNS = "file string, block long, place int, ended boolean, text string"
@@ -97,39 +113,49 @@ def _starts(pieces: DataFrame) -> DataFrame:
     ), "range-starts")
 
 
-def _parts(batches) -> Iterator[pa.RecordBatch]:
+def _parts(batches, starts: dict[tuple[int, int], tuple[str, int, int, int]]) -> Iterator[pa.RecordBatch]:
     """Whole objects, and the parts of those that cross the borders of a range."""
-    at, odd, depth, base, held, whole = None, 0, 0, 0, [], False
-    found: list[dict] = []
+    at, name, odd, depth, base, whole = None, "", 0, 0, 0, False
+    held: list[bytes] = []
 
-    def close() -> None:
+    def given(texts: list[bytes], places: list[int | None], ended: bool) -> pa.RecordBatch:
+        size = len(texts)
+        return pa.RecordBatch.from_arrays([
+            pa.array([name] * size, pa.string()), pa.array([at[1]] * size, pa.int64()), pa.array(places, pa.int32()), pa.array([ended] * size, pa.bool_()),
+            pa.array([t.decode() for t in texts], pa.string()),
+        ], schema=PARTS)
+
+    def closed() -> Iterator[pa.RecordBatch]:
         text = b"".join(held)
         if whole:
             text = text.lstrip(BETWEEN)
-        if text.strip(b" \t\r\n,]") or not whole:
-            found.append({"file": at[0], "block": at[1], "place": 1, "ended": False, "text": text.decode()})
+        if held and (text.strip(b" \t\r\n,]") or not whole):
+            yield given([text], [1], False)
 
-    for file, block, piece, start in _runs(batches):
+    for file, block, text in _runs(batches):
         if (file, block) != at:
-            if held:
-                close()
-            at, odd, depth, base, held = (file, block), start["begins_inside"], start["depth"], start["base"], []
+            if at is not None:
+                yield from closed()
+            at, held = (file, block), []
+            name, odd, depth, base = starts[at]
             whole = not odd and depth == base or block == 0
-        held.append(piece + b"}")
-        quotes, *deeper = _effects(piece)
-        depth += deeper[odd]
-        odd = (odd + quotes) % 2
-        if not odd and depth == base:
-            text = b"".join(held)
-            found.append({"file": file, "block": block, "place": None if whole else 0, "ended": True, "text": (text.lstrip(BETWEEN) if whole else text).decode()})
-            held, whole = [], True
-            if len(found) >= 1000:
-                yield pa.RecordBatch.from_pylist(found, PARTS)
-                found = []
-    if held:
-        close()
-    if found:
-        yield pa.RecordBatch.from_pylist(found, PARTS)
+        places, kinds, inside = _marks(text)
+        outside = inside == bool(odd)
+        deep = depth + np.cumsum(np.where(outside, _deeper(kinds), 0))
+        ends = [e + 1 for e in places[outside & (deep == base) & (kinds == CLOSE)].tolist() if text[e] == ord("}")]
+        if ends:
+            found = [text[a:b] for a, b in zip([0, *ends], ends)]
+            found[0] = b"".join([*held, found[0]])
+            found = [t.lstrip(BETWEEN) if n or whole else t for n, t in enumerate(found)]
+            yield given(found, [None if whole else 0, *[None] * (len(found) - 1)], True)
+            held, whole, text = [], True, text[ends[-1]:]
+        if text:
+            held.append(text)
+        if len(deep):
+            depth = int(deep[-1])
+        odd = (odd + int((kinds == QUOTE).sum())) % 2
+    if at is not None:
+        yield from closed()
 
 
 def objects(spark: SparkSession, path: str) -> DataFrame:
@@ -140,8 +166,9 @@ def objects(spark: SparkSession, path: str) -> DataFrame:
     """
     pieces = _pieces(spark, path)
     # One row for each byte range that a task reads.
-    known = pieces.join(F.broadcast(_starts(pieces)), ["file", "block"])
-    parts = landed(known.mapInArrow(_parts, PART_COLUMNS), "json-objects")
+    names = _names(spark, path)
+    starts = {(r.file, r.block): (names[r.file], r.begins_inside, r.depth, r.base) for r in _starts(pieces).collect()}
+    parts = landed(pieces.mapInArrow(lambda batches: _parts(batches, starts), PART_COLUMNS), "json-objects")
     crossing = parts.where("place IS NOT NULL")
     order = Window.partitionBy("file").orderBy("block", "place").rowsBetween(Window.unboundedPreceding, -1)
     numbered = crossing.withColumn("number", F.coalesce(F.count_if("ended").over(order), F.lit(0)))
