@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
@@ -13,6 +14,8 @@ from hunkmill.session import landed
 WORD = r"(?U)\b\w\w+\b"
 #: Terms that a task counts at a time.
 KEPT = 1 << 20
+#: Texts whose terms are gathered at once.
+GATHERED = 256
 
 
 def word_list(text: Column) -> Column:
@@ -33,25 +36,40 @@ def _batch_terms(words: pa.ListArray) -> pa.Array:
     return pa.concat_arrays([flat, pairs])
 
 
+def _summed(parts: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(parts).group_by("term").aggregate([("uses", "sum")]).rename_columns(["term", "uses"])
+
+
 def _sketch(batches):
     """Counts of a task's terms, too low by ``lost`` at most; that comes as the count of null.
 
     When there are too many terms, as much is taken off all of them as leaves half, so what is dropped
-    was used no more often than is lost.
+    was used no more often than is lost. Terms stay in Arrow: a task holds ``KEPT`` and what ``GATHERED``
+    rows of a batch add at a time.
     """
-    counts: dict[str, int] = {}
-    lost = 0
+    kept, lost = pa.table({"term": pa.array([], pa.string()), "uses": pa.array([], pa.int64())}), 0
+    parts, size = [kept], 0
+
+    def settled() -> tuple[pa.Table, int]:
+        told = _summed(parts)
+        if len(told) <= KEPT:
+            return told, 0
+        uses = told["uses"].to_numpy()
+        off = int(np.partition(uses, len(uses) - 1 - KEPT // 2)[len(uses) - 1 - KEPT // 2])
+        told = pa.table({"term": told["term"], "uses": pa.array(uses - off)})
+        return told.filter(pc.greater(told["uses"], 0)), off
+
     for batch in batches:
-        for one in pc.value_counts(_batch_terms(batch["words"])).to_pylist():
-            counts[one["values"]] = counts.get(one["values"], 0) + one["counts"]
-        if len(counts) > KEPT:
-            off = sorted(counts.values(), reverse=True)[KEPT // 2]
-            lost += off
-            counts = {t: n - off for t, n in counts.items() if n > off}
-    names = [*counts, None]
-    numbers = [*counts.values(), lost]
-    for at in range(0, len(names), 50_000):
-        yield pa.RecordBatch.from_arrays([pa.array(names[at:at + 50_000], pa.string()), pa.array(numbers[at:at + 50_000], pa.int64())], ["term", "uses"])
+        for at in range(0, batch.num_rows, GATHERED):
+            found = pc.value_counts(_batch_terms(batch["words"].slice(at, GATHERED)))
+            parts.append(pa.table({"term": found.field("values").cast(pa.string()), "uses": found.field("counts")}))
+            size += len(found)
+            if size > KEPT // 2:
+                kept, off = settled()
+                parts, size, lost = [kept], 0, lost + off
+    kept, off = settled()
+    yield from kept.to_batches(50_000)
+    yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([lost + off], pa.int64())], ["term", "uses"])
 
 
 def _all_terms(listed: DataFrame) -> DataFrame:

@@ -1,11 +1,14 @@
 """Linear models, term counts and the detector store."""
 
+import tracemalloc
+
 import math
 import random
 import shutil
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
@@ -98,3 +101,14 @@ def test_only_whole_detectors_are_loaded(spark, tmp_path):
     older = models.load(spark, path)
     assert older.threshold == 0.45 and [tuple(r) for r in older.strata.collect()] == [("Java", "source", "short")]
     assert (older.model.weights.tolist(), older.model.intercept, older.model.slope, older.model.shift) == ([1.5, -2.25], 0.125, 2.0, 3.0)
+
+
+def test_a_sketch_holds_no_terms_as_python_objects():
+    words = pa.array([[f"w{i}x{j}" for j in range(100)] for i in range(2000)])
+    batch = pa.RecordBatch.from_arrays([words], ["words"])
+    tracemalloc.start()
+    found = pa.Table.from_batches(list(terms._sketch(iter([batch]))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 2000 * (100 + 99) + 1 and found["uses"].to_pylist()[-1] == 0
+    assert peak < 16 << 20
