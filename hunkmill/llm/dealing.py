@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 BLOBS = "kind int, bucket long, data binary"
-#: Numbers gathered by a task before it deals them.
-GATHERED = 4 << 20
+#: Numbers gathered by a task before it deals them: 16 bytes each, held several times while they are sorted.
+GATHERED = 1 << 20
 
 
 def mixed(numbers: np.ndarray, seed: int) -> np.ndarray:

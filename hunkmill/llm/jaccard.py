@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, functions as F
 from hunkmill.llm.dealing import BLOBS, GATHERED, bucket_runs, dealt, groups, in_buckets, mixed
 from hunkmill.llm.graphs import connected
 from hunkmill.llm.sized import sent_if_small
-from hunkmill.llm.word_ids import utf8
+from hunkmill.llm.word_ids import forget, utf8
 from hunkmill.session import landed
 
 WIDTH, PERCENT = 5, 75
@@ -81,6 +81,7 @@ def _members(docs: DataFrame, key: str, text: str) -> DataFrame:
     """doc, size, key of every row; the key is null for empty sets."""
 
     def work(batches):
+        forget()
         for batch in batches:
             sets = [shingles(t) for t in utf8(batch["text"])]
             yield pa.RecordBatch.from_arrays([
@@ -104,6 +105,7 @@ def _repeated_counts(docs: DataFrame, text: str, partitions: int) -> DataFrame:
     buckets = partitions
 
     def post(batches):
+        forget()
         held, size, seen = [], 0, set()
         for batch in batches:
             for raw in utf8(batch["text"]):

@@ -135,6 +135,11 @@ def once(make: Callable, *args):
     return _loaded[key]
 
 
+def forget() -> None:
+    """Drops what earlier steps have built in this worker, for steps that need the memory themselves."""
+    _loaded.clear()
+
+
 def utf8(column) -> Iterable[bytes]:
     """The UTF-8 bytes of an Arrow text column; null is empty."""
     import pyarrow as pa

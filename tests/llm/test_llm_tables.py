@@ -404,3 +404,13 @@ def test_the_pipeline_stages_take_empty_tables(spark):
     empty = spark.read.parquet(f"{SMALL}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SMALL).count() == 0
+
+
+def test_steps_of_near_duplicates_hold_little(spark):
+    from hunkmill.llm import dealing, word_ids
+
+    # What is gathered is sorted and held several times, by every worker of an executor.
+    assert dealing.GATHERED * jaccard.RANKED.itemsize <= 24 << 20
+    word_ids.once(list, "left by another step")
+    word_ids.forget()
+    assert not word_ids._loaded
