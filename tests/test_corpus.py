@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from hunkmill.functions import draws
 from hunkmill.operators import corpus, pairs, perturb
 
 REFERENCE = ["the cat sat on the mat.", "the cat ran; the dog sat", "a dog!"]
@@ -102,6 +103,39 @@ def test_random_fill(spark, texts, monkeypatch, limit):
     assert 0.08 < share < 0.22 and all(len(r.text.split(" ")) == r.id for r in replaced)
 
 
+def test_long_dictionary_fills_alike(spark, monkeypatch):
+    """Texts whose keys are null or repeat, empty and null texts, and texts cut over several batches."""
+    rows = [(1, "x " * 40, 7), (1, "y " * 30, None), (None, "z " * 50, 9), (2, "", 1), (3, None, 2), (4, "v " * 5000, 3)]
+    frame = spark.createDataFrame(rows, "id long, text string, more long").repartition(3)
+    index = perturb.dictionary_index(spark.createDataFrame([(f"fill{i}",) for i in range(50)], "word string"))
+    for how in (perturb.random_fill, perturb.random_replace):
+        monkeypatch.setattr(perturb, "BROADCAST_BYTES", 1 << 20)
+        at_hand = how(frame, index, ["id"])
+        monkeypatch.setattr(perturb, "BROADCAST_BYTES", -1)
+        joined = how(frame, index, ["id"])
+        assert joined.columns == at_hand.columns
+        assert sorted(map(repr, joined.collect())) == sorted(map(repr, at_hand.collect()))
+
+
+def test_short_words_are_held_by_every_task(spark, monkeypatch):
+    """What counts is the text of the words, not what rows would take."""
+    words = spark.createDataFrame([(f"{i:04d}",) for i in range(1000)], "word string")
+    index = perturb.dictionary_index(words)
+    monkeypatch.setattr(perturb, "BROADCAST_BYTES", 8000)
+    monkeypatch.setattr(perturb, "_words_by_number", None)
+    texts = spark.createDataFrame([(1, "a b c d e f g h i j k l")], "id long, text string")
+    filled = perturb.random_fill(texts, index, ["id"], share=1.0).first().text.split(" ")
+    assert sum(w.isdigit() for w in filled) == 6
+
+
+def test_draws_as_text(spark):
+    digests = [f"{n:08x}" + "0" * 24 for n in (0, 1, 0x26666665, 0x26666666, 0x26666667, 0x7fffffff, 0x80000000, 0xffffffff)]
+    for chance in (0.0, 0.15, 0.5, 1.0, 1 / 3):
+        frame = spark.createDataFrame([(d,) for d in digests], "d string")
+        told = frame.select((draws.unit_draw(F.col("d")) < chance).alias("a"), draws.drawn_below(F.col("d"), chance).alias("b"))
+        assert all(r.a == r.b for r in told.collect())
+
+
 def test_fills(spark):
     rows = [
         ("a <extra_id_0> b <extra_id_1>", "<pad><extra_id_0> X <extra_id_1> Y z<extra_id_2></s>",
