@@ -26,6 +26,8 @@ from hunkmill.operators.terms import WORD, top_terms
 from hunkmill.session import existing, landed
 
 VOCABULARY = 5000
+#: Bytes of a task's rows as a forest keeps them: a whole number for each feature, zeros included.
+FOREST_TASK_BYTES = 128 << 20
 
 
 def balanced_weights(rows: DataFrame, label: str = "label") -> DataFrame:
@@ -130,6 +132,18 @@ def fit_linear_svm(
     return linear.fit_svm(with_folds(features, key, folds, seed), "_fold", folds, label)
 
 
+def dealt_for_forest(rows: DataFrame, features: int) -> DataFrame:
+    """The rows in tasks of no more than ``FOREST_TASK_BYTES`` of a forest's own rows, which are as long
+    for sparse vectors as for dense ones; files tell nothing about that. Rows that are dealt so already
+    stay where they are."""
+    most = max(FOREST_TASK_BYTES // (4 * max(features, 1)), 1)
+    tasks = rows.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"))
+    found = tasks.agg(F.max("n").alias("most"), F.sum("n").alias("n")).first()
+    if (found.most or 0) <= most:
+        return rows
+    return rows.repartition(-(-found.n // most))
+
+
 def fit_text_models(
     train: DataFrame, key: str, label: str = "label", trees: int = 100, folds: int = 5, seed: int = 42
 ) -> dict[str, Transformer | LinearModel]:
@@ -146,7 +160,7 @@ def fit_text_models(
     forest = RandomForestClassifier(labelCol=label, numTrees=trees, seed=seed)
     return {
         "Logistic Regression": logistic,
-        "Random Forest": forest.fit(train),
+        "Random Forest": forest.fit(dealt_for_forest(train, size - 1)),
         "Naive Bayes": linear.fit_bayes(train, label),
         "SVM (Linear)": LinearModel(whole.weights, whole.intercept, slope, shift),
     }

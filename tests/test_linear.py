@@ -112,3 +112,15 @@ def test_a_sketch_holds_no_terms_as_python_objects():
     tracemalloc.stop()
     assert len(found) == 2000 * (100 + 99) + 1 and found["uses"].to_pylist()[-1] == 0
     assert peak < 16 << 20
+
+
+def test_a_forest_task_holds_bounded_rows(spark, monkeypatch):
+    """A task keeps whole rows of numbers, however sparse the vectors are."""
+    rows = spark.createDataFrame([(float(i % 2), Vectors.sparse(1000, [i % 7], [1.0])) for i in range(400)], ["label", "features"]).coalesce(1)
+    assert models.dealt_for_forest(rows, 1000).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(models, "FOREST_TASK_BYTES", 100 * 4 * 1000)
+    dealt = models.dealt_for_forest(rows, 1000)
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 400 and max(sizes) <= 110
+    assert sorted(map(repr, dealt.collect())) == sorted(map(repr, rows.collect()))
+    assert models.dealt_for_forest(rows.limit(0), 1000).count() == 0
