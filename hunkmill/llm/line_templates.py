@@ -24,12 +24,14 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hunkmill.llm.sized import sent_if_small
+from hunkmill.llm.sized import BROADCAST_BYTES, sent_if_small
 from hunkmill.llm.word_ids import utf8
 from hunkmill.operators.joins import spread_join
 from hunkmill.session import landed
@@ -166,20 +168,58 @@ def drop_recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
     return _without(docs, landed(dropped.distinct(), "dropped-lines"), key, text)
 
 
+def _cutter(gone_lines: np.ndarray, numbers_of: Callable[[bytes], list[int | None]]) -> Callable:
+    """Cuts the lines of the sorted numbers out of batches of (doc, text), and counts."""
+
+    def work(batches):
+        for batch in batches:
+            raws = list(utf8(batch["text"]))
+            lines = pa.array([numbers_of(raw) for raw in raws], pa.list_(pa.int64()))
+            sizes = lines.value_lengths().to_numpy()
+            ends = np.cumsum(sizes)
+            flat = lines.flatten()
+            gone = np.zeros(len(flat), bool)
+            if len(gone_lines):
+                values = flat.fill_null(0).to_numpy()
+                places = np.minimum(np.searchsorted(gone_lines, values), len(gone_lines) - 1)
+                gone = (gone_lines[places] == values) & flat.is_valid().to_numpy(zero_copy_only=False)
+            before = np.concatenate([[0], np.cumsum(gone)])
+            lost = before[ends] - before[ends - sizes]
+            texts = batch["text"]
+            if lost.any():
+                kept = [
+                    b"\n".join(line for line, out in zip(raw.split(b"\n"), gone[end - size:end].tolist()) if not out) if n else raw
+                    for raw, n, end, size in zip(raws, lost.tolist(), ends.tolist(), sizes.tolist())
+                ]
+                made = pa.array(kept, pa.binary(), mask=texts.is_null().to_numpy(zero_copy_only=False))
+                texts = pa.Array.from_buffers(texts.type, len(made), made.buffers()) if pa.types.is_string(texts.type) else made.cast(texts.type)
+            yield pa.RecordBatch.from_arrays([batch["doc"], texts, pa.array(sizes, pa.int64()), pa.array(lost, pa.int64())], ["doc", "text", "n_lines", "n_dropped"])
+
+    return work
+
+
 def _without(docs: DataFrame, dropped: DataFrame, key: str, text: str) -> DataFrame:
     """The texts without the dropped lines.
 
-    Line numbers of each row are joined with the dropped ones; only rows that lose a line come back to
-    be rewritten. Rows are known by hashes of id and text, so it does not matter how they are dealt.
+    Up to ``BROADCAST_BYTES`` of their numbers go to every task, and no text is shuffled. Beyond that the
+    line numbers of each row are joined with the dropped ones, and all texts meet what they lose. Rows
+    are known by hashes of id and text, so it does not matter how they are dealt.
     """
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("doc"), F.col(text).cast("string").alias("text"))
 
+    def numbers_of(raw: bytes) -> list[int | None]:
+        return [line_of(b" ".join(t)) if (t := masked(line)) else None for line in raw.split(b"\n")] if raw else []
+
     def number(batches):
         for batch in batches:
-            hashes = [[line_of(b" ".join(t)) if (t := masked(line)) else None for line in raw.split(b"\n")] if raw else [] for raw in utf8(batch["text"])]
+            hashes = [numbers_of(raw) for raw in utf8(batch["text"])]
             yield pa.RecordBatch.from_arrays([batch["doc"], batch["text"], pa.array(hashes, pa.list_(pa.int64()))], ["doc", "text", "lines"])
 
+    if dropped.count() * 8 <= BROADCAST_BYTES:
+        gone_lines = np.sort(dropped.select("line").toArrow()["line"].to_numpy())
+        return rows.mapInArrow(_cutter(gone_lines, numbers_of), f"doc {kind}, text string, n_lines long, n_dropped long").withColumnRenamed("doc", key)
+
     row = F.struct(F.xxhash64("doc", "text").alias("a"), F.xxhash64(F.lit(1), "text", "doc").alias("b"))
     numbered = rows.mapInArrow(number, f"doc {kind}, text string, lines array<bigint>").withColumn("row", row)
     places = numbered.select("row", F.posexplode("lines").alias("at", "line")).join(sent_if_small(dropped, 8), "line", "left_semi")

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from hunkmill.session import landed
 from hunkmill.llm import decontamination, graphs, jaccard, line_templates, mixing
 from hunkmill.session import importable_by_workers
 
@@ -414,3 +415,18 @@ def test_steps_of_near_duplicates_hold_little(spark):
     word_ids.once(list, "left by another step")
     word_ids.forget()
     assert not word_ids._loaded
+
+
+@pytest.mark.parametrize("limit", [None, -1])
+def test_texts_without_lines_are_alike_on_both_ways(spark, monkeypatch, limit):
+    """A short list of dropped lines goes to every task, so no text is shuffled; a long one is joined."""
+    if limit is not None:
+        monkeypatch.setattr(line_templates, "BROADCAST_BYTES", limit)
+    texts = ["drop me now\nkeep this\n", "drop me now", "keep this", "", None, "\n\n", "a 1\ndrop me now\nété drop\n", "drop me now\nkeep this\n"]
+    docs = spark.createDataFrame([*enumerate(texts), (None, "drop me now\nx")], "doc_id long, text string").repartition(2)
+    dropped = landed(spark.createDataFrame([(line_templates.line_of(b"drop me now"),), (0,)], "line long"), "dropped")
+    result = line_templates._without(docs, dropped, "doc_id", "text")
+    assert ("MapInArrow" in result._jdf.queryExecution().toString()) and ("Join" in result._jdf.queryExecution().toString()) == (limit is not None)
+    got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in result.collect()}
+    cut = {0: ("keep this\n", 3, 1), 1: ("", 1, 1), 2: ("keep this", 1, 0), 3: ("", 0, 0), 4: (None, 0, 0), 5: ("\n\n", 3, 0)}
+    assert got == cut | {6: ("a 1\nété drop\n", 4, 1), 7: ("keep this\n", 3, 1), None: ("x", 2, 1)}
