@@ -10,9 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hunkmill.session import landed
 from hunkmill.llm import decontamination, graphs, jaccard, line_templates, mixing
-from hunkmill.session import importable_by_workers
+from hunkmill.session import importable_by_workers, landed
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -430,3 +429,14 @@ def test_texts_without_lines_are_alike_on_both_ways(spark, monkeypatch, limit):
     got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in result.collect()}
     cut = {0: ("keep this\n", 3, 1), 1: ("", 1, 1), 2: ("keep this", 1, 0), 3: ("", 0, 0), 4: (None, 0, 0), 5: ("\n\n", 3, 0)}
     assert got == cut | {6: ("a 1\nété drop\n", 4, 1), 7: ("keep this\n", 3, 1), None: ("x", 2, 1)}
+
+
+def test_places_of_many_tokens_end_alike(spark, monkeypatch):
+    """A long list of tokens is dealt out by the counts that are at hand; ends are the same."""
+    rows = [(line % 3, line, 2, [1, 7 + line % 2, None, line % 5], 1 + line % 4) for line in range(300)]
+    lines = spark.createDataFrame(rows, "leaf long, line long, take int, places array<bigint>, n long")
+    ends = {}
+    for small in (True, False):
+        monkeypatch.setattr(line_templates, "fits", lambda _, small=small: small)
+        ends[small] = {r.line: r.end for r in line_templates._ends(lines).collect()}
+    assert ends[True] == ends[False] and len(ends[True]) == 300
