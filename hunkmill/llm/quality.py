@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 from hunkmill.llm.dealing import groups
-from hunkmill.llm.word_ids import utf8
+from hunkmill.llm.word_ids import forget, utf8
 from hunkmill.operators.ordered import running_totals
 from hunkmill.session import landed
 
@@ -169,6 +169,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, quality:
     """(bad, held, place, features) of the labelled rows that pass the base rule, one for each id."""
 
     def count(batches):
+        forget()
         for batch in batches:
             counts = _counted(batch, "text")
             yield pa.RecordBatch.from_arrays([batch["key"], *map(pa.array, counts.T)], ["key", *COUNTS])
@@ -275,6 +276,7 @@ def judged(docs: DataFrame, judge: Judge, text: str = "text") -> DataFrame:
     added = StructType([StructField(c, LongType()) for c in COUNTS] + [StructField("base_failed", BooleanType()), StructField("anomaly", DoubleType()), StructField("kept", BooleanType())])
 
     def work(batches):
+        forget()
         for batch in batches:
             counts = _counted(batch, "text")
             failed, scores, kept = judge(counts)
