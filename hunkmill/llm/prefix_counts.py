@@ -6,6 +6,10 @@ follows from the last tokens of shorter prefixes: it is the one vocabulary entry
 agrees with the last token before it. One pass gives the count at every prefix, for a word that goes
 on and, with the end-of-word mark, for a word that ends there.
 
+The words of some megabytes of texts are taken together: all distinct new pieces go through the programme
+at once, byte place by byte place, over arrays (``_pieces``). Pieces of over ``LONG_PIECE`` bytes and words
+that normalising, lower-casing, an apostrophe or a special string could change go one by one (``counts``).
+
 Stored per text: the change of the count at each code point, as compressed 2-byte integers (4-byte
 where those do not suffice). ``count_at`` and ``longest_prefix`` answer from that alone.
 
@@ -16,9 +20,11 @@ table gives an empty table; extra columns are left out.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import unicodedata
 from array import array
+from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -27,11 +33,19 @@ import regex
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from hunkmill.llm.word_ids import Memo, byte_letters, once, utf8
+from hunkmill.llm.word_ids import ENTRY, KEPT_BYTES, Memo, byte_letters, once, utf8
 
 PAIRS_KEPT = 200_000
-#: Bytes kept of pieces and of words; workers are reused, so all is bounded together.
-PIECES_MEMORY, WORDS_MEMORY, LETTERS_MEMORY = 24 << 20, 32 << 20, 8 << 20
+#: Slots, as a power of two, in which pairs of tokens keep whether they agree; a newer pair takes the slot.
+PAIR_BITS = 21
+#: Bytes kept of words and of odd pieces; workers are reused, so all is bounded together.
+WORDS_MEMORY, LETTERS_MEMORY = 56 << 20, 8 << 20
+#: Bytes of texts whose words are learnt together, and of pieces that go through the arrays together.
+TEXTS_TOGETHER, PIECES_TOGETHER = 4 << 20, 1 << 20
+#: Longer pieces go one by one.
+LONG_PIECE = 128
+#: ASCII that needs a closer look than lower-casing: control characters and the apostrophe.
+CLOSER = re.compile(rb"[^!-&(-~]|<\|")
 WHITE = np.zeros(256, bool)
 WHITE[list(b" \t\n\r\x0b\x0c")] = True
 
@@ -61,14 +75,121 @@ class PrefixCounter:
         self.edges: dict[tuple[str, int], list[tuple[str, float]]] = {}
         #: Ends of pieces that are not plain ASCII words, as changes.
         self.pieces_ended = Memo(lambda piece: _steps(self._piece(piece)), LETTERS_MEMORY)
-        self.steps = Memo(lambda piece: _steps(self._piece(piece)), PIECES_MEMORY)
-        self.memo = Memo(self._word, WORDS_MEMORY)
+        #: Changes of words: one byte per code point in ``words``, four in ``long_words``.
+        self.words: dict[bytes, bytes] = {}
+        self.long_words: dict[bytes, bytes] = {}
+        self.held = 0
         #: Which entries encodings can hold: 1 inside a word, 2 at its end, 3 both.
         self.usable: dict[str, int] = {}
         for entry in entries:
             if self._reached(entry):
                 text = entry.removesuffix(self.end)
                 self.usable[text] = self.usable.get(text, 0) | (2 if entry != text else 1)
+        self._grow()
+
+    def _grow(self) -> None:
+        """The usable entries as a trie of bytes; nodes that go on are numbered first, the root is 0."""
+        byte = {letter: number for number, letter in enumerate(self.letters)}
+        own = {bytes(byte[letter] for letter in text): text for text in self.usable}
+        nodes = {b""}.union(*({name[:size] for size in range(1, len(name) + 1)} for name in own))
+        going_on = {name[:-1] for name in nodes if name}
+        number = {name: at for at, name in enumerate(sorted(nodes, key=lambda name: (name not in going_on, len(name), name)))}
+        self.inner = len(going_on)
+        self.goes = np.zeros((self.inner, 256), np.int32)
+        self.kinds = np.zeros(len(nodes), np.uint8)
+        self.names = [""] * len(nodes)
+        for name, at in number.items():
+            if name:
+                self.goes[number[name[:-1]], name[-1]] = at
+            if name in own:
+                self.kinds[at], self.names[at] = self.usable[own[name]], own[name]
+        self.pairs = np.full(1 << PAIR_BITS, -1, np.int64)
+
+    def _fit(self, before: np.ndarray, node: np.ndarray, kind: int) -> np.ndarray:
+        """Whether entries may follow the tokens before them; nothing before (0) fits all."""
+        keys = before * np.int64(2 * len(self.names)) + (node * np.int64(2) + (kind - 1))
+        slots = (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PAIR_BITS)).view(np.int64)
+        kept = self.pairs[slots]
+        fits = (kept & 1).astype(bool)
+        fits[before == 0] = True
+        new = np.flatnonzero((kept >> 1 != keys) & (before != 0))
+        if len(new):
+            distinct, places, back = np.unique(keys[new], return_index=True, return_inverse=True)
+            places, mark = new[places], "" if kind == 1 else self.end
+            told = np.fromiter((self._apart(self.names[a], self.names[b] + mark) for a, b in zip(before[places].tolist(), node[places].tolist())), bool, len(distinct))
+            self.pairs[slots[places]] = distinct * 2 + told
+            fits[new] = told[back]
+        return fits
+
+    def _pieces(self, pieces: list[bytes]) -> np.ndarray:
+        """Counts at each byte of each piece, if the piece ended there, one after another.
+
+        All pieces take a step together: from every place whose last token is known, along the trie, to
+        the places where an entry ends that fits. Earlier starts come first, as in ``_piece``.
+        """
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        begins = np.cumsum(sizes) - sizes
+        order = np.argsort(-sizes, kind="stable")
+        size, raw = int(sizes.max(initial=0)), np.frombuffer(b"".join(pieces), np.uint8)
+        #: Pieces of at least so many bytes; they come first in the order.
+        reach = np.searchsorted(-sizes[order], -np.arange(size + 2), side="right").tolist()
+        at = begins[order]
+        letters = [raw[at[:reach[place + 1]] + place] for place in range(size)]
+        last = [np.zeros(n, np.int32) for n in reach]
+        count = [np.zeros(n, np.int32) for n in reach]
+        ended = [np.zeros(n, np.int32) for n in reach]
+        for start in range(size):
+            who = np.arange(reach[start + 1])
+            node = np.zeros(len(who), np.int32)
+            for end in range(start + 1, min(start + self.longest, size) + 1):
+                if len(who) and who[-1] >= reach[end]:
+                    who = who[:np.searchsorted(who, reach[end])]
+                    node = node[:len(who)]
+                node = self.goes[node, letters[end - 1][who]]
+                alive = np.flatnonzero(node)
+                who, node = who[alive], node[alive]
+                if not len(who):
+                    break
+                kinds = self.kinds[node]
+                inside = np.flatnonzero(((kinds & 1) != 0) & (who < reach[end + 1]) & (last[end][who] == 0))
+                closing = np.flatnonzero(((kinds & 2) != 0) & (ended[end][who] == 0))
+                for kind, some in ((1, inside), (2, closing)):
+                    whose, entry = who[some], node[some]
+                    if start:
+                        fits = self._fit(last[start][whose], entry, kind)
+                        whose, entry = whose[fits], entry[fits]
+                    if kind == 1:
+                        last[end][whose] = entry
+                        count[end][whose] = count[start][whose] + 1
+                    else:
+                        ended[end][whose] = count[start][whose] + 1
+                inner = node < self.inner
+                who, node = who[inner], node[inner]
+        out = np.zeros(len(raw), np.int32)
+        for place in range(size):
+            out[at[:reach[place + 1]] + place] = ended[place + 1]
+        return out
+
+    def _changes(self, pieces: list[bytes]) -> np.ndarray:
+        """Changes of the count at each byte of each piece, one after another."""
+        parts, some, held = [np.zeros(0, np.int32)], [], 0
+        for piece in [*pieces, None]:
+            if some and (piece is None or len(piece) > LONG_PIECE or held >= PIECES_TOGETHER):
+                parts.append(self._pieces(some))
+                some, held = [], 0
+            if piece is None:
+                break
+            if len(piece) > LONG_PIECE:
+                parts.append(np.array(self._piece("".join([self.letters[b] for b in piece])), np.int32))
+            else:
+                some.append(piece)
+                held += len(piece)
+        counts = np.concatenate(parts)
+        changes = np.diff(counts, prepend=np.int32(0))
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        begins = np.cumsum(sizes) - sizes
+        changes[begins] = counts[begins]
+        return changes
 
     def _edge(self, token: str, side: int) -> list[tuple[str, float]]:
         """The entries that stood at this side of a token while it was built, first to last, each with
@@ -243,20 +364,82 @@ class PrefixCounter:
         counts += [base + c for c in self._ordinary(word[plain_from:])[1:]]
         return counts
 
-    def _word(self, word: bytes) -> bytes:
+    def _lowered(self, word: bytes) -> str | None:
+        """A word that is cut into pieces as it stands once it is lower-cased, letter by letter; else None."""
+        if word.isascii():
+            return None if CLOSER.search(word) else word.lower().decode()
         text = word.decode("utf-8", "replace")
-        if text.isascii() and text.isprintable() and "'" not in text and not any(mark in text for mark in self.special_marks):
-            return b"".join(map(self.steps.__getitem__, self.pieces.findall(text.lower())))
-        counts = self.counts(text)
-        return _steps(counts[1:])
+        low = text.lower()
+        # A capital sigma depends on the letters around it, the dotted capital I becomes two.
+        if "'" in text or "<|" in text or "\u03a3" in text or len(low) != len(text) or not text.isprintable() or not unicodedata.is_normalized("NFC", text):
+            return None
+        return low
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Sees to it that the changes of all these words are at hand."""
+        new = [word for word in words if word not in self.words]
+        cost = sum(ENTRY + 2 * len(word) for word in new)
+        if self.held + cost > WORDS_MEMORY and self.words:
+            self.words.clear()
+            new, self.held = list(words), 0
+            cost = sum(ENTRY + 2 * len(word) for word in new)
+        self.held += cost
+        self.long_words.clear()
+        plain, lows = [], []
+        for word in new:
+            low = self._lowered(word)
+            if low is None:
+                self._keep(word, np.diff(np.array(self.counts(word.decode("utf-8", "replace")), np.int32)))
+            else:
+                plain.append(word)
+                lows.append(low)
+        pieces = self.pieces.findall(" ".join(lows))
+        numbers = {piece: number for number, piece in enumerate(dict.fromkeys(pieces))}
+        distinct = [piece.encode() for piece in numbers]
+        changes = self._changes(distinct)
+        sizes = np.fromiter(map(len, distinct), np.int64, len(distinct))
+        begins = np.cumsum(sizes) - sizes
+        which = np.fromiter(map(numbers.__getitem__, pieces), np.int64, len(pieces))
+        own = sizes[which]
+        ends = np.cumsum(own)
+        by_byte = changes[np.repeat(begins[which] - (ends - own), own) + np.arange(own.sum())]
+        raw = np.frombuffer("".join(pieces).encode(), np.uint8)
+        by_letter = np.add.reduceat(by_byte, np.flatnonzero((raw & 0xC0) != 0x80)) if len(raw) else by_byte
+        if len(by_letter) != sum(map(len, lows)):
+            raise ValueError("pieces leave letters of words out")
+        narrow, done = by_letter.astype(np.int8).tobytes(), 0
+        for word, low in zip(plain, lows):
+            upto = done + len(low)
+            if len(word) <= KEPT_BYTES:  # so few bytes make fewer than 128 tokens
+                self.words[word] = narrow[done:upto]
+            else:
+                self._keep(word, by_letter[done:upto])
+            done = upto
+
+    def _keep(self, word: bytes, changes: np.ndarray) -> None:
+        if len(word) <= KEPT_BYTES and np.abs(changes).max(initial=0) < 128:
+            self.words[word] = changes.astype(np.int8).tobytes()
+        else:
+            self.long_words[word] = changes.astype("<i4").tobytes()
+
+    def deltas_of(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Change of the count at each code point of whole texts, which are taken together."""
+        self._learn(set().union(*(text.split() for text in texts)))
+        return [self._assembled(text) for text in texts]
 
     def deltas(self, text: bytes) -> np.ndarray:
         """Change of the count at each code point of a whole text."""
-        raw = np.frombuffer(text, np.uint8)
+        return self.deltas_of([text])[0]
+
+    def _assembled(self, text: bytes) -> np.ndarray:
+        raw, words = np.frombuffer(text, np.uint8), text.split()
         letters = (raw & 0xC0) != 0x80
         inside = ~WHITE[raw[letters]]
         out = np.zeros(len(inside), np.int32)
-        out[inside] = np.frombuffer(b"".join(map(self.memo.__getitem__, text.split())), "<i4")
+        if self.long_words and not self.long_words.keys().isdisjoint(words):
+            out[inside] = np.concatenate([np.frombuffer(self.words[w], np.int8) if w in self.words else np.frombuffer(self.long_words[w], "<i4") for w in words])
+        else:
+            out[inside] = np.frombuffer(b"".join(map(self.words.__getitem__, words)), np.int8)
         return out
 
 
@@ -300,6 +483,19 @@ def longest_prefix(packed: bytes, budget: int) -> int:
     return int(np.flatnonzero(prefix_table(packed) <= budget)[-1])
 
 
+def _together(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
+    """Texts in runs of about ``TEXTS_TOGETHER`` bytes."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= TEXTS_TOGETHER:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def count_prefixes(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", budget: int | None = None) -> DataFrame:
     """Per row: key, n_bytes, n_tokens and ``prefixes``, the packed counts of all prefixes.
 
@@ -311,13 +507,13 @@ def count_prefixes(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: s
         counter = once(PrefixCounter, tokenizer)
         for batch in batches:
             sizes, tokens, packed, within = [], [], [], []
-            for raw in utf8(batch["text"]):
-                deltas = counter.deltas(raw)
-                sizes.append(len(raw))
-                tokens.append(int(deltas.sum()))
-                packed.append(pack(deltas))
-                if budget is not None:
-                    within.append(longest_prefix(packed[-1], budget))
+            for texts in _together(utf8(batch["text"])):
+                for raw, deltas in zip(texts, counter.deltas_of(texts)):
+                    sizes.append(len(raw))
+                    tokens.append(int(deltas.sum()))
+                    packed.append(pack(deltas))
+                    if budget is not None:
+                        within.append(longest_prefix(packed[-1], budget))
             columns = [batch["key"], pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array(packed, pa.binary())]
             names = [key, "n_bytes", "n_tokens", "prefixes"]
             if budget is not None:

@@ -255,6 +255,33 @@ def test_counts_of_all_prefixes_equal_the_library():
         assert prefix_counts.count_at(packed, len(text)) == want[-1]
 
 
+def test_words_of_many_texts_are_counted_together(monkeypatch):
+    monkeypatch.setattr(prefix_counts, "WORDS_MEMORY", 60_000)
+    monkeypatch.setattr(prefix_counts, "PIECES_TOGETHER", 300)
+    counter, plain = prefix_counts.PrefixCounter(TOKENIZER), prefix_counts.PrefixCounter(TOKENIZER)
+    random.seed(7)
+    letters = list("aabcdeeehilnorstt") + ["th", "ing", "é", "ß", "ẞ", "Ⱥ", "T", "I", "7", "***", "日", "本", ".", "$"]
+    texts = [" ".join("".join(random.choices(letters, k=random.randint(1, 40))) for _ in range(30)) for _ in range(12)]
+
+    def refused(piece):
+        raise AssertionError(f"went one by one: {piece}")
+
+    monkeypatch.setattr(counter, "_piece", refused)
+    for some in (texts[:6], texts[3:], texts):
+        for text, deltas in zip(some, counter.deltas_of([t.encode() for t in some])):
+            words = [plain.counts(word) for word in text.split()]
+            assert prefix_counts.prefix_table(prefix_counts.pack(deltas))[-1] == len(library(text))
+            assert [c for word in words for c in np.diff(word).tolist()] == deltas[[letter != " " for letter in text]].tolist()
+    assert counter.held <= 60_000 + sum(2 * len(t.encode()) + 31 * 190 for t in texts)
+
+
+def test_long_pieces_and_odd_letters_are_counted_like_the_library():
+    counter = prefix_counts.PrefixCounter(TOKENIZER)
+    texts = ["ΣΑΣ ας \xa0x don't", "日本語" * 60 + " ab" + "th" * 90 + "." * 200, "a" * 65 + "'s e\u0301t\u0301 İx", "", " \n", "\u0958" * 21 + " x<|endoftext|>y <|X", "x" * 64 + " " + "y" * 128 + " " + "z" * 129]
+    for text, deltas in zip(texts, counter.deltas_of([t.encode() for t in texts])):
+        assert prefix_counts.prefix_table(prefix_counts.pack(deltas)).tolist() == [len(library(text[:k])) for k in range(len(text) + 1)]
+
+
 def test_count_query_over_odd_documents(spark):
     rows = prefix_counts.within_budget(prefix_counts.count_prefixes(odd_documents(spark), TOKENIZER), 100).collect()
     got = sorted((r.n_bytes, r.n_tokens, r.over_limit) for r in rows)
