@@ -10,9 +10,10 @@ stand in ``DOCUMENTS`` documents, or in ``LONG_DOCUMENTS`` where lines have ``LO
 more; lines of up to ``LEADING`` tokens have to agree in full.
 
 One rule holds at every size, since a line's place in the tree follows from sums over its leaf: there
-are no blocks and no order of lines, a leaf of any size is counted by partial sums, and tokens that very
-many lines of a leaf share are dealt out where the sums are joined. Distinct lines are counted first;
-only leaves that recurring lines can come from are looked at further.
+are no blocks and no order of lines. The lines of a leaf of up to ``LEAF_PLACES`` places meet in one task,
+as text, and are summed and ranked there, so a place is never a row of a shuffle; a larger leaf is counted
+by partial sums, and tokens that very many of its lines share are dealt out where the sums are joined.
+Distinct lines are counted first; only leaves that recurring lines can come from are looked at further.
 
 Edge cases: a null text stays null and has no lines; lines without a constant token are never dropped;
 equal lines of one document count once; all null ids count as one document; repeated ids count as one
@@ -38,6 +39,8 @@ from hunkmill.session import landed
 
 LEADING, AGREE = 3, 0.6
 DOCUMENTS, LONG_DOCUMENTS, LONG_TOKENS = 3, 2, 20
+#: Places (lines by tokens) of a leaf that one task takes at most, and of leaves that it takes together.
+LEAF_PLACES, TOGETHER_PLACES = 1 << 16, 1 << 18
 VARIABLE = b"<*>"
 DIGIT = re.compile(rb"[0-9]")
 
@@ -102,8 +105,8 @@ def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(work, f"doc {kind}, leaf long, line long, size long")
 
 
-def _places(docs: DataFrame, text: str, leaves: DataFrame) -> DataFrame:
-    """(leaf, line, take, places) of the distinct lines in the leaves."""
+def _shown(docs: DataFrame, text: str) -> DataFrame:
+    """(leaf, line, tokens) of the lines, each once per batch."""
 
     def work(batches):
         for batch in batches:
@@ -116,6 +119,12 @@ def _places(docs: DataFrame, text: str, leaves: DataFrame) -> DataFrame:
             leaf, shown = zip(*found.values()) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(list(found), pa.int64()), pa.array(shown, pa.binary())], ["leaf", "line", "tokens"])
 
+    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(work, "leaf long, line long, tokens binary")
+
+
+def _places(shown: DataFrame) -> DataFrame:
+    """(leaf, line, take, places) of the distinct lines."""
+
     def cut(batches):
         for batch in batches:
             told = [places_of(t.as_buffer().to_pybytes().split(b" ")) for t in batch["tokens"]]
@@ -123,11 +132,76 @@ def _places(docs: DataFrame, text: str, leaves: DataFrame) -> DataFrame:
                 batch["leaf"], batch["line"], pa.array([take for take, _ in told], pa.int32()), pa.array([places for _, places in told], pa.list_(pa.int64())),
             ], ["leaf", "line", "take", "places"])
 
-    rows = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(work, "leaf long, line long, tokens binary")
-    lines = rows.join(sent_if_small(leaves, 8), "leaf", "left_semi").groupBy("leaf", "line").agg(F.first("tokens").alias("tokens"))
+    lines = shown.groupBy("leaf", "line").agg(F.first("tokens").alias("tokens"))
     return lines.mapInArrow(cut, "leaf long, line long, take int, places array<bigint>")
 
 
+def _end(most: Column) -> Column:
+    """Where a line arrives in the tree, by the tokens that the tree takes of it."""
+    return F.when(F.col("take").isNull(), F.xxhash64(F.lit(0), "line")).otherwise(F.xxhash64(F.lit(1), "leaf", most))
+
+
+def most_used(leaves: np.ndarray, uses: np.ndarray, takes: list[int | None], places: list[list[int | None]]) -> list[list[int]]:
+    """Per line the tokens that the tree takes of it, most used first, out of all lines of its leaf."""
+    sizes = np.fromiter(map(len, places), np.int64, len(places))
+    flat = pa.array([token for line in places for token in line], pa.int64())
+    constant = np.flatnonzero(flat.is_valid().to_numpy(zero_copy_only=False))
+    tokens = flat.fill_null(0).to_numpy()[constant]
+    line = np.repeat(np.arange(len(places)), sizes)[constant]
+    place = constant - (np.cumsum(sizes) - sizes)[line]
+    # How often a leaf's lines use a token at its place; the hash of a token knows the place.
+    order = np.lexsort((tokens, leaves[line]))
+    new = np.ones(len(order), bool)
+    new[1:] = (tokens[order][1:] != tokens[order][:-1]) | (leaves[line][order][1:] != leaves[line][order][:-1])
+    used = np.zeros(len(order), np.int64)
+    if len(order):
+        used[order] = np.add.reduceat(uses[line][order], np.flatnonzero(new))[np.cumsum(new) - 1]
+    ranked = np.lexsort((place, -used, line))
+    ends = np.cumsum(np.bincount(line, minlength=len(places)))
+    begins = [0, *ends.tolist()]
+    tokens = tokens[ranked].tolist()
+    return [tokens[begin:min(begin + (take or 0), end)] for begin, end, take in zip(begins, ends.tolist(), takes)]
+
+
+def _whole_leaves(shown: DataFrame, counted: DataFrame) -> DataFrame:
+    """(leaf, line, size, n, end) of the lines of leaves that a task can hold: texts and counts of a leaf's
+    lines meet in one task, and a line that comes more often is taken once."""
+
+    def told(lines: dict[tuple[int, int], list]) -> pa.RecordBatch:
+        keys, found = list(lines), [line for line in lines.values()]
+        cut = [places_of(line[0].split(b" ")) for line in found]
+        leaf, takes = np.array([key[0] for key in keys], np.int64), [take for take, _ in cut]
+        most = most_used(leaf, np.array([line[2] for line in found], np.int64), takes, [places for _, places in cut])
+        return pa.RecordBatch.from_arrays([
+            pa.array(leaf), pa.array([key[1] for key in keys], pa.int64()), pa.array([line[1] for line in found], pa.int64()),
+            pa.array([line[2] for line in found], pa.int64()), pa.array(takes, pa.int32()), pa.array(most, pa.list_(pa.int64())),
+        ], ["leaf", "line", "size", "n", "take", "most"])
+
+    def work(batches):
+        lines, held, last = {}, 0, None
+        for batch in batches:
+            columns = (batch[name].to_pylist() for name in ("leaf", "line", "tokens", "size", "n"))
+            for leaf, line, tokens, size, n in zip(*columns):
+                if leaf != last and held >= TOGETHER_PLACES:
+                    yield told(lines)
+                    lines, held = {}, 0
+                last = leaf
+                known = lines.setdefault((leaf, line), [None, None, None])
+                if tokens is not None:
+                    known[0] = tokens
+                else:
+                    known[1:] = size, n
+                    held += size
+        if lines:
+            yield told(lines)
+
+    rows = shown.select("leaf", "line", "tokens", F.lit(None).cast("long").alias("size"), F.lit(None).cast("long").alias("n"))
+    counts = counted.select("leaf", "line", F.lit(None).cast("binary").alias("tokens"), "size", "n")
+    met = rows.unionByName(counts).repartition("leaf").sortWithinPartitions("leaf")
+    ends = met.mapInArrow(work, "leaf long, line long, size long, n long, take int, most array<bigint>")
+    return ends.withColumn("end", _end(F.col("most"))).drop("take", "most")
+
+
 def _ends(lines: DataFrame) -> DataFrame:
     """Adds ``end``, where the line arrives in the tree, to rows (leaf, line, take, places, n)."""
     placed = lines.select("leaf", "line", "n", F.posexplode("places").alias("place", "token")).where("token IS NOT NULL")
@@ -141,8 +215,7 @@ def _ends(lines: DataFrame) -> DataFrame:
         told = spread_join(facts, uses, keys, spread_by=["line", "place"], hot=hot_keys(counted, keys), broadcast_bytes=0)
     ranked = told.groupBy("line").agg(F.array_sort(F.collect_list(F.struct((-F.col("uses")).alias("uses"), "place", "token"))).alias("ranked"))
     most = F.transform(F.slice(F.coalesce("ranked", F.array().cast("array<struct<uses:bigint,place:int,token:bigint>>")), F.lit(1), F.col("take")), lambda x: x["token"])
-    end = F.when(F.col("take").isNull(), F.xxhash64(F.lit(0), "line")).otherwise(F.xxhash64(F.lit(1), "leaf", most))
-    return lines.join(ranked, "line", "left").withColumn("end", end).drop("ranked", "take", "places")
+    return lines.join(ranked, "line", "left").withColumn("end", _end(most)).drop("ranked", "take", "places")
 
 
 def _documents() -> Column:
@@ -156,13 +229,20 @@ def drop_recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
     # Documents per line and per leaf; a leaf below the bound cannot hold a recurring template.
     counted = landed(lines.groupBy("leaf", "line", "size").agg(_documents().alias("n")), "line-counts")
     leaves = counted.groupBy("leaf", "size").agg(F.sum("n").alias("n"), F.count("*").alias("lines")).where(F.col("n") >= need)
-    leaves = landed(leaves.select("leaf", (F.col("lines") == 1).alias("alone")), "leaves")
-    wanted = landed(counted.join(sent_if_small(leaves, 9), "leaf"), "wanted-lines")
+    large = F.col("lines") * F.col("size") > LEAF_PLACES
+    leaves = landed(leaves.select("leaf", (F.col("lines") == 1).alias("alone"), large.alias("large")), "leaves")
+    wanted = landed(counted.join(sent_if_small(leaves, 10), "leaf"), "wanted-lines")
     # A line that is alone in its leaf is its template; the others go down the tree.
-    several = landed(leaves.where("NOT alone").select("leaf"), "shared-leaves")
-    found = landed(_places(docs, text, several).join(wanted.where("NOT alone").drop("alone"), ["leaf", "line"]), "line-places")
-    alone = wanted.where("alone").drop("alone").withColumn("end", F.xxhash64(F.lit(0), "line"))
-    final = landed(_ends(found).unionByName(alone), "line-ends")
+    alone = wanted.where("alone").drop("alone", "large").withColumn("end", F.xxhash64(F.lit(0), "line"))
+    several = landed(leaves.where("NOT alone").select("leaf", "large"), "shared-leaves")
+    shown, some_large = _shown(docs, text).join(sent_if_small(several, 9), "leaf"), several.where("large").count() > 0
+    if some_large:  # read twice, cut once
+        shown = landed(shown, "shown-lines")
+    final = _whole_leaves(shown.where("NOT large"), wanted.where("NOT alone AND NOT large")).unionByName(alone)
+    if some_large:
+        found = _places(shown.where("large")).join(wanted.where("NOT alone AND large").drop("alone", "large"), ["leaf", "line"])
+        final = final.unionByName(_ends(landed(found, "line-places")))
+    final = landed(final, "line-ends")
     # Lines of one template may share documents: those that could recur are counted by document.
     able = final.groupBy("end", "size").agg(F.sum("n").alias("n"), F.max("n").alias("most")).where(F.col("n") >= need)
     able = landed(able.withColumn("sure", F.col("most") >= need).select("end", "sure"), "ends")

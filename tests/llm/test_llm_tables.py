@@ -280,6 +280,28 @@ def test_a_hot_leaf_follows_the_same_rule(spark, monkeypatch, broadcast):
     assert check_lines(docs, rows) > 2000
 
 
+@pytest.mark.parametrize("places", [0, 60, None])
+def test_leaves_of_any_size_follow_the_same_rule(spark, monkeypatch, places):
+    """Leaves that a task can hold meet there as text; no place of theirs is a row to shuffle."""
+    summed = []
+    ends = line_templates._ends
+    monkeypatch.setattr(line_templates, "_ends", lambda lines: summed.append(lines.count()) or ends(lines))
+    monkeypatch.setattr(line_templates, "TOGETHER_PLACES", 500)
+    if places is not None:
+        monkeypatch.setattr(line_templates, "LEAF_PLACES", places)
+    draw = random.Random(29)
+    word = lambda n: "".join(draw.choice("abc") for _ in range(n))
+    makes = [
+        lambda: f"at the {word(1)} user {word(2)} left the {word(1)} {draw.randint(1, 9)} times",
+        lambda: " ".join(draw.choice([word(1), str(draw.randint(1, 2))]) for _ in range(draw.randint(0, 7))),
+        lambda: "so then we saw " + " ".join(word(1) for _ in range(20)),
+    ]
+    rows = [(draw.choice([None, *range(90)]), "\n".join(draw.choice(makes)() for _ in range(draw.randint(0, 6)))) for _ in range(150)]
+    rows += [(draw.randint(0, 90), rows[n][1]) for n in range(20)]
+    assert check_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), rows) > 100
+    assert (len(summed), sum(summed) > 0) == ((0, False) if places is None else (1, True))
+
+
 def test_lines_of_a_real_table(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
     check_lines(docs, [(r.doc_id, r.text) for r in docs.collect()])
