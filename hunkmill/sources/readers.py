@@ -134,15 +134,21 @@ def dated_messages(
     return dated
 
 
-def commit_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+def commit_documents(
+    spark: SparkSession, path: str, lines: bool = False, columns: Sequence[str] | None = None,
+    packed: bool = False,
+) -> DataFrame:
     """Nested commits out of JSON arrays, or with ``lines`` out of one document per line.
 
-    Both are read by as many tasks as their size asks for, also where all is one array.
+    Both are read by as many tasks as their size asks for, also where all is one array. Out of arrays,
+    documents are parsed and written here; ``columns`` names those that are needed.
     """
+    schema = schemas.COMMIT_DOCUMENT
+    if columns is not None:
+        schema = T.StructType([schema[name] for name in columns])
     if lines:
-        return spark.read.schema(schemas.COMMIT_DOCUMENT).json(path)
-    parsed = F.from_json("text", schemas.COMMIT_DOCUMENT).alias("document")
-    return json_arrays.objects(spark, path).select(parsed).select("document.*")
+        return spark.read.schema(schema).json(path)
+    return json_arrays.objects(spark, path, schema, packed).select("document.*")
 
 
 def messages_of(documents: DataFrame) -> DataFrame:

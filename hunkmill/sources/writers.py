@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hunkmill.sources import readers
+from hunkmill.sources.json_arrays import MARKER
+
+FRAME_BYTES = 1 << 18
 
 
 def parquet(rows: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
@@ -46,8 +50,8 @@ def json_documents(rows: DataFrame, path: str, compression: str | None = None, f
     rows.write.mode("overwrite").option("maxRecordsPerFile", file_rows).json(path, compression=compression)
 
 
-def json_arrays(rows: DataFrame, path: str) -> None:
-    """Each output file is one JSON array."""
+def json_arrays(rows: DataFrame, path: str, packed: bool = False) -> None:
+    """Each output file is one JSON array, or with ``packed`` a zstandard file of one, which can be cut."""
     def enclosed(batches):
         begun = False
         for batch in batches:
@@ -59,7 +63,21 @@ def json_arrays(rows: DataFrame, path: str) -> None:
         if begun:
             yield pa.RecordBatch.from_arrays([pa.array(["]"])], ["value"])
 
-    text_lines(rows.select(F.to_json(F.struct("*")).alias("value")).mapInArrow(enclosed, "value string"), path)
+    def framed(batches):
+        codec = pa.Codec("zstd", compression_level=3)
+        for batch in enclosed(batches):
+            lines = batch["value"].cast(pa.binary()).to_pylist()
+            frames = np.cumsum([0, *map(len, lines)])[:-1] // FRAME_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(frames)) + 1).tolist(), len(lines)]
+            texts = [b"\n".join([*lines[a:b], b""]) for a, b in zip(cuts, cuts[1:]) if a < b]
+            yield pa.RecordBatch.from_arrays([pa.array([codec.compress(t, asbytes=True) for t in texts], pa.binary())], ["value"])
+
+    lines = rows.select(F.to_json(F.struct("*")).alias("value"))
+    if packed:
+        frames = lines.mapInArrow(framed, "value binary").select(F.col("value").cast("string"))
+        frames.write.mode("overwrite").option("lineSep", MARKER).text(path)
+    else:
+        text_lines(lines.mapInArrow(enclosed, "value string"), path)
 
 
 def run_summary(summary: DataFrame, path: str) -> None:

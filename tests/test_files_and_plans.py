@@ -1,12 +1,18 @@
 import json
+import re
+from pathlib import Path
 
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from hunkmill import schemas
+from hunkmill.catalog import file_queries
 from hunkmill.operators import evaluation, hunks, joins, models, rollups
 from hunkmill.plans import calibration, contrast, messages, report, trends
+from hunkmill.session import shared_folder
 from hunkmill.sources import corpora, json_arrays, readers, writers
 
 
@@ -300,6 +306,78 @@ def test_arrays_are_written_and_read_back(spark, tmp_path):
     assert {(r.hash, r.text) for r in read.collect()} == {(f"h}}{i}", '"{') for i in range(100)}
 
 
+@pytest.mark.parametrize("size, step", [(23, 60), (300, 5), (100_000, 40)])
+def test_packed_arrays_that_are_cut_anywhere(spark, tmp_path, size, step):
+    codec, folder = pa.Codec("zstd"), tmp_path / "packed"
+    folder.mkdir()
+
+    def pack(name, objects, **how):
+        # No frame ends within an escape.
+        signs = re.findall(rb"\\.|[^\\]", json.dumps(objects, **how).encode(), re.S)
+        frames = [b"".join(signs[i:i + step]) for i in range(0, len(signs), step)]
+        (folder / name).write_bytes(b"".join(codec.compress(f, asbytes=True) + json_arrays.MARKER.encode() for f in frames))
+
+    pack("one.txt", ODD_OBJECTS)
+    pack("two.txt", ODD_OBJECTS, indent=2)
+    pack("single.txt", ODD_OBJECTS[4])
+    (folder / "none.txt").write_bytes(b"")
+    bytes_before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    open_before = spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        found = json_arrays.objects(spark, str(folder), packed=True).collect()
+        messages = readers.messages_of(readers.commit_documents(spark, str(folder), columns=["hash", "msg"], packed=True)).collect()
+        ranges = json_arrays._pieces(spark, str(folder / "one.txt"), True).select("block").distinct().count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", bytes_before)
+        spark.conf.set("spark.sql.files.openCostInBytes", open_before)
+    assert size > 1000 or ranges > 3
+    by_file = {}
+    for row in found:
+        by_file.setdefault(row.file.rsplit("/", 1)[1], []).append(json.loads(row.text))
+    key = lambda rows: sorted(map(json.dumps, rows))
+    assert {name: key(rows) for name, rows in by_file.items()} == {
+        "one.txt": key(ODD_OBJECTS), "two.txt": key(ODD_OBJECTS), "single.txt": key([ODD_OBJECTS[4]])}
+    expected = [(x.get("hash"), x.get("msg")) for x in [*ODD_OBJECTS * 2, ODD_OBJECTS[4]]]
+    assert sorted(map(str, map(tuple, messages))) == sorted(map(str, expected))
+
+
+def test_packed_arrays_are_written_and_read_back(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(writers, "FRAME_BYTES", 300)
+    rows = spark.range(500).select(F.concat(F.lit("h}"), "id").alias("hash"), F.when(F.col("id") % 7 > 0, F.repeat(F.lit('"{\\ü\n'), F.col("id") % 90)).alias("msg"))
+    writers.json_arrays(rows.where("id > 450").repartition(3).unionByName(rows.where("id <= 450").coalesce(1)), str(tmp_path / "packed"), packed=True)
+    files = [p.read_bytes() for p in (tmp_path / "packed").glob("part*") if p.stat().st_size]
+    assert max(f.count(json_arrays.MARKER.encode()) for f in files) > 50
+    # A plain reader of such files sees the array.
+    texts = [zstandard.ZstdDecompressor().stream_reader(f, read_across_frames=True).read() for f in files]
+    assert sum(len(json.loads(t)) for t in texts) == 500
+    bytes_before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        read = readers.messages_of(readers.commit_documents(spark, str(tmp_path / "packed"), packed=True)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", bytes_before)
+    assert sorted((r.hash, r.text or "") for r in read) == sorted((f"h}}{i}", '"{\\ü\n' * (i % 90) if i % 7 else "") for i in range(500))
+
+
+def test_messages_of_commits_leave_little_on_the_disk(spark, tmp_path):
+    orders = spark.range(3000).selectExpr("id AS o_orderkey", "id * 7919 % 1000 AS o_custkey", "TIMESTAMP'1996-01-02' AS o_orderdate")
+    lines = spark.range(12_000).selectExpr(
+        "id % 2900 AS l_orderkey", "CAST(id % 7 + 1 AS INT) AS l_linenumber", "id * 104729 % 2000 AS l_partkey", "id % 100 AS l_suppkey",
+        "CAST(id % 50 AS DOUBLE) AS l_quantity", "IF(id % 3 = 0, 'A', 'R') AS l_returnflag", "id * 1.5D AS l_extendedprice")
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    text = file_queries._commit_documents(spark, str(tmp_path)).select(F.to_json(F.struct("*")).alias("text"))
+    size = text.agg(F.sum(F.length("text"))).first()[0]
+    folder = Path(shared_folder(spark).removeprefix("file://").removeprefix("file:"))
+    before = set(folder.rglob("*"))
+    found = file_queries.commit_messages(spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in found} == {(f"h{i}", f"order {i}\n\nbody") for i in range(3000)} and len(found) == 3000
+    written = sum(p.stat().st_size for p in folder.rglob("*") if p not in before and p.is_file())
+    assert written < size / 8
+
+
 def test_tables_in_buckets_are_joined_without_a_shuffle(spark, tmp_path):
     keys, limit = ["repo", "commit_hash"], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     commits = spark.range(400).select(F.concat(F.lit("r"), F.col("id") % 4).alias("repo"), F.col("id").cast("string").alias("commit_hash"))
