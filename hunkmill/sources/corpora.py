@@ -52,9 +52,8 @@ def _translations(language: str):
 
 def _commits(name: str):
     def build(spark: SparkSession, folder: str) -> DataFrame:
-        return readers.commit_documents(spark, f"{folder}/{name}.json").select(
-            F.col("hash").alias("key"), F.col("msg").alias("text")
-        )
+        documents = readers.commit_documents(spark, f"{folder}/{name}.json", columns=["hash", "msg"])
+        return documents.select(F.col("hash").alias("key"), F.col("msg").alias("text"))
 
     return build
 
